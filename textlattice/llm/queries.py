@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from textlattice.llm import exact_dedup, mixing, packing, token_counts, url_filter
+from textlattice.llm import exact_dedup, media, mixing, packing, simhash, token_counts, url_filter
 from textlattice.llm.common import table
 
 RULES = [
@@ -28,6 +28,14 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), RULES)
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op6_webp_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.features(media.store_texts(table(spark, sf_dir, "documents")))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = exact_dedup.DigestIndex(spark, f"digest_index_{uuid.uuid4().hex}")
     return exact_dedup.report(spark, table(spark, sf_dir, "documents"), index)
@@ -45,6 +53,8 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": op2_token_counts,
     "op4_url_filter": op4_url_filter,
+    "op5_simhash": op5_simhash,
+    "op6_webp_media": op6_webp_media,
     "op7_exact_dedup": op7_exact_dedup,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_mixing": op10_mixing,
