@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from textlattice.llm import exact_dedup, media, mixing, packing, simhash, token_counts, url_filter
+from textlattice.llm import exact_dedup, media, mixing, packing, simhash, substring_dedup, token_counts, url_filter
 from textlattice.llm.common import table
 
 RULES = [
@@ -41,6 +41,10 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.report(spark, table(spark, sf_dir, "documents"), index)
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(spark, table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
@@ -56,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_simhash": op5_simhash,
     "op6_webp_media": op6_webp_media,
     "op7_exact_dedup": op7_exact_dedup,
+    "op8_substring_dedup": op8_substring_dedup,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_mixing": op10_mixing,
 }
