@@ -31,7 +31,7 @@ CAPACITY, END = 1024, 2
 SPECIAL, SPECIAL_ID = "<|endoftext|>", 50256
 CACHED, CACHED_CHARS = 200_000, 48
 #: Pieces of one length are ranked in hash groups of about so many.
-GROUP = 50_000
+GROUP = 2000
 #: White space as Unicode has it; Python's \s holds four more characters.
 SPACES = "\t-\r \x85\xa0  -     　"
 
@@ -141,10 +141,14 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int,
     return out
 
 
-def ranked(rows: DataFrame, total: int) -> DataFrame:
-    """rows with their rank within their length. No task sorts more than a hash group of a length."""
-    groups = max(1, total // GROUP)
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "start"), F.lit(groups)))
+def ranked(rows: DataFrame, counts: DataFrame) -> DataFrame:
+    """rows with their rank within their length. No task sorts more than a hash group of a length.
+
+    counts: length, n; a row for each length up to the capacity, so that it can be broadcast.
+    """
+    groups = F.greatest(F.lit(1), F.floor(F.col("n") / GROUP)).cast("int")
+    rows = rows.join(F.broadcast(counts.select("length", groups.alias("groups"))), "length")
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32"), F.col("groups"))).drop("groups")
     sizes = rows.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n"))
     before = W.partitionBy("length").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
     sizes = sizes.select("length", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
@@ -157,7 +161,8 @@ def pack(spark: SparkSession, docs: DataFrame, ranks_path: str, id_col: str = "d
     rows = materialise(pieces(docs, ranks_path, id_col, text_col, capacity, end), "pieces")
     counts = {r["length"]: r["n"] for r in rows.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most `capacity` rows
     steps = plan(counts, capacity)
+    by_length = spark.createDataFrame(sorted(counts.items()), "length long, n long")
     slots = spark.createDataFrame(steps, "length long, lo long, hi long, first long, offset long")
     # The plan has a few steps for each of at most `capacity` lengths, whatever the number of documents.
-    joined = ranked(rows, sum(counts.values())).join(F.broadcast(slots.withColumnRenamed("length", "l")), (F.col("length") == F.col("l")) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi")))
+    joined = ranked(rows, by_length).join(F.broadcast(slots.withColumnRenamed("length", "l")), (F.col("length") == F.col("l")) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi")))
     return joined.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("first") + F.col("rank") - F.col("lo")).alias("sequence_id"), "offset")

@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from textlattice.llm import exact_dedup, media, mixing, packing, simhash, substring_dedup, token_counts, url_filter
+from textlattice.llm import exact_dedup, kneser_ney, media, mixing, packing, simhash, substring_dedup, token_counts, url_filter
 from textlattice.llm.common import table
 
 RULES = [
@@ -24,6 +24,11 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(spark, table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = kneser_ney.judged(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return out.select("doc_id", "lang", "n_words", "perplexity", "threshold", "kept")
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), RULES)
 
@@ -56,6 +61,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": op2_token_counts,
+    "op3_quality": op3_quality,
     "op4_url_filter": op4_url_filter,
     "op5_simhash": op5_simhash,
     "op6_webp_media": op6_webp_media,
