@@ -34,7 +34,7 @@ from textlattice.llm.common import WORD, drop_path, materialise, packed, text_or
 VOCAB = 60_000
 SHARDS = 32
 CHUNK_WORDS = 2_000_000
-QUANTILE, MARGIN = 0.99, 1.1
+QUANTILE, MARGIN = 0.99, 1.05
 FEWEST = 20
 HELD_OUT = "pmod(crc32(cast(doc_id as string)), 4) = 2"
 START, UNKNOWN, FIRST = 0, 1, 2
