@@ -1,4 +1,7 @@
-"""The corpus pipeline: quality classifier, exact dedup, near-dedup, mixing, packing."""
+"""The corpus pipeline: quality classifier, exact dedup, SimHash near-dedup, mixing to target weights, best-fit packing.
+
+Each stage works on all rows that the one before it kept, written as Parquet and read again.
+"""
 
 from __future__ import annotations
 
@@ -8,14 +11,22 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from textlattice.llm import exact_dedup, mixing, packing
+from textlattice.llm import exact_dedup, kneser_ney, mixing, packing, simhash
 from textlattice.llm.common import materialise, table
 
 
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return kneser_ney.survivors(spark, docs, table(spark, sf_dir, "labels"))
+
+
 def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup.survivors(docs, exact_dedup.DigestIndex(spark, f"digest_index_{uuid.uuid4().hex}"))
 
 
+def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return simhash.survivors(docs)
+
+
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.repeated(docs)
 
@@ -25,7 +36,9 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality", quality_stage),
     ("exact_dedup", exact_dedup_stage),
+    ("near_dedup", near_dedup_stage),
     ("mixing", mixing_stage),
     ("packing", packing_stage),
 ]
