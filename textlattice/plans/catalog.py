@@ -1,4 +1,7 @@
-"""Registered queries of the library's own operators."""
+"""Registered queries of the library's own operators, and their SQL."""
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from textlattice.plans import counts, web
+
+PARTS = [web, counts]
+QUERIES: dict = {k: v for p in PARTS for k, v in p.QUERIES.items()}
+ORACLE: dict = {k: v for p in PARTS for k, v in p.ORACLE.items()}
