@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textlattice.llm.common import SPACE, WORD, materialise, text_or_empty
+from textlattice.llm.common import SPACE, WORD, drop_path, materialise, text_or_empty
 
 WINDOW, GRAM = 35, 10
 #: Words of a shard's index; a shard ends with the minimizer at which it reaches this.
@@ -40,24 +40,55 @@ SHARD = 1_500_000
 LANES = 20_000
 #: A minimizer with more than 1/HEAVY of all minimizers is heavy: there are fewer than HEAVY.
 HEAVY = 2000
-CACHED = 300_000
-_WORDS = re.compile(WORD.encode())
+#: Contents whose words a task remembers to have given.
+GIVEN = 500_000
+_WORDS, _SPACE = re.compile(WORD.encode()), re.compile(SPACE.encode())
 _BASE = 0x9E3779B97F4A7C15 | 1
 
 
-class WordHash(dict):
-    """64-bit hashes of words, from a bounded cache."""
+def _mixed_ints(n: int, seed: int) -> np.ndarray:
+    return mixed((np.arange(1, n + 1, dtype=np.uint64) + np.uint64(seed)) * np.uint64(_BASE))
 
-    def __missing__(self, word: bytes) -> int:
-        h = xxhash.xxh64_intdigest(word, 17)
-        if len(self) > CACHED:
-            self.clear()
-        self[word] = h
-        return h
+
+class WordHash:
+    """64-bit hashes of words: two multilinear hashes of a word's bytes, of which the upper halves are kept.
+
+    A text is hashed as arrays over its bytes, some CHUNK of them at a time, cut between words.
+    """
+
+    CHUNK = 1 << 20
+
+    def __init__(self) -> None:
+        self.value = np.arange(1, 257, dtype=np.uint64)
+        self.value[[32, *range(9, 14)]] = 0
+        self.factors = [_mixed_ints(64, seed) for seed in (1, 1 << 40)]
 
     def of(self, text: str) -> np.ndarray:
-        words = _WORDS.findall(text.encode())
-        return np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
+        data, parts, lo = text.encode(), [], 0
+        while lo < len(data):
+            hi = lo + self.CHUNK
+            if hi < len(data):
+                space = _SPACE.search(data, hi)
+                hi = space.start() if space else len(data)
+            parts.append(self._of(np.frombuffer(data, dtype=np.uint8, count=min(hi, len(data)) - lo, offset=lo)))
+            lo = hi
+        return np.concatenate(parts) if parts else np.zeros(0, dtype=np.uint64)
+
+    def _of(self, data: np.ndarray) -> np.ndarray:
+        v = self.value[data]
+        edges = np.flatnonzero(np.diff(np.concatenate([[False], v > 0, [False]])))
+        starts, ends = edges[::2], edges[1::2]
+        if not len(starts):
+            return np.zeros(0, dtype=np.uint64)
+        longest = int((ends - starts).max())
+        if longest > len(self.factors[0]):
+            self.factors = [_mixed_ints(2 * longest, seed) for seed in (1, 1 << 40)]
+        v = v[starts[0] : ends[-1]]
+        ends, starts = ends - starts[0], starts - starts[0]
+        place = np.arange(len(v)) - np.repeat(starts, np.diff(starts, append=len(v)))
+        np.minimum(place, longest - 1, out=place)  # spaces after a word count as nothing wherever they stand
+        one, two = (np.add.reduceat(v * f[place], starts) >> np.uint64(32) for f in self.factors)
+        return one << np.uint64(32) | two
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -67,30 +98,35 @@ def mixed(h: np.ndarray) -> np.ndarray:
 
 
 def gram_hashes(h: np.ndarray, gram: int) -> np.ndarray:
-    """A hash of every run of `gram` words; equal words give equal hashes wherever they stand."""
+    """A hash of every run of `gram` words; equal words give equal hashes wherever they stand. Runs grow by doubling."""
     if len(h) < gram:
         return np.zeros(0, dtype=np.uint64)
-    out = np.zeros(len(h) - gram + 1, dtype=np.uint64)
-    for k in range(gram):
-        out = out * np.uint64(_BASE) + h[k : k + len(out)]
+    out, done, run, size, base = h[:0], 0, h, 1, _BASE
+    while size <= gram:
+        if gram & size:
+            n = len(h) - done - size + 1
+            out = out[:n] * np.uint64(base) + run[done : done + n] if done else run
+            done += size
+        run = run[:-size] * np.uint64(base) + run[size:]
+        size, base = 2 * size, base * base & (1 << 64) - 1
     return mixed(out)
 
 
 def minimizers(grams: np.ndarray, window: int, gram: int, heavy: np.ndarray | None = None) -> np.ndarray:
     """For each window, the position of its smallest gram, the first of equal ones. Heavy grams come after all others."""
     per = window - gram + 1
-    n = len(grams) - per + 1
-    if n <= 0:
+    if len(grams) < per:
         return np.zeros(0, dtype=np.int64)
-    rank = grams >> np.uint64(1)
+    best = grams >> np.uint64(1)
     if heavy is not None and len(heavy):
-        rank = rank | (np.isin(grams, heavy).astype(np.uint64) << np.uint64(63))
-    best, at = rank[:n].copy(), np.arange(n)
-    for k in range(1, per):
-        other = rank[k : k + n]
-        less = other < best
-        best = np.where(less, other, best)
-        at = np.where(less, np.arange(k, k + n), at)
+        best = best | (np.isin(grams, heavy).astype(np.uint64) << np.uint64(63))
+    at, size = np.arange(len(grams)), 1
+    while size < per:  # the best of `size` grams from each on; the last step's halves overlap
+        step = min(size, per - size)
+        less = best[step:] < best[:-step]
+        best = np.where(less, best[step:], best[:-step])
+        at = np.where(less, at[step:], at[:-step])
+        size += step
     return at
 
 
@@ -229,12 +265,15 @@ def minimizer_rows(rows: DataFrame, window: int, gram: int) -> DataFrame:
     return rows.mapInArrow(run, "key long, m long, n int")
 
 
-def segment_rows(candidates: DataFrame, heavy: np.ndarray, window: int, gram: int, words_too: bool) -> DataFrame:
-    """candidates: key, doc_id, text, repeated. Their segments: m, content (a hash of its words), and the words or the place."""
+def segment_rows(candidates: DataFrame, heavy: np.ndarray, window: int, gram: int) -> DataFrame:
+    """candidates: key, doc_id, text, repeated. Their segments: m, content (a hash of its words), place and words.
+
+    A task leaves out the words of a content that it has lately given.
+    """
     kind = candidates.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHash()
+        hashes, given = WordHash(), set()
         for b in batches:
             rows, m, content, starts, words = [], [], [], [], []
             for k, text in enumerate(b.column(2)):
@@ -242,17 +281,20 @@ def segment_rows(candidates: DataFrame, heavy: np.ndarray, window: int, gram: in
                 repeated = np.array(b.column(3)[k].as_py(), dtype=np.int64).view(np.uint64)
                 for minimizer, lo, hi in segments_of(h, repeated, heavy, window, gram):
                     part = h[lo:hi].tobytes()
+                    name = (minimizer, xxhash.xxh64_intdigest(part))
                     rows.append(k)
                     m.append(minimizer)
-                    content.append(xxhash.xxh64_intdigest(part))
+                    content.append(name[1])
                     starts.append(lo)
-                    words.append(part if words_too else None)
+                    words.append(None if name in given else part)
+                    given.add(name)
+            if len(given) > GIVEN:
+                given.clear()
             take = pa.array(rows, pa.int64())
-            keyed = [pa.array(_signed(m)), pa.array(_signed(content))]
-            rest = [pa.array(words, pa.binary())] if words_too else [b.column(0).take(take), b.column(1).take(take), pa.array(starts, pa.int32())]
-            yield pa.RecordBatch.from_arrays(keyed + rest, names=["m", "content", "words"] if words_too else ["m", "content", "key", "doc_id", "start"])
+            columns = [pa.array(_signed(m)), pa.array(_signed(content)), b.column(0).take(take), b.column(1).take(take), pa.array(starts, pa.int32()), pa.array(words, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["m", "content", "key", "doc_id", "start", "words"])
 
-    return candidates.mapInArrow(run, "m long, content long, words binary" if words_too else f"m long, content long, key long, doc_id {kind}, start int")
+    return candidates.mapInArrow(run, f"m long, content long, key long, doc_id {kind}, start int, words binary")
 
 
 def repeated_windows(contents: DataFrame, window: int, shard: int) -> DataFrame:
@@ -314,36 +356,39 @@ def removed(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "key long, n_words long, n_removed long, kept_sha256 string")
 
 
-def intervals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, shard: int = SHARD, heavy: int = HEAVY) -> tuple[DataFrame, DataFrame]:
-    """(candidate documents: key, doc_id, text; intervals of their words to remove: key, lo, hi)."""
+def numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """key (of id and text), doc_id, text."""
     text = text_or_empty(text_col)
-    rows = docs.select(F.xxhash64(F.col(id_col), text).alias("key"), F.col(id_col).alias("doc_id"), text.alias("text"))
-    found = minimizer_rows(rows.select("key", "text"), window, gram)
-    found = materialise(found, "minimizers")
+    return docs.select(F.xxhash64(F.col(id_col), text).alias("key"), F.col(id_col).alias("doc_id"), text.alias("text"))
+
+
+def intervals(rows: DataFrame, window: int = WINDOW, gram: int = GRAM, shard: int = SHARD, heavy: int = HEAVY) -> DataFrame:
+    """rows: key, doc_id, text. Intervals of words to remove: key, doc_id, lo, hi."""
+    spark = rows.sparkSession
+    found = materialise(minimizer_rows(rows.select("key", "text"), window, gram), "minimizers")
     counted = materialise(found.groupBy("m").agg(F.sum("n").alias("n")).filter("n > 1"), "repeated")
     total = counted.agg(F.sum("n")).first()[0] or 0
     limit = max(total // heavy, 1000)
     hot = np.array([r["m"] for r in counted.filter(F.col("n") > limit).select("m").collect()], dtype=np.int64).view(np.uint64)  # fewer than `heavy`
     by_doc = found.join(counted.select("m"), "m").groupBy("key").agg(F.collect_set("m").alias("repeated"))  # a document's own
-    candidates = materialise(rows.join(by_doc, "key").select("key", "doc_id", "text", "repeated"), "candidates")
-    contents = segment_rows(candidates, hot, window, gram, words_too=True).groupBy("m", "content").agg(F.first("words").alias("words"), F.count(F.lit(1)).alias("n"))
+    candidates = rows.join(by_doc, "key").select("key", "doc_id", "text", "repeated")
+    segments = materialise(segment_rows(candidates, hot, window, gram), "segments")
+    drop_path(spark, found)
+    contents = segments.groupBy("m", "content").agg(F.first("words", ignorenulls=True).alias("words"), F.count(F.lit(1)).alias("n"))
     spans = materialise(repeated_windows(contents, window, shard), "windows")
-    places = segment_rows(candidates, hot, window, gram, words_too=False)
-    out = places.join(spans, ["m", "content"]).select("key", (F.col("start") + F.col("lo")).alias("lo"), (F.col("start") + F.col("hi")).alias("hi"))
-    return candidates, out
+    places = segments.select("m", "content", "key", "doc_id", "start").join(spans, ["m", "content"])
+    return places.select("key", "doc_id", (F.col("start") + F.col("lo")).alias("lo"), (F.col("start") + F.col("hi")).alias("hi"))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, shard: int = SHARD) -> DataFrame:
     """One row per row of docs: doc_id, n_words, n_removed, kept_sha256."""
-    candidates, spans = intervals(docs, id_col, text_col, window, gram, shard)
-    by_doc = spans.distinct().groupBy("key").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))  # a document's own
-    texts = candidates.select("key", "doc_id", "text").join(by_doc, "key")
-    ids = candidates.select("key", "doc_id").distinct()
-    changed = removed(texts.select("key", "text", "spans")).distinct().join(ids, "key")
+    rows = numbered(docs, id_col, text_col)
+    by_doc = intervals(rows, window, gram, shard).distinct().groupBy("key", "doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))  # a document's own
+    by_doc = materialise(by_doc, "spans")
+    changed = removed(rows.select("key", "text").join(by_doc.select("key", "spans"), "key")).distinct().join(by_doc.select("key", "doc_id"), "key")
     changed = materialise(changed.select("key", F.col("doc_id").alias("id"), F.col("n_removed").alias("r"), F.col("kept_sha256").alias("s")), "removed")
-    text = text_or_empty(text_col)
-    plain = F.trim(F.regexp_replace(text, SPACE, " "))
+    plain = F.trim(F.regexp_replace("text", SPACE, " "))
     n_words = F.when(plain == "", 0).otherwise(F.length(plain) - F.length(F.translate(plain, " ", "")) + 1).cast("long")
-    whole = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(id_col), text).alias("key"), n_words.alias("n_words"), F.sha2(plain.cast("binary"), 256).alias("whole"))
+    whole = rows.select("doc_id", "key", n_words.alias("n_words"), F.sha2(plain.cast("binary"), 256).alias("whole"))
     out = whole.join(changed, (whole["key"] == changed["key"]) & whole["doc_id"].eqNullSafe(changed["id"]), "left")
     return out.select("doc_id", "n_words", F.coalesce("r", F.lit(0).cast("long")).alias("n_removed"), F.coalesce("s", "whole").alias("kept_sha256"))
