@@ -37,7 +37,11 @@ def count_ngrams(sentences: DataFrame, n: int) -> DataFrame:
 
 def count_all(sentences: DataFrame, n_max: int = 7) -> DataFrame:
     """n, gram, cnt of all orders in one pass and one shuffle."""
-    every = F.flatten(F.array(*[F.transform(windows("words", n), lambda g, n=n: F.struct(F.lit(n).alias("n"), g.alias("gram"))) for n in range(1, n_max + 1)]))
+
+    def of(n: int) -> Column:
+        return F.transform(windows("words", n), lambda g: F.struct(F.lit(n).alias("n"), g.alias("gram")))
+
+    every = F.flatten(F.array(*[of(n) for n in range(1, n_max + 1)]))
     return sentences.select(F.explode(every).alias("g")).groupBy("g.n", "g.gram").agg(F.count(F.lit(1)).alias("cnt"))
 
 

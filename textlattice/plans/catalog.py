@@ -1,7 +1,7 @@
 """Registered queries of the library's own operators, and their SQL."""
 
-from textlattice.plans import counts, web
+from textlattice.plans import counts, phrases, users, web
 
-PARTS = [web, counts]
+PARTS = [web, counts, phrases, users]
 QUERIES: dict = {k: v for p in PARTS for k, v in p.QUERIES.items()}
 ORACLE: dict = {k: v for p in PARTS for k, v in p.ORACLE.items()}
