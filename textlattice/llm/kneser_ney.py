@@ -155,11 +155,17 @@ def trusted_rows(docs: DataFrame, labels: DataFrame, label_col: str) -> DataFram
 
     The join may drop documents without such a label before the shuffle: Spark's runtime filter has a bounded size.
     """
-    spark = docs.sparkSession
-    for key, value in (("applicationSideScanSizeThreshold", "0"), ("creationSideThreshold", "10GB")):
-        spark.conf.set(f"spark.sql.optimizer.runtime.bloomFilter.{key}", value)
+    conf = docs.sparkSession.conf
+    own = {f"spark.sql.optimizer.runtime.bloomFilter.{k}": v for k, v in (("applicationSideScanSizeThreshold", "0"), ("creationSideThreshold", "10GB"))}
+    before = {k: conf.get(k) for k in own}
     good = labels.filter((F.col(label_col) == 1) & ~F.expr(HELD_OUT)).select("doc_id").distinct()
-    return materialise(docs.select("doc_id", "text").join(good, "doc_id").select("text"), "trusted")
+    try:
+        for k, v in own.items():
+            conf.set(k, v)
+        return materialise(docs.select("doc_id", "text").join(good, "doc_id").select("text"), "trusted")
+    finally:
+        for k, v in before.items():
+            conf.set(k, v)
 
 
 def vocabulary_of(trusted: DataFrame, size: int) -> tuple[list[str], int]:
