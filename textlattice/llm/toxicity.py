@@ -289,7 +289,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     parts = [own.filter(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for label, n in ((1, sample[0]), (0, sample[1]))]
     picked = parts[0].unionByName(parts[1])
     rows = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text")).filter(F.length("text") <= LONGEST)
-    found = rows.join(F.broadcast(picked), "doc_id").select("text", "toxic").orderBy(F.xxhash64("text"), "toxic").collect()  # sum(sample) rows
+    # Of rows with one id the smallest text, so that an id with very many rows doesn't come to the driver with all of them.
+    found = rows.join(F.broadcast(picked), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    found = found.select("text", "toxic").orderBy(F.xxhash64("text"), "toxic").collect()  # at most sum(sample) rows
     field = Field.fit([r["text"] for r in found], np.array([r["toxic"] for r in found]), counts[1] / (counts[0] + counts[1]))
     return vars(field)
 
