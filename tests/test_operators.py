@@ -26,6 +26,39 @@ def test_varint_round_trip(value):
     assert len(data) == next(n for n, most in enumerate((7, 13, 19, 25, 32), 1) if bits <= most)
 
 
+@pytest.mark.parametrize(("value", "data"), [(0x7F, "7f"), (0x80, "8180"), (0x1FFF, "bfff"), (0x2000, "c0c080"), (0x1FFFFFF, "efffffff"), (0x2000000, "f090808080"), (0xFFFFFFFF, "ffffffffff")])
+def test_varint_bytes(value, data):
+    assert literal.put_varint(value).hex() == data
+
+
+@pytest.mark.parametrize("node", [0, -1, 2**31 - 1, (1, b"x"), [], [1, (2, [3, b""]), b"\0" * 9000], [[k] for k in range(10)]])
+def test_tree_round_trip(node):
+    data = literal.put_tree(node)
+    assert literal.get_tree(data) == (node, len(data)) and literal.get_tree(b"zz" + data, 2)[0] == node
+
+
+def test_incomplete_bytes_are_refused():
+    for data in (b"\x81", b"\x81\x01", literal.put_tree(b"abc")[:-1]):
+        with pytest.raises(ValueError, match="complete"):
+            literal.get_varint(data) if data[0] > 3 else literal.get_tree(data)
+
+
+def test_trees_as_columns(spark):
+    rows = [(["ab", "", "か"],), ([],), (None,)]
+    df = spark.createDataFrame(rows, "w array<string>").select("w", literal.tree(F.col("w")).alias("b"))
+    assert [r["w"] == r["t"] for r in df.select("w", literal.tree_texts(F.col("b")).alias("t")).collect()] == [True] * 3
+
+
+def test_kana_cycles(spark):
+    cases = [("か", "き"), ("xお", "xあ"), ("ー", "わ"), ("?", "、"), ("a", "a"), ("", "")]
+    df = spark.createDataFrame(cases, "a string, b string")
+    got = df.select("b", literal.cycle_last(F.col("a")).alias("on"), literal.cycle_last(literal.cycle_last(F.col("a")), back=True).alias("same"), "a").collect()
+    assert all(r["on"] == r["b"] and r["same"] == r["a"] for r in got)
+    one = spark.createDataFrame([("は",)], "a string")
+    turns = [literal.cycle_last(F.col("a"), literal.VARIANTS), literal.tapped(F.col("a"), F.lit("は"), F.lit(True)), literal.tapped(F.col("a"), F.lit("は"), F.lit(False)), literal.tapped(F.lit("z"), F.lit("は"), F.lit(True))]
+    assert tuple(one.select(*turns).first()) == ("ば", "ひ", "はは", "zは")
+
+
 def test_literal_functions_as_columns(spark):
     row = spark.createDataFrame([("kana", 300), (None, 1)], "s string, v long").select(literal.to_kana(F.col("s")).alias("k"), literal.words_of(F.lit("it's a-b, c")).alias("w"), literal.varint(F.col("v")).alias("b")).collect()
     assert [r["k"] for r in row] == ["かな", None] and row[0]["w"] == ["it's", "a-b", ",", "c"] and len(row[0]["b"]) == 2

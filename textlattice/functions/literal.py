@@ -1,10 +1,11 @@
-"""Sequential conversions as Arrow-batched functions: romaji to kana, word breaks, byte codes."""
+"""Conversions for typed text: romaji to kana, word breaks and byte codes over Arrow, kana cycles as columns."""
 
 from __future__ import annotations
 
 import re
 
 from pyspark.sql import Column
+from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 # The rows of the syllabary by consonant, for the vowels a i u e o.
@@ -55,26 +56,93 @@ def break_words(text: str) -> list[str]:
     return re.findall(r"[^\W_]+(?:['’-][^\W_]+)*|[^\w\s]|_", text)
 
 
+# Fixed values of the format: value bits of a number of 1 to 5 bytes, and of its first byte.
+_BITS, _FIRST = (7, 13, 19, 25, 32), (7, 6, 5, 4, 4)
+
+
 def put_varint(value: int) -> bytes:
-    """An unsigned 32-bit number in 1 to 5 bytes: leading ones of the first byte tell how many follow."""
-    for size, bits in enumerate((7, 13, 19, 25), 1):
-        if value < 1 << bits:
-            lead = (0xFF << (9 - size)) & 0xFF if size > 1 else 0
-            return ((lead << 8 * (size - 1)) | value).to_bytes(size, "big")
-    return b"\xf8" + value.to_bytes(4, "big")
+    """An unsigned 32-bit number in 1 to 5 bytes: the first byte's leading ones tell how many follow, with seven bits each."""
+    size = next(n for n, bits in enumerate(_BITS, 1) if value < 1 << bits)
+    if size == 1:
+        return bytes([value])
+    lead = 0x100 - (1 << (9 - size))
+    return bytes([lead | value >> 7 * (size - 1), *(0x80 | value >> 7 * k & 0x7F for k in reversed(range(size - 1)))])
 
 
 def get_varint(data: bytes) -> tuple[int, int]:
-    """(value, bytes read)."""
-    first = data[0]
-    if first < 0x80:
-        return first, 1
-    size = 1
-    while size < 5 and first >> (8 - size) & 1:
-        size += 1
-    value = int.from_bytes(data[:size], "big")
-    bits = (7, 13, 19, 25, 32)[size - 1]
-    return value & (1 << bits) - 1, size
+    """(value, bytes read). Bytes that follow the first have their highest bit set."""
+    size = 1 + next((k for k in range(4) if not data[0] << k & 0x80), 4)
+    value, rest = data[0] & (1 << _FIRST[size - 1]) - 1, data[1:size]
+    if len(rest) < size - 1 or any(x < 0x80 for x in rest):
+        raise ValueError("a number that isn't complete")
+    for x in rest:
+        value = value << 7 | x & 0x7F
+    return value, size
+
+
+# Fixed values of the format: the kinds of a tree's nodes.
+_NUMBER, _PAIR, _ARRAY, _BYTES = range(4)
+
+
+def put_tree(node: int | tuple | list | bytes | str) -> bytes:
+    """A tree as bytes, each node after its kind: numbers, pairs (tuples), arrays (lists), bytes; a text is UTF-16 bytes."""
+    if isinstance(node, int):
+        return put_varint(_NUMBER) + put_varint(node & 0xFFFFFFFF)
+    if isinstance(node, tuple):
+        first, second = node
+        return put_varint(_PAIR) + put_tree(first) + put_tree(second)
+    if isinstance(node, list):
+        return put_varint(_ARRAY) + put_varint(len(node)) + b"".join(map(put_tree, node))
+    raw = node.encode("utf-16-le") if isinstance(node, str) else node
+    return put_varint(_BYTES) + put_varint(len(raw)) + raw
+
+
+def get_tree(data: bytes, at: int = 0) -> tuple[int | tuple | list | bytes, int]:
+    """(the tree that starts at `at`, where it ends). Numbers are signed; a kind's higher bits, a field's name, are left out."""
+
+    def number() -> int:
+        nonlocal at
+        value, size = get_varint(data[at : at + 5])
+        at += size
+        return value
+
+    def below() -> int | tuple | list | bytes:
+        nonlocal at
+        out, at = get_tree(data, at)
+        return out
+
+    kind = number() & 3
+    if kind == _NUMBER:
+        value = number()
+        return value - ((value >> 31) << 32), at
+    if kind == _PAIR:
+        return (below(), below()), at
+    size = number()
+    if kind == _ARRAY:
+        return [below() for _ in range(size)], at
+    if at + size > len(data):
+        raise ValueError("bytes that aren't complete")
+    return data[at : at + size], at + size
+
+
+# Characters that a repeated key goes through, and those of the key for small and voiced ones.
+NEXT = ("あいうえお", "かきくけこ", "さしすせそ", "たちつてと", "なにぬねの", "はひふへほ", "まみむめも", "やゆよ", "らりるれろ", "わをんー", "、。?")
+VARIANTS = (
+    "あぁ", "いぃ", "うぅゔ", "えぇ", "おぉ", "かが", "きぎ", "くぐ", "けげ", "こご", "さざ", "しじ", "すず", "せぜ", "そぞ",
+    "ただ", "ちぢ", "つっづ", "てで", "とど", "はばぱ", "ひびぴ", "ふぶぷ", "へべぺ", "ほぼぽ", "やゃ", "ゆゅ", "よょ", "わゎ",
+)
+
+
+def cycle_last(c: Column, cycles: tuple[str, ...] = NEXT, back: bool = False) -> Column:
+    """The text with the next (or the one before) of its cycle for its last character; one without a cycle stays."""
+    here, there = "".join(cycles), "".join(x[1:] + x[:1] for x in cycles)
+    return F.concat(F.substr(c, F.lit(1), F.length(c) - 1), F.translate(F.right(c, F.lit(1)), *((there, here) if back else (here, there))))
+
+
+def tapped(c: Column, label: Column, repeated: Column) -> Column:
+    """The text after a key: a repeated one turns the last character on if it has a cycle, others add their label."""
+    known = F.right(c, F.lit(1)).isin(*"".join(NEXT))
+    return F.when(repeated & known, cycle_last(c)).otherwise(F.concat(c, label))
 
 
 def to_kana(c: Column) -> Column:
@@ -87,3 +155,13 @@ def words_of(c: Column) -> Column:
 
 def varint(c: Column) -> Column:
     return pandas_udf(lambda s: s.map(put_varint, na_action="ignore"), "binary")(c)
+
+
+def tree(c: Column) -> Column:
+    """Bytes of an array of texts as a tree."""
+    return pandas_udf(lambda s: s.map(lambda x: put_tree([*x]), na_action="ignore"), "binary")(c)
+
+
+def tree_texts(c: Column) -> Column:
+    """The texts of a tree that is an array of them."""
+    return pandas_udf(lambda s: s.map(lambda x: [t.decode("utf-16-le") for t in get_tree(bytes(x))[0]], na_action="ignore"), "array<string>")(c)

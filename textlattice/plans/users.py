@@ -48,6 +48,23 @@ def history_context_predict(spark, d):
     return H.predict(last, history_cond_prob(spark, d))
 
 
+def _lines(spark, d):
+    return _turns(spark, d).filter(F.size("words") > 0).select(F.format_string("%d-%d", "conv_id", "turn").alias("id"), "turn", "words")
+
+
+def typing_predict(spark, d):
+    """Even turns ask for the next word; of odd ones the last word is typed up to its second character."""
+    last = F.left(F.element_at("words", -1), F.lit(2))
+    lines = _lines(spark, d).withColumn("words", F.concat(F.slice("words", F.lit(1), F.size("words") - 1), F.array(F.when(F.col("turn") % 2 == 0, F.element_at("words", -1)).otherwise(last))))
+    return H.predict(H.while_typing(lines, F.col("turn") % 2 == 0), history_cond_prob(spark, d), k=1).drop("rank")
+
+
+def typed_out_penalty(spark, d):
+    lines = _lines(spark, d)
+    before = lines.select("id", F.slice("words", F.lit(1), F.size("words") - 1).alias("words"))
+    return H.penalties(H.predict(before, history_cond_prob(spark, d), k=1), lines.select("id", F.element_at("words", -1).alias("word")))
+
+
 def reinforce_fold(spark, d):
     gain = F.when(F.col("event_type") == "purchase", 1).when(F.col("event_type") == "error", -1).otherwise(0)
     return H.reinforced(_events(spark, d), "user_id", ["us", "event_id"], gain)
@@ -166,7 +183,7 @@ def stream_ngram_available_now(spark, d):
 
 QUERIES = {
     f.__name__: f
-    for f in (history_suffix_counts, history_register_full, history_cond_prob, history_context_predict, reinforce_fold, candidate_show, key_repeat, modifier_state, task_priority, json_command, varint_length, time_split, phrase_concat_flags, edit_ranges, word_marginal_entropy, entropy_lists, topic_top_words, mixunigram_estep_once, plsa_step_once, topic_merge, perplexity_window, convergence_flag, quantise_index, stream_ngram_available_now)
+    for f in (history_suffix_counts, history_register_full, history_cond_prob, history_context_predict, typing_predict, typed_out_penalty, reinforce_fold, candidate_show, key_repeat, modifier_state, task_priority, json_command, varint_length, time_split, phrase_concat_flags, edit_ranges, word_marginal_entropy, entropy_lists, topic_top_words, mixunigram_estep_once, plsa_step_once, topic_merge, perplexity_window, convergence_flag, quantise_index, stream_ngram_available_now)
 }
 
 _TURNS = f"turns AS (SELECT conv_id, turn, {C.TOKENS} AS w FROM conversations)"
@@ -176,6 +193,18 @@ _FULL = f"""{_TURNS}, bounded AS (SELECT turn, list_concat(['[BOS]'], w, ['[EOS]
     FROM (SELECT turn, w, unnest(range(1, len(w) + 1)) AS e FROM bounded), (SELECT k FROM range(1, {GRAMS + 1}) t(k)) WHERE k <= e) GROUP BY gram)"""
 _COND = f"""{_FULL}, parts AS (SELECT gram, regexp_extract(gram, '^(.*) [^ ]+$', 1) AS prefix, regexp_extract(gram, '([^ ]+)$', 1) AS word, used FROM hist),
   cond AS (SELECT *, CAST(used AS DOUBLE) / sum(used) OVER (PARTITION BY prefix) AS p FROM parts)"""
+
+
+def _predicted(states: str) -> str:
+    """The first prediction for each of the states (id, w, typed)."""
+    return f"""{_COND}, st AS ({states} FROM turns WHERE len(w) > 0),
+        hits AS (SELECT id, word, size, p FROM (SELECT id, typed, size, array_to_string(w[len(w) - size + 1:], ' ') AS prefix FROM st, (SELECT CAST(k AS INT) AS size FROM range(1, 3) t(k)) WHERE size <= len(w)) x
+          JOIN cond USING (prefix) WHERE starts_with(word, typed)),
+        best AS (SELECT * FROM hits QUALIFY row_number() OVER (PARTITION BY id, word ORDER BY size DESC) = 1),
+        pred AS (SELECT id, word, size, p FROM best QUALIFY row_number() OVER (PARTITION BY id ORDER BY size DESC, p DESC, word) = 1)"""
+
+
+_ID = "conv_id || '-' || turn AS id"
 _EV = "e AS (SELECT *, epoch_us(ts) AS us FROM events)"
 _USER = "PARTITION BY user_id ORDER BY us, event_id"
 _BYLANG = f"lt AS (SELECT lang AS topic, word, count(*) AS tf FROM (SELECT lang, unnest({C.TOKENS}) AS word FROM documents) GROUP BY ALL)"
@@ -204,6 +233,9 @@ ORACLE = {
         hits AS (SELECT id, word, size, p FROM (SELECT id, size, array_to_string(w[len(w) - size + 1:], ' ') AS prefix FROM last, (SELECT CAST(k AS INT) AS size FROM range(1, 3) t(k)) WHERE size <= len(w)) x JOIN cond USING (prefix)),
         best AS (SELECT * FROM hits QUALIFY row_number() OVER (PARTITION BY id, word ORDER BY size DESC) = 1)
         SELECT id, CAST(row_number() OVER (PARTITION BY id ORDER BY size DESC, p DESC, word) AS INT) AS rank, word, size, p FROM best QUALIFY rank <= 5""",
+    "typing_predict": f"""WITH {_predicted(f"SELECT {_ID}, CASE WHEN turn % 2 = 0 THEN w ELSE w[1:len(w) - 1] END AS w, CASE WHEN turn % 2 = 0 THEN '' ELSE left(w[len(w)], 2) END AS typed")} SELECT * FROM pred""",
+    "typed_out_penalty": f"""WITH {_predicted(f"SELECT {_ID}, w[1:len(w) - 1] AS w, '' AS typed")}
+        SELECT id, t.word, pred.word AS predicted, t.word = pred.word AS penalised FROM (SELECT {_ID}, w[len(w)] AS word FROM turns WHERE len(w) > 0) t JOIN pred USING (id)""",
     "reinforce_fold": f"""WITH {_EV}, g AS (SELECT user_id, list(CASE event_type WHEN 'purchase' THEN 5 WHEN 'error' THEN -5 ELSE 0 END ORDER BY us, event_id) AS gs FROM e GROUP BY user_id)
         SELECT user_id, CAST(list_reduce(list_concat([100], gs), lambda a, x: greatest(10, a + x)) AS BIGINT) AS bias, CAST(list_reduce(list_concat([100], gs), lambda a, x: greatest(10, a - x)) AS BIGINT) AS border FROM g""",
     "candidate_show": f"""WITH {C.UNI}, ws(c, weight) AS (VALUES {_WEIGHT_ROWS}), s AS (SELECT w1, CAST(sum(coalesce(weight, -1)) AS BIGINT) AS score FROM (SELECT w1, unnest(string_split(w1, '')) AS c FROM uni) x LEFT JOIN ws ON ws.c = x.c GROUP BY w1)
