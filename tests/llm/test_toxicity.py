@@ -54,6 +54,16 @@ def test_odd_rows(spark):
     assert toxicity.score(spark, cases.empty(spark), labels).collect() == []
 
 
+def test_an_id_of_many_rows_gives_one_text(spark, monkeypatch):
+    many, few = [k for k in range(1, 40) if zlib.crc32(str(k).encode()) % 4 != 2][:2]  # neither is held out
+    labels = spark.createDataFrame([(many, 1), (few, 0)], "doc_id long, toxic int")
+    docs = spark.createDataFrame([(many, f"text {k}") for k in range(50)] + [(few, "b"), (few, "a")], "doc_id long, text string")
+    given = []
+    monkeypatch.setattr(toxicity.Field, "fit", lambda texts, toxic, prior: given.extend(zip(texts, toxic.tolist(), strict=True)) or toxicity.Field({}, 0.0, np.ones((2, 2)), np.zeros(4)))
+    toxicity.train(docs, labels)
+    assert sorted(given) == [("a", 0), ("text 0", 1)]
+
+
 def test_spans_are_offsets():
     text = "you are a Foul beast. fine"
     p = np.array([0, 0, 0, 0.9, 0.8, 0, 0])
