@@ -79,3 +79,10 @@ def test_chains_and_large_groups_in_small_tiles(spark):
     for (k, fp), c in zip(signed, plain_components(rows), strict=True):
         same.setdefault(c, set()).add(roots.get(fp, fp))
     assert all(len(v) == 1 for v in same.values()) and len({*map(min, same.values())}) == len(same)
+
+
+def test_each_component_keeps_one_row(spark):
+    a, b, c, d = (cases.words(80, k, 5000) for k in (21, 22, 23, 24))
+    rows = [(5, a), (5, b), (9, b), (12, b), (None, c), (None, c), (None, d), (None, a)]
+    kept = simhash.survivors(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted(map(tuple, kept), key=repr) == sorted([(5, a), (5, b), (None, c), (None, d)], key=repr)

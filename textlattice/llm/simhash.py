@@ -249,11 +249,15 @@ def hex_of(fp: str) -> Column:
 
 
 def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, most: int = MOST) -> DataFrame:
-    """The rows of docs, with all their columns, whose id is the smallest of their component; of equal ids one stays."""
-    found = near_duplicates(docs, id_col, text_col, shingle, most)
-    keep = found.groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count(F.lit(1)).alias("n"))
-    keep = keep.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id"), "n")
-    hit = packed(docs).join(keep, F.col(f"__row.{id_col}").eqNullSafe(F.col("__id")))
+    """The rows of docs, with all their columns: of each component the one with the smallest id (nulls last), of equal
+    ids the one with the smallest hash of its text, of equal texts any one."""
+    hashed = lambda text: F.xxhash64(text_or_empty(text))
+    place = F.struct(F.col(id_col).isNull().alias("missing"), F.col(id_col).alias("id"), hashed(text_col).alias("hash"))
+    fps = materialise(fingerprints(docs.select(place.alias("doc_id"), F.col(text_col).alias("text")), shingle=shingle), "fingerprints")
+    keep = with_class(fps, classes(fps, most)).filter(F.col("doc_id") == F.col("component_id"))
+    keep = keep.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).select(F.col("doc_id.id").alias("__id"), F.col("doc_id.hash").alias("__hash"), "n")
+    full = packed(docs).withColumn("__text", hashed(F.col(f"__row.{text_col}")))
+    hit = full.join(keep, F.col(f"__row.{id_col}").eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__hash")))
     once = hit.filter("n = 1").select("__row.*")
-    tied = hit.filter("n > 1").groupBy("__id").agg(F.first("__row").alias("__row")).select("__row.*")
+    tied = hit.filter("n > 1").groupBy("__id", "__hash").agg(F.first("__row").alias("__row")).select("__row.*")
     return once.unionByName(tied)
