@@ -1,4 +1,5 @@
 import math
+import random
 import re
 from collections import Counter
 
@@ -82,3 +83,16 @@ def test_odd_rows(spark):
     every = K.survivors(spark, cases.odd(spark), labels.limit(0)).count()
     assert every == sum(bool(re.search(r"[^\x20\x09-\x0D]", t or "")) for _, t, *_ in cases.ODD)
     assert K.survivors(spark, cases.empty(spark), labels).collect() == []
+
+
+def test_every_word_keeps_its_own_counts(spark):
+    r = random.Random(9)
+    texts = [" ".join(f"w{r.randrange(200_000)}" for _ in range(12_000)) for _ in range(12)] + ["", "w1 new w2", "w5"]
+    docs = spark.createDataFrame([(k, t, k) for k, t in enumerate(texts)], "doc_id long, text string, key long").repartition(4)
+    labels = spark.createDataFrame([(k, 1) for k in range(12)], "doc_id long, quality int")
+    trusted = [texts[x["doc_id"]] for x in labels.filter(f"not ({K.HELD_OUT})").collect()]
+    kinds = len({w for t in trusted for w in t.split()})
+    assert kinds > 1 << 16
+    got = {x["key"]: x["perplexity"] for x in K.perplexities(spark, docs, labels).collect()}
+    want = by_hand(trusted, texts, kinds + 2)
+    assert got.pop(12) is None and [got[k] for k in sorted(got)] == pytest.approx(want[:12] + want[13:], rel=1e-9)

@@ -1,14 +1,15 @@
 """Quality by perplexity: an interpolated modified Kneser-Ney model of trusted text, joined with counts in shards.
 
-The model is a bigram model over the VOCAB most frequent words of trusted text; other words are one unknown word whose
-probability is spread over the kinds of unknown words. With back-off weights folded in, a document's log probability is a
-sum of one weight per unigram and one per stored bigram that it holds. So scoring is a join of bigram counts:
-
-1. Trusted rows (a label, and not in the held-out quarter) give the vocabulary and the bigram counts. Counts are added up
-   per chunk of documents before they are shuffled to SHARDS shards by bigram; each shard holds its part of the model.
-2. Totals of contexts and continuations, arrays of VOCAB numbers whatever the corpus, go over the driver to all tasks.
-3. Each chunk of documents sends every shard the bigrams that it holds, each once, with the documents that hold them. The
-   shard looks them up and returns a number per document. A bigram costs a few bytes: sorted, stored as differences.
+The model is a bigram model over all words of trusted text, which are known by 64-bit hashes; a word that trusted text
+hasn't got has the uniform share of the unigrams' left-over mass. With back-off weights folded in, a document's log
+probability is a sum of one weight per word and one per stored bigram that it holds. So scoring is a join of counts:
+
+1. Trusted rows (a label, and not in the held-out quarter) give the bigram counts. They are added up per chunk of
+   documents, then in shards by first word, where the totals of contexts are; then they move to shards by second word,
+   where the words' continuations are. Each of SHARDS shards (more for much trusted text) holds its part of the model.
+2. Only numbers of counts of 1, 2, 3 and 4, of words and of bigrams go over the driver to all tasks.
+3. Each chunk of documents sends every shard the words and bigrams that it holds, each once, with the documents that hold
+   them. The shard looks them up and returns a number per document. Keys are sorted, and stored as differences.
 4. Perplexities are compared with a quantile of the held-out trusted documents of their language, which the model has
    never seen. A language with too few of them is held against the quantile of all.
 
@@ -24,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -31,51 +33,80 @@ from pyspark.sql import functions as F
 
 from textlattice.llm.common import WORD, drop_path, materialise, packed, text_or_empty
 
-VOCAB = 60_000
+VOCAB = 0  # words that are kept, 0: all
 SHARDS = 32
 CHUNK_WORDS = 2_000_000
+PIECE = 250_000  # bigrams in a row of the model's tables
+SHARD_CHARS = 100_000_000  # of trusted text in a shard
 QUANTILE, MARGIN = 0.99, 1.05
 FEWEST = 20
 HELD_OUT = "pmod(crc32(cast(doc_id as string)), 4) = 2"
-START, UNKNOWN, FIRST = 0, 1, 2
+SEED = 42
+START, UNKNOWN = (np.uint64(xxhash.xxh64_intdigest(b, SEED)) for b in (b"", b" "))  # neither is a word
 _WORDS = re.compile(WORD)
 
 
-# Arrays of rising numbers, as bytes.
+# Arrays of numbers, as bytes.
 
 
-def squeezed(x: np.ndarray) -> bytes:
-    """An array of unsigned 32-bit numbers; rising ones best as differences."""
-    planes = np.ascontiguousarray(x.astype("<u4")).view(np.uint8).reshape(-1, 4).T
+def squeezed(x: np.ndarray, kind: str = "<u4") -> bytes:
+    """An array of numbers, by planes of bytes; rising ones best as differences."""
+    planes = np.ascontiguousarray(x.astype(kind)).view(np.uint8).reshape(-1, np.dtype(kind).itemsize).T
     return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
 
 
-def unsqueezed(b: bytes) -> np.ndarray:
+def unsqueezed(b: bytes, kind: str = "<u4") -> np.ndarray:
     flat = np.frombuffer(zstandard.ZstdDecompressor().decompress(b), dtype=np.uint8)
-    return np.ascontiguousarray(flat.reshape(4, -1).T).view("<u4").ravel()
+    return np.ascontiguousarray(flat.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
 
-def differences(x: np.ndarray) -> np.ndarray:
-    return np.diff(x.astype(np.int64), prepend=0)
+def rising(x: np.ndarray) -> bytes:
+    """A sorted array of unsigned 64-bit numbers."""
+    return squeezed(np.diff(x, prepend=np.uint64(0)), "<u8")
+
+
+def risen(b: bytes) -> np.ndarray:
+    return np.cumsum(unsqueezed(b, "<u8"), dtype=np.uint64)
 
 
 class Vocabulary(dict):
-    """Word numbers; words that aren't in it are UNKNOWN and aren't kept."""
+    """Word hashes. Where words are given, all others are UNKNOWN."""
 
-    def __init__(self, words: list[str]):
-        super().__init__({w: k for k, w in enumerate(words, FIRST)})
+    def __init__(self, words: list[str] | None, most: int = 500_000):
+        super().__init__({w: xxhash.xxh64_intdigest(w.encode(), SEED) for w in words or []})
+        self.open, self.most = words is None, most
 
     def __missing__(self, word: str) -> int:
-        return UNKNOWN
+        if not self.open:
+            return int(UNKNOWN)
+        self[word] = out = xxhash.xxh64_intdigest(word.encode(), SEED)
+        return out
 
     def numbers(self, text: str) -> np.ndarray:
+        if self.open and len(self) > self.most:
+            self.clear()
         words = _WORDS.findall(text)
-        return np.fromiter(map(self.__getitem__, words), dtype=np.uint32, count=len(words))
+        return np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
+
+
+def before(numbers: list[np.ndarray]) -> np.ndarray:
+    """The word before each word, START before a document's first."""
+    return np.concatenate([x for n in numbers if len(n) for x in ([START], n[:-1])] or [np.zeros(0, np.uint64)]).astype(np.uint64)
+
+
+def joined(numbers: list[np.ndarray]) -> np.ndarray:
+    return np.concatenate([*numbers, np.zeros(0, np.uint64)]).astype(np.uint64)
+
 
+# Keys of weights: a word's is its hash.
 
-def bigrams(numbers: np.ndarray) -> np.ndarray:
-    """Each word with the one before it, as one 32-bit number."""
-    return np.concatenate([[np.uint32(START)], numbers[:-1]]).astype(np.uint32) << np.uint32(16) | numbers
+
+def bigram_key(v: np.ndarray, w: np.ndarray) -> np.ndarray:
+    return v * np.uint64(0x9E3779B97F4A7C15) + w
+
+
+def last_key(w: np.ndarray) -> np.ndarray:
+    return w * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(1)
 
 
 def shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
@@ -111,22 +142,15 @@ def discounts(n: list[float]) -> np.ndarray:
 
 
 class Model:
-    """What all tasks need: log weights by word number, of VOCAB numbers each."""
-
-    def __init__(self, size: int, totals: dict[str, np.ndarray], kinds_unknown: int):
-        self.d = discounts(totals["counts"][1:].tolist())
-        c = np.maximum(totals["c"], 1)
-        seen = totals["c"] > 0
-        self.back = np.where(seen, (self.d[1] * totals["n1"] + self.d[2] * totals["n2"] + self.d[3] * totals["n3"]) / c, 1.0)
-        self.back = np.clip(self.back, 1e-12, 1.0)
-        kinds = totals["before"].astype(np.float64)  # distinct words before a word
-        every = max(1.0, kinds.sum())
-        low = discounts([float((kinds == k).sum()) for k in (1, 2, 3, 4)])
-        off = low[np.minimum(kinds, 3).astype(int)]
-        self.unigram = np.maximum(kinds - off, 0) / every + off.sum() / every / size
-        self.unigram = np.maximum(self.unigram, 1e-12)
-        self.c = c
-        self.log_back, self.log_unigram = np.log(self.back), np.log(self.unigram)
+    """What all tasks need: a few numbers, whatever the vocabulary."""
+
+    def __init__(self, totals: np.ndarray, size: int, kinds_unknown: int):
+        """totals: words with 1, 2, 3 and 4 distinct words before them, words, bigrams. size: of the vocabulary, 0 for all words."""
+        words, bigrams = int(totals[4]), int(totals[5])
+        self.low, self.every = discounts(totals[:4].tolist()), max(1.0, float(bigrams))
+        off = self.low[1] * totals[0] + self.low[2] * totals[1] + self.low[3] * (words - totals[0] - totals[1])
+        self.spread = off / self.every / (size or words + 2)
+        self.unseen = float(np.log(self.unigram(np.zeros(1, np.int64)))[0])
         self.unknown = -np.log(max(1, kinds_unknown))
 
     @classmethod
@@ -135,19 +159,19 @@ class Model:
         vars(out).update(state)
         return out
 
-    def weights(self, keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """What a stored bigram adds to the log probability by unigram and back-off alone."""
-        v, w = keys >> np.uint32(16), keys & np.uint32(0xFFFF)
-        plain = self.back[v] * self.unigram[w]
-        p = (counts - self.d[np.minimum(counts, 3)]) / self.c[v] + plain
-        return np.log(p) - np.log(plain)
+    def unigram(self, kinds: np.ndarray) -> np.ndarray:
+        """The probability of words with so many distinct words before them."""
+        return np.maximum(np.maximum(kinds - self.low[np.minimum(kinds, 3)], 0) / self.every + self.spread, 1e-12)
+
+    def weights(self, words: np.ndarray, log_back: np.ndarray, kinds: np.ndarray, keys: np.ndarray, ratios: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(keys, weights) of a piece of the model: of words, of a document's last word, and of bigrams.
 
-    def plain(self, numbers: np.ndarray) -> float:
-        """The part of a document's log probability that needs no bigram."""
-        if not len(numbers):
-            return 0.0
-        before = np.concatenate([[START], numbers[:-1]])
-        return float(self.log_back[before].sum() + self.log_unigram[numbers].sum() + self.unknown * (numbers == UNKNOWN).sum())
+        A word's weight is what it adds as a word, beyond an unseen one, and as a context; the last word is no context.
+        """
+        unigram = self.unigram(kinds)
+        word = np.log(unigram) - self.unseen + log_back + np.where(words == UNKNOWN, self.unknown, 0.0)
+        pair = np.log1p(ratios / np.repeat(unigram, kinds))
+        return np.concatenate([words, last_key(words), keys]), np.concatenate([word, -log_back, pair])
 
 
 def trusted_rows(docs: DataFrame, labels: DataFrame, label_col: str) -> DataFrame:
@@ -183,121 +207,217 @@ def vocabulary_of(trusted: DataFrame, size: int) -> tuple[list[str], int]:
         yield pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], names=["word", "n"])
 
     words = materialise(trusted.mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
-    top = [r["word"] for r in words.orderBy(F.desc("n"), "word").limit(size - FIRST).collect()]  # at most `size`
+    top = [r["word"] for r in words.orderBy(F.desc("n"), "word").limit(size - 2).collect()]  # at most `size`
     return top, words.count() - len(top)
 
 
+def rows_of(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
+    """Numbers of a shard or chunk, then bytes."""
+    kinds = [pa.binary() if isinstance(x, bytes) else pa.int64() for x in rows[0]]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+
+
+def pieces(first: np.ndarray, piece: int) -> Iterator[tuple[int, int]]:
+    """Spans of about so many elements of a sorted array that don't part equal ones."""
+    lo = 0
+    while lo < len(first):
+        hi = int(np.searchsorted(first, first[min(lo + piece, len(first)) - 1], side="right"))
+        yield lo, hi
+        lo = hi
+
+
 def counted(trusted: DataFrame, vocabulary, shards: int, chunk: int) -> DataFrame:
-    """Bigram counts of trusted text: shard, keys, counts, added up within each chunk."""
+    """Bigram counts of trusted text, added up within each chunk: shard of the first word, first words, second words, counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, numbers in chunks(batches, 0, Vocabulary(vocabulary.value), chunk):
-            keys, counts = np.unique(np.concatenate([bigrams(n) for n in numbers if len(n)] or [np.zeros(0, np.uint32)]), return_counts=True)
-            at = shard_of(keys, shards)
-            for s in np.unique(at).tolist():
-                mine = at == s
-                yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([squeezed(differences(keys[mine]))]), pa.array([squeezed(counts[mine])])], names=["shard", "keys", "counts"])
+            v, w, n = summed(before(numbers), joined(numbers), None)
+            at = shard_of(v, shards)
+            out = [(int(s), rising(v[at == s]), squeezed(w[at == s], "<u8"), squeezed(n[at == s])) for s in np.unique(at)]
+            if out:
+                yield rows_of(out, ["shard", "v", "w", "n"])
+
+    return trusted.mapInArrow(run, "shard long, v binary, w binary, n binary")
 
-    return trusted.mapInArrow(run, "shard int, keys binary, counts binary")
 
+def summed(v: np.ndarray, w: np.ndarray, n: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each bigram once, in order, with the sum of its counts."""
+    if not len(v):
+        return v, w, np.zeros(0, np.int64)
+    order = np.lexsort((w, v))
+    v, w = v[order], w[order]
+    at = np.concatenate([[0], np.flatnonzero((v[1:] != v[:-1]) | (w[1:] != w[:-1])) + 1])
+    sums = np.diff(at, append=len(v)) if n is None else np.add.reduceat(n[order].astype(np.int64), at)
+    return v[at], w[at], sums
 
-def merged(parts: DataFrame, shards: int, size: int) -> DataFrame:
-    """One row per shard: its bigrams with their counts, and its share of the totals."""
 
-    def row(shard: int, keys: list[np.ndarray], counts: list[np.ndarray]) -> pa.RecordBatch:
-        key, at = np.unique(np.concatenate(keys), return_inverse=True)
-        n = np.bincount(at, weights=np.concatenate(counts)).astype(np.int64)
-        v, w = (key >> np.uint32(16)).astype(np.int64), (key & np.uint32(0xFFFF)).astype(np.int64)
-        totals = [np.bincount(v, weights=n, minlength=size), *[np.bincount(v[(n == k) if k < 3 else n >= 3], minlength=size) for k in (1, 2, 3)], np.bincount(w, minlength=size), np.bincount(np.minimum(n, 5), minlength=6)[:5]]
-        flat = np.concatenate(totals).astype(np.uint32)
-        return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([squeezed(differences(key))]), pa.array([squeezed(n)]), pa.array([squeezed(flat)])], names=["shard", "keys", "counts", "totals"])
+def by_context(parts: DataFrame, shards: int, piece: int) -> DataFrame:
+    """Rows of whole contexts: shard, v, w, n, and how many bigrams have counts of 1, 2, 3 and 4."""
+
+    def rows(shard: int, held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        v, w, n = summed(*map(np.concatenate, zip(*held, strict=True)))
+        for lo, hi in pieces(v, piece):
+            counts = np.bincount(np.minimum(n[lo:hi], 5), minlength=6)[1:5]
+            yield rows_of([(shard, rising(v[lo:hi]), squeezed(w[lo:hi], "<u8"), squeezed(n[lo:hi], "<u8"), counts.astype("<i8").tobytes())], ["shard", "v", "w", "n", "counts"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, keys, counts, size_now = None, [], [], 0
+        now, held, least = None, [], 0
         for b in batches:
-            for shard, k, c in zip(*[b.column(j).to_pylist() for j in range(3)], strict=True):
-                if shard != now and keys:
-                    yield row(now, keys, counts)
-                    keys, counts, size_now = [], [], 0
+            for shard, v, w, n in zip(*[b.column(j).to_pylist() for j in range(4)], strict=True):
+                if shard != now and held:
+                    yield from rows(now, held)
+                    held, least = [], 0
                 now = shard
-                keys.append(np.cumsum(unsqueezed(k).astype(np.int64)).astype(np.uint32))
-                counts.append(unsqueezed(c))
-                size_now += len(keys[-1])
-                if size_now > 4 * len(keys[0]) + 1_000_000:  # equal bigrams of many chunks become one
-                    key, at = np.unique(np.concatenate(keys), return_inverse=True)
-                    counts = [np.bincount(at, weights=np.concatenate(counts)).astype(np.int64)]
-                    keys, size_now = [key], len(key)
-        if keys:
-            yield row(now, keys, counts)
+                held.append((risen(v), unsqueezed(w, "<u8"), unsqueezed(n).astype(np.int64)))
+                if sum(len(h[0]) for h in held) > 2 * least + 1_000_000:  # equal bigrams of many chunks become one
+                    held = [summed(*map(np.concatenate, zip(*held, strict=True)))]
+                    least = len(held[0][0])
+        if held:
+            yield from rows(now, held)
 
     dealt = parts.repartition(shards, "shard").sortWithinPartitions("shard")
-    return dealt.mapInArrow(run, "shard int, keys binary, counts binary, totals binary")
+    return dealt.mapInArrow(run, "shard long, v binary, w binary, n binary, counts binary")
+
 
+def by_word(contexts: DataFrame, d: np.ndarray, shards: int, piece: int) -> DataFrame:
+    """The model: shard, words, their log back-off weights and numbers of distinct words before them; their bigrams' keys
+    and the ratios of the discounted probability to the back-off weight; totals for Model."""
 
-def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, label_col: str = "quality", vocab: int = VOCAB, shards: int = SHARDS, chunk: int = CHUNK_WORDS):
-    """docs: doc_id, text. (the model's shards as a table, the shared model, the shared vocabulary)."""
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for shard, v, w, n in zip(*[b.column(j).to_pylist() for j in range(4)], strict=True):
+                v, w, n = risen(v), unsqueezed(w, "<u8"), unsqueezed(n, "<u8").astype(np.int64)
+                at = np.concatenate([[0], np.flatnonzero(v[1:] != v[:-1]) + 1])
+                c, off, size = np.add.reduceat(n, at), np.add.reduceat(d[np.minimum(n, 3)], at), np.diff(at, append=len(v))
+                back = np.clip(off / c, 1e-12, 1.0)
+                ratio = (n - d[np.minimum(n, 3)]) / np.repeat(c * back, size)
+                out = [(shard, rising(v[at]), np.log(back).tobytes(), b"", b"")]
+                order = np.argsort(w, kind="stable")
+                keys, w, ratio = bigram_key(v, w)[order], w[order], ratio[order]
+                to = shard_of(w, shards)
+                out += [(int(s), rising(w[to == s]), b"", squeezed(keys[to == s], "<u8"), squeezed(ratio[to == s], "<f8")) for s in np.unique(to)]
+                yield rows_of(out, ["shard", "words", "back", "keys", "ratios"])
+
+    def rows(shard: int, contexts: list[tuple], grams: list[tuple]) -> Iterator[pa.RecordBatch]:
+        w, keys, ratio = map(np.concatenate, zip(*(grams or [(np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0))]), strict=True))
+        v, back = map(np.concatenate, zip(*(contexts or [(np.zeros(0, np.uint64), np.zeros(0))]), strict=True))
+        order, by_v = np.argsort(w, kind="stable"), np.argsort(v)
+        w, keys, ratio, v, back = w[order], keys[order], ratio[order], v[by_v], back[by_v]
+        words = np.union1d(w, v)  # START is a context only
+        lo_hi = np.searchsorted(w, words, side="left"), np.searchsorted(w, words, side="right")
+        kinds, log_back = lo_hi[1] - lo_hi[0], np.zeros(len(words))
+        log_back[np.searchsorted(words, v)] = back
+        ends = np.cumsum(kinds)
+        for a, b in pieces(ends // piece, 1):
+            lo, hi = int(ends[a - 1]) if a else 0, int(ends[b - 1])
+            k = kinds[a:b]
+            totals = np.array([*[(k == j).sum() for j in (1, 2, 3, 4)], (k > 0).sum(), k.sum()], dtype="<i8")
+            yield rows_of([(shard, rising(words[a:b]), squeezed(log_back[a:b], "<f8"), squeezed(k), squeezed(keys[lo:hi], "<u8"), squeezed(ratio[lo:hi], "<f8"), totals.tobytes())], ["shard", "words", "back", "kinds", "keys", "ratios", "totals"])
+
+    def receive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, contexts, grams = None, [], []
+        for b in batches:
+            for shard, words, back, keys, ratios in zip(*[b.column(j).to_pylist() for j in range(5)], strict=True):
+                if shard != now and now is not None:
+                    yield from rows(now, contexts, grams)
+                    contexts, grams = [], []
+                now = shard
+                if back:
+                    contexts.append((risen(words), np.frombuffer(back)))
+                else:
+                    grams.append((risen(words), unsqueezed(keys, "<u8"), unsqueezed(ratios, "<f8")))
+        if now is not None:
+            yield from rows(now, contexts, grams)
+
+    sent = contexts.select("shard", "v", "w", "n").mapInArrow(send, "shard long, words binary, back binary, keys binary, ratios binary")
+    dealt = sent.repartition(shards, "shard").sortWithinPartitions("shard")
+    return dealt.mapInArrow(receive, "shard long, words binary, back binary, kinds binary, keys binary, ratios binary, totals binary")
+
+
+def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, label_col: str = "quality", vocab: int = VOCAB, shards: int = SHARDS, chunk: int = CHUNK_WORDS, piece: int = PIECE):
+    """docs: doc_id, text. (the model as a table, the shared model, the shared vocabulary, the number of shards)."""
     trusted = trusted_rows(docs, labels, label_col)
-    words, others = vocabulary_of(trusted, vocab)
+    words, others = vocabulary_of(trusted, vocab) if vocab else (None, 0)
     vocabulary = spark.sparkContext.broadcast(words)  # at most `vocab` words
-    table = materialise(merged(counted(trusted, vocabulary, shards, chunk), shards, vocab), "bigrams")
+    chars = trusted.agg(F.sum(F.length("text"))).first()[0] or 0
+    shards = max(shards, -(-chars // SHARD_CHARS))
+    contexts = materialise(by_context(counted(trusted, vocabulary, shards, chunk), shards, piece), "bigrams")
     drop_path(spark, trusted)
-    sums = np.zeros(5 * vocab + 5, dtype=np.int64)
-    for r in table.select("totals").toLocalIterator():  # one row of 5 arrays of `vocab` numbers per shard
-        sums += unsqueezed(r["totals"]).astype(np.int64)
-    names = ("c", "n1", "n2", "n3", "before")
-    totals = {k: sums[j * vocab : (j + 1) * vocab] for j, k in enumerate(names)} | {"counts": sums[5 * vocab :].astype(np.float64)}
-    return table.select("shard", "keys", "counts"), spark.sparkContext.broadcast(vars(Model(vocab, totals, others))), vocabulary
+    counts = summed_column(contexts, "counts", 4)
+    table = materialise(by_word(contexts, discounts(counts.tolist()), shards, piece), "model")
+    drop_path(spark, contexts)
+    model = Model(summed_column(table, "totals", 6), vocab, others)
+    return table.drop("totals"), spark.sparkContext.broadcast(vars(model)), vocabulary, shards
+
+
+def summed_column(table: DataFrame, name: str, size: int) -> np.ndarray:
+    """The sum of a column of arrays of a few numbers, a row per piece."""
+    out = np.zeros(size, dtype=np.int64)
+    for r in table.select(name).toLocalIterator():
+        out += np.frombuffer(r[name], dtype="<i8")
+    return out
 
 
 def asked(rows: DataFrame, model, vocabulary, shards: int, chunk: int) -> DataFrame:
-    """rows: key, text. Per chunk a row for each shard with the bigrams and who holds them, and a row about the documents."""
+    """rows: key, text. Per chunk a row for each shard with the words and bigrams and who holds them, and a row about the documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, words, m = TaskContext.get().partitionId(), Vocabulary(vocabulary.value), Model.of(model.value)
         for k, (meta, numbers) in enumerate(chunks(batches, 1, words, chunk)):
             name = task << 24 | k
             sizes = np.array([len(n) for n in numbers])
-            about = np.array([[r[0] for r in meta], sizes], dtype=np.int64).tobytes() + np.array([m.plain(n) for n in numbers]).tobytes()
-            keys = np.concatenate([bigrams(n) for n in numbers if len(n)] or [np.zeros(0, np.uint32)]).astype(np.uint64)
-            pairs, times = np.unique(keys << np.uint64(32) | np.repeat(np.arange(len(numbers), dtype=np.uint64), sizes), return_counts=True)
-            key, holder = (pairs >> np.uint64(32)).astype(np.uint32), (pairs & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-            at = shard_of(key, shards)
+            about = np.array([[r[0] for r in meta], sizes], dtype=np.int64).tobytes() + (sizes * m.unseen).tobytes()
+            w, doc, some = joined(numbers), np.repeat(np.arange(len(numbers)), sizes), np.flatnonzero(sizes)
+            last = w[np.cumsum(sizes)[some] - 1]
+            key = np.concatenate([np.full(len(some), START), w, last_key(last), bigram_key(before(numbers), w)])
+            route = np.concatenate([np.full(len(some), START), w, last, w])
+            holder = np.concatenate([some, doc, some, doc]).astype(np.uint64)
+            key, first, inverse = np.unique(key, return_index=True, return_inverse=True)
+            pairs, times = np.unique(inverse.astype(np.uint64) << np.uint64(32) | holder, return_counts=True)
+            of, holder = (pairs >> np.uint64(32)).astype(np.int64), (pairs & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+            at = shard_of(route[first], shards)
+            holders, pair_at = np.bincount(of, minlength=len(key)), at[of]
             out = [(name % shards, 1, name, about, b"", b"", b"")]
             for s in np.unique(at).tolist():
-                mine = at == s
-                distinct, holders = np.unique(key[mine], return_counts=True)
-                out.append((s, 2, name, squeezed(differences(distinct)), squeezed(holders), squeezed(holder[mine]), squeezed(times[mine])))
-            kinds = (pa.int32(), pa.int32(), pa.int64(), *[pa.binary()] * 4)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["shard", "kind", "chunk", "a", "b", "c", "d"])
+                mine, its = at == s, pair_at == s
+                out.append((s, 2, name, rising(key[mine]), squeezed(holders[mine]), squeezed(holder[its]), squeezed(times[its])))
+            yield rows_of(out, ["shard", "kind", "chunk", "a", "b", "c", "d"])
 
-    return rows.mapInArrow(run, "shard int, kind int, chunk long, a binary, b binary, c binary, d binary")
+    return rows.mapInArrow(run, "shard long, kind long, chunk long, a binary, b binary, c binary, d binary")
 
 
 def answered(table: DataFrame, asks: DataFrame, model, shards: int) -> DataFrame:
     """The join: each shard's model meets what the chunks ask. Rows chunk, shard (-1: about the documents), numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, keys, weights, m = None, np.zeros(0, np.uint32), np.zeros(0), Model.of(model.value)
+        now, held, m = None, [], Model.of(model.value)
         for b in batches:
             out = []
-            for shard, kind, chunk, a, bb, c, d in zip(*[b.column(j).to_pylist() for j in range(7)], strict=True):
+            for shard, kind, chunk, a, bb, c, d, e in zip(*[b.column(j).to_pylist() for j in range(8)], strict=True):
+                if shard != now:
+                    now, held, keys = shard, [], None
                 if kind == 0:
-                    now, keys = shard, np.cumsum(unsqueezed(a).astype(np.int64)).astype(np.uint32)
-                    weights = m.weights(keys, unsqueezed(bb).astype(np.int64))
-                elif kind == 1:
+                    held.append(m.weights(risen(a), unsqueezed(bb, "<f8"), unsqueezed(c).astype(np.int64), unsqueezed(d, "<u8"), unsqueezed(e, "<f8")))
+                    continue
+                if kind == 1:
                     out.append((chunk, -1, a))
-                elif now == shard and len(keys):
-                    key = np.cumsum(unsqueezed(a).astype(np.int64)).astype(np.uint32)
+                    continue
+                if keys is None and held:
+                    keys, weights = map(np.concatenate, zip(*held, strict=True))
+                    order = np.argsort(keys)
+                    keys, weights, held = keys[order], weights[order], []
+                if keys is not None:
+                    key = risen(a)
                     at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
                     w = np.repeat(np.where(keys[at] == key, weights[at], 0.0), unsqueezed(bb))
                     out.append((chunk, shard, np.bincount(unsqueezed(c), weights=w * unsqueezed(d)).tobytes()))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["chunk", "shard", "numbers"])
+                yield rows_of(out, ["chunk", "shard", "numbers"])
 
-    empty = F.lit(b"")
-    held = table.select("shard", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("chunk"), F.col("keys").alias("a"), F.col("counts").alias("b"), empty.alias("c"), empty.alias("d"))
-    dealt = held.unionByName(asks).repartition(shards, "shard").sortWithinPartitions("shard", "kind", "chunk")
-    return dealt.mapInArrow(run, "chunk long, shard int, numbers binary")
+    zero = F.lit(0).cast("long")
+    held = table.select("shard", zero.alias("kind"), zero.alias("chunk"), F.col("words").alias("a"), F.col("back").alias("b"), F.col("kinds").alias("c"), F.col("keys").alias("d"), F.col("ratios").alias("e"))
+    dealt = held.unionByName(asks.withColumn("e", F.lit(b""))).repartition(shards, "shard").sortWithinPartitions("shard", "kind", "chunk")
+    return dealt.mapInArrow(run, "chunk long, shard long, numbers binary")
 
 
 def added(answers: DataFrame) -> DataFrame:
@@ -331,7 +451,7 @@ def added(answers: DataFrame) -> DataFrame:
 
 def perplexities(spark: SparkSession, docs: DataFrame, labels: DataFrame, label_col: str = "quality", vocab: int = VOCAB, shards: int = SHARDS, chunk: int = CHUNK_WORDS) -> DataFrame:
     """docs: doc_id, key, text. One row per key: n_words, perplexity (null without words)."""
-    table, model, vocabulary = fit(spark, docs, labels, label_col, vocab, shards, chunk)
+    table, model, vocabulary, shards = fit(spark, docs, labels, label_col, vocab, shards, chunk)
     asks = asked(docs.select("key", "text"), model, vocabulary, shards, chunk)
     sums = materialise(added(answered(table, asks, model, shards)), "log-probabilities")
     perplexity = F.when(F.col("n_words") > 0, F.exp(-F.col("log_p") / F.col("n_words")))
