@@ -96,3 +96,19 @@ def test_every_word_keeps_its_own_counts(spark):
     got = {x["key"]: x["perplexity"] for x in K.perplexities(spark, docs, labels).collect()}
     want = by_hand(trusted, texts, kinds + 2)
     assert got.pop(12) is None and [got[k] for k in sorted(got)] == pytest.approx(want[:12] + want[13:], rel=1e-9)
+
+
+def test_thresholds_have_one_formula_at_every_size(spark):
+    ids = range(400)
+    docs = spark.createDataFrame([(k, cases.words(40, k, 60 if k % 10 else 3000), "b" if k % 10 else "r") for k in ids] + [(400, "w1", "none")], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(k, 1) for k in ids], "doc_id long, quality int")
+    fair = {x["doc_id"] for x in labels.filter(K.HELD_OUT).collect()}
+    rows = K.judged(spark, docs, labels).collect()
+    logs = lambda lang: sorted(math.log(x["perplexity"]) for x in rows if x["doc_id"] in fair and lang in (None, x["lang"]))
+    top = lambda x: x[math.ceil(K.QUANTILE * len(x)) - 1]
+    cuts = {x["lang"]: math.log(x["threshold"]) / K.MARGIN for x in rows}
+    assert 0 < len(logs("r")) < 20 < len(logs("b"))
+    for lang in "rb":
+        n = len(logs(lang))
+        assert cuts[lang] == pytest.approx((n * top(logs(lang)) + 20 * top(logs(None))) / (n + 20), rel=1e-9)
+    assert cuts["none"] == pytest.approx(top(logs(None)), rel=1e-9)

@@ -11,7 +11,8 @@ probability is a sum of one weight per word and one per stored bigram that it ho
 3. Each chunk of documents sends every shard the words and bigrams that it holds, each once, with the documents that hold
    them. The shard looks them up and returns a number per document. Keys are sorted, and stored as differences.
 4. Perplexities are compared with a quantile of the held-out trusted documents of their language, which the model has
-   never seen. A language with too few of them is held against the quantile of all.
+   never seen. The logarithms' quantile of n documents is drawn towards that of all languages, which counts as SHRINK
+   documents; a language without any is held against the latter.
 
 Defined results: a document without words has no perplexity and is rejected; a null text is empty; a null language is a
 language of its own; a null id has no label; repeated rows are judged alike; without any trusted document all documents
@@ -39,7 +40,7 @@ CHUNK_WORDS = 2_000_000
 PIECE = 250_000  # bigrams in a row of the model's tables
 SHARD_CHARS = 100_000_000  # of trusted text in a shard
 QUANTILE, MARGIN = 0.99, 1.05
-FEWEST = 20
+SHRINK = 20
 HELD_OUT = "pmod(crc32(cast(doc_id as string)), 4) = 2"
 SEED = 42
 START, UNKNOWN = (np.uint64(xxhash.xxh64_intdigest(b, SEED)) for b in (b"", b" "))  # neither is a word
@@ -467,11 +468,11 @@ def judged(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str
     fair = labels.filter((F.col("quality") == 1) & F.expr(HELD_OUT)).select("doc_id").distinct()
     fair = found.filter("perplexity is not null").join(fair, "doc_id")
     cut = F.percentile_approx(F.ln("perplexity"), F.lit(quantile), F.lit(10_000))
-    by_lang = fair.groupBy(F.col("lang").alias("l")).agg(F.exp(cut * margin).alias("own"), F.count(F.lit(1)).alias("n"))
-    by_lang = by_lang.filter(F.col("n") >= FEWEST).select("l", "own")
-    every = fair.agg(F.exp(cut * margin).alias("all"))
+    by_lang = fair.groupBy(F.col("lang").alias("l")).agg(cut.alias("own"), F.count(F.lit(1)).alias("n"))
+    every = fair.agg(cut.alias("all"))
     out = found.join(by_lang, F.col("lang").eqNullSafe(F.col("l")), "left").crossJoin(F.broadcast(every))  # one row
-    threshold = F.coalesce("own", "all")
+    drawn = (F.col("own") * F.col("n") + F.col("all") * SHRINK) / (F.col("n") + SHRINK)
+    threshold = F.exp(F.coalesce(drawn, "all") * margin)
     kept = (F.col("n_words") > 0) & F.coalesce(F.col("perplexity") <= threshold, F.lit(True))
     return out.select("doc_id", "lang", "key", "n_words", "perplexity", threshold.alias("threshold"), kept.alias("kept"))
 
