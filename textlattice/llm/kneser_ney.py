@@ -73,7 +73,7 @@ def risen(b: bytes) -> np.ndarray:
 class Vocabulary(dict):
     """Word hashes. Where words are given, all others are UNKNOWN."""
 
-    def __init__(self, words: list[str] | None, most: int = 500_000):
+    def __init__(self, words: list[str] | None, most: int = 200_000):
         super().__init__({w: xxhash.xxh64_intdigest(w.encode(), SEED) for w in words or []})
         self.open, self.most = words is None, most
 
@@ -218,6 +218,15 @@ def rows_of(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
 
+def by_shard(at: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(shard, positions) of an array of shards. What follows is done for a shard at a time, in little memory."""
+    order = np.argsort(at.astype(np.uint16), kind="stable")
+    ends = np.cumsum(np.bincount(at.astype(np.int64)))
+    for s, (lo, hi) in enumerate(zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True) if len(at) else ()):
+        if hi > lo:
+            yield s, order[lo:hi]
+
+
 def pieces(first: np.ndarray, piece: int) -> Iterator[tuple[int, int]]:
     """Spans of about so many elements of a sorted array that don't part equal ones."""
     lo = 0
@@ -232,9 +241,12 @@ def counted(trusted: DataFrame, vocabulary, shards: int, chunk: int) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, numbers in chunks(batches, 0, Vocabulary(vocabulary.value), chunk):
-            v, w, n = summed(before(numbers), joined(numbers), None)
-            at = shard_of(v, shards)
-            out = [(int(s), rising(v[at == s]), squeezed(w[at == s], "<u8"), squeezed(n[at == s])) for s in np.unique(at)]
+            v, w = before(numbers), joined(numbers)
+            del numbers
+            out = []
+            for s, its in by_shard(shard_of(v, shards)):
+                vs, ws, n = summed(v[its], w[its], None)
+                out.append((s, rising(vs), squeezed(ws, "<u8"), squeezed(n)))
             if out:
                 yield rows_of(out, ["shard", "v", "w", "n"])
 
@@ -347,6 +359,7 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, label_col: str
     counts = summed_column(contexts, "counts", 4)
     table = materialise(by_word(contexts, discounts(counts.tolist()), shards, piece), "model")
     drop_path(spark, contexts)
+    spark._jvm.System.gc()  # Spark deletes the shuffles that are done with
     model = Model(summed_column(table, "totals", 6), vocab, others)
     return table.drop("totals"), spark.sparkContext.broadcast(vars(model)), vocabulary, shards
 
@@ -368,20 +381,21 @@ def asked(rows: DataFrame, model, vocabulary, shards: int, chunk: int) -> DataFr
             name = task << 24 | k
             sizes = np.array([len(n) for n in numbers])
             about = np.array([[r[0] for r in meta], sizes], dtype=np.int64).tobytes() + (sizes * m.unseen).tobytes()
-            w, doc, some = joined(numbers), np.repeat(np.arange(len(numbers)), sizes), np.flatnonzero(sizes)
+            w, v, some = joined(numbers), before(numbers), np.flatnonzero(sizes)
+            del meta, numbers
             last = w[np.cumsum(sizes)[some] - 1]
-            key = np.concatenate([np.full(len(some), START), w, last_key(last), bigram_key(before(numbers), w)])
-            route = np.concatenate([np.full(len(some), START), w, last, w])
-            holder = np.concatenate([some, doc, some, doc]).astype(np.uint64)
-            key, first, inverse = np.unique(key, return_index=True, return_inverse=True)
-            pairs, times = np.unique(inverse.astype(np.uint64) << np.uint64(32) | holder, return_counts=True)
-            of, holder = (pairs >> np.uint64(32)).astype(np.int64), (pairs & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-            at = shard_of(route[first], shards)
-            holders, pair_at = np.bincount(of, minlength=len(key)), at[of]
+            key = np.concatenate([np.full(len(some), START), w, last_key(last), bigram_key(v, w)])
+            at = shard_of(np.concatenate([np.full(len(some), START), w, last, w]), shards).astype(np.uint16)
+            doc = np.repeat(np.arange(len(sizes), dtype=np.uint32), sizes)
+            holder = np.concatenate([some.astype(np.uint32), doc, some.astype(np.uint32), doc])
+            del w, v, doc
             out = [(name % shards, 1, name, about, b"", b"", b"")]
-            for s in np.unique(at).tolist():
-                mine, its = at == s, pair_at == s
-                out.append((s, 2, name, rising(key[mine]), squeezed(holders[mine]), squeezed(holder[its]), squeezed(times[its])))
+            for s, its in by_shard(at):
+                distinct, inverse = np.unique(key[its], return_inverse=True)
+                pairs, times = np.unique(inverse.astype(np.uint64) << np.uint64(32) | holder[its], return_counts=True)
+                holders = np.bincount((pairs >> np.uint64(32)).astype(np.int64), minlength=len(distinct))
+                out.append((s, 2, name, rising(distinct), squeezed(holders), squeezed(pairs & np.uint64(0xFFFFFFFF)), squeezed(times)))
+            del key, holder, at
             yield rows_of(out, ["shard", "kind", "chunk", "a", "b", "c", "d"])
 
     return rows.mapInArrow(run, "shard long, kind long, chunk long, a binary, b binary, c binary, d binary")
