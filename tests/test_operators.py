@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from textlattice.functions import literal
 from textlattice.functions import text as T
 from textlattice.operators import lattice, lexicon, ngrams, phrases, quantise
+from textlattice.plans import phrases as plans
 from textlattice.sources import files
 
 
@@ -147,3 +148,10 @@ def test_count_all_is_all_orders(spark):
     s = spark.createDataFrame([(["a", "b", "a"],), ([],)], "words array<string>")
     got = sorted(map(tuple, ngrams.count_all(s, 3).collect()))
     assert got == [(1, "a", 2), (1, "b", 1), (2, "a b", 1), (2, "b a", 1), (3, "a b a", 1)]
+
+
+def test_viterbi_knows_rare_and_long_words(spark, tmp_path):
+    rows = [(1, "wonderful extraordinary ab", "en", "a", 26), (2, "wonderful ab ab", "en", "a", 15)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    paths = {r["s"]: r["path"] for r in plans.viterbi_best(spark, str(tmp_path)).collect()}
+    assert {s: p.split("/")[0] for s, p in paths.items()} == {s: s for s in ("wonderful", "extraordinary", "ab")}

@@ -88,9 +88,10 @@ def lattice_chars(spark, d):
     return A.chars(_strings(spark, d))
 
 
-def _dictionary(spark, d):
-    """Readings of up to LONGEST_ENTRY letters: one entry for each part of speech."""
-    e = _entries(spark, d).filter((F.col("cnt") >= LEAST_ENTRY) & (F.length("reading") <= LONGEST_ENTRY) & ~F.col("display").startswith("["))
+def _dictionary(spark, d, longest=LONGEST_ENTRY, least=LEAST_ENTRY):
+    """Readings of up to `longest` letters (None: all) used `least` times and more: one entry for each part of speech."""
+    e = _entries(spark, d).filter((F.col("cnt") >= least) & ~F.col("display").startswith("["))
+    e = e if longest is None else e.filter(F.length("reading") <= longest)
     total = C.unigrams(spark, d).agg(F.sum("cnt").alias("total"))
     per = e.groupBy("reading", "pos").agg(F.sum("cnt").alias("cnt"))
     return per.crossJoin(F.broadcast(total)).select("reading", "pos", A.cost(F.col("cnt"), F.col("total")).alias("cost"))  # one row
@@ -108,7 +109,9 @@ def lattice_edges(spark, d):
 
 def viterbi_best(spark, d):
     s = _strings(spark, d)
-    return A.best_paths(A.with_unknown(A.edges(s, _dictionary(spark, d), LONGEST_ENTRY), s), _links(spark, d))
+    words = _dictionary(spark, d, longest=None, least=1)
+    longest = words.agg(F.max(F.length("reading"))).first()[0] or 0
+    return A.best_paths(A.with_unknown(A.edges(s, words, longest), s), _links(spark, d))
 
 
 def segment_enumerate_top(spark, d):
