@@ -52,14 +52,15 @@ def by_hand(trusted: list[str], texts: list[str], size: int) -> list[float | Non
     return out
 
 
-@pytest.mark.parametrize("vocab", [40, 1000])
-def test_perplexities_against_plain_loops(spark, vocab):
+@pytest.mark.parametrize("shards, rounds", [(5, 1), (40, 3)])
+def test_perplexities_against_plain_loops(spark, shards, rounds):
     texts = [cases.words(50 + 7 * k, k, 60) for k in range(30)] + ["", "w1", "new words w1 w2 w3 w4", None]
     docs = spark.createDataFrame([(k, t, k) for k, t in enumerate(texts)], "doc_id long, text string, key long").na.fill("").repartition(5)
     labels = spark.createDataFrame([(k, 1 if k < 20 else 0) for k in range(30)], "doc_id long, quality int")
     trusted = [r["doc_id"] for r in labels.filter("quality = 1").filter(f"not ({K.HELD_OUT})").collect()]
-    got = {r["key"]: r["perplexity"] for r in K.perplexities(spark, docs, labels, vocab=vocab, shards=5, chunk=200).collect()}
-    want = by_hand([texts[k] for k in trusted], [t or "" for t in texts], vocab)
+    got = {r["key"]: r["perplexity"] for r in K.perplexities(spark, docs, labels, shards=shards, chunk=200, rounds=rounds).collect()}
+    kinds = len({w for k in trusted for w in texts[k].split()})
+    want = by_hand([texts[k] for k in trusted], [t or "" for t in texts], kinds + 2)
     assert sorted(k for k, p in got.items() if p is None) == [30, 33]
     assert [got[k] for k in range(30)] == pytest.approx(want[:30], rel=1e-9)
     assert [got[31], got[32]] == pytest.approx(want[31:33], rel=1e-9)
@@ -83,6 +84,7 @@ def test_odd_rows(spark):
     every = K.survivors(spark, cases.odd(spark), labels.limit(0)).count()
     assert every == sum(bool(re.search(r"[^\x20\x09-\x0D]", t or "")) for _, t, *_ in cases.ODD)
     assert K.survivors(spark, cases.empty(spark), labels).collect() == []
+    assert K.judged(spark, cases.odd(spark), labels).count() == len(cases.ODD)
 
 
 def test_every_word_keeps_its_own_counts(spark):

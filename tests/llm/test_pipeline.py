@@ -2,7 +2,7 @@ import hashlib
 import re
 
 import corpus_pipeline
-from textlattice.llm import kneser_ney, mixing, queries
+from textlattice.llm import mixing, queries
 from tests.llm import cases
 from tests.llm.test_simhash import plain_components, plain_fingerprint
 
@@ -45,4 +45,3 @@ def test_odd_rows_through_all_stages(spark, smoke):
 
 def test_run(spark, smoke):
     assert corpus_pipeline.run(spark, smoke).count() > 0
-    assert kneser_ney.VOCAB < 1 << 16  # word numbers are 16 bits of a bigram
