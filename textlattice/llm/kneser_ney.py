@@ -43,8 +43,8 @@ from textlattice.llm.common import WORD, drop_path, materialise, packed, text_or
 
 SHARDS = 8  # at least
 SHARD_CHARS = 10_000_000  # of trusted text in a shard
-CHUNK_WORDS = 2_000_000
-PIECE = 250_000  # bigrams in a row of the model's tables
+CHUNK_WORDS = 1_000_000
+PIECE = 1_000_000  # bigrams in a row of the model's tables
 ROUNDS = 6
 FILTER_BITS = 1 << 27  # at most
 QUANTILE, MARGIN = 0.99, 1.05
@@ -90,6 +90,17 @@ def unlisted(kinds: bytes, at: bytes) -> np.ndarray:
     return risen(kinds)[unsqueezed(at)]
 
 
+def coded(x: np.ndarray) -> bytes:
+    """Fractions of which many are equal: the distinct ones, and the place of each among them."""
+    kinds, at = np.unique(x, return_inverse=True)
+    return len(kinds).to_bytes(8, "little") + kinds.tobytes() + squeezed(at)
+
+
+def uncoded(b: bytes) -> np.ndarray:
+    n = int.from_bytes(b[:8], "little")
+    return np.frombuffer(b, np.float64, n, 8)[unsqueezed(b[8 + 8 * n :])]
+
+
 def starts(x: np.ndarray) -> np.ndarray:
     """Where the runs of equal numbers of a sorted array begin."""
     return np.flatnonzero(np.concatenate([np.ones(min(1, len(x)), bool), x[1:] != x[:-1]]))
@@ -153,6 +164,7 @@ def chunks(batches: Iterator[pa.RecordBatch], text_at: int, words: int) -> Itera
     known, rows, hashes, size = Hashes(), [], [], 0
     for b in batches:
         others, lo = pa.Table.from_batches([b]).remove_column(text_at), 0
+        others = others.take(pa.array(range(b.num_rows)))  # a copy, which doesn't hold on to the texts
         for k, text in enumerate(b.column(text_at)):
             hashes.append(known.of(text.as_py()))
             size += len(hashes[-1]) + 1
@@ -358,11 +370,11 @@ def by_word(contexts: DataFrame, d: np.ndarray, shards: int, piece: int) -> Data
                 c, off = np.add.reduceat(n, begins), np.add.reduceat(d[np.minimum(n, 3)], begins)
                 back = np.clip(off / c, 1e-12, 1.0)
                 scale, of = c * back, np.repeat(np.arange(len(v)), size)
-                out = [(shard, rising(v), b"", b"", squeezed(np.log(back), "<f8"), b"", b"")]
+                out = [(shard, rising(v), b"", b"", coded(np.log(back)), b"", b"")]
                 for s, its in by_shard(shard_of(w, shards)):
                     its = its[np.lexsort((of[its], w[its]))]
                     which, at = np.unique(of[its], return_inverse=True)
-                    out.append((s, *runs(w[its]), rising(v[which]), squeezed(scale[which], "<f8"), squeezed(at), squeezed(n[its], "<u8")))
+                    out.append((s, *runs(w[its]), rising(v[which]), coded(scale[which]), squeezed(at), squeezed(n[its], "<u8")))
                 yield batch_of(out, SENT)
 
     def rows(shard: int, contexts: list[tuple], grams: list[tuple]) -> Iterator[pa.RecordBatch]:
@@ -383,7 +395,7 @@ def by_word(contexts: DataFrame, d: np.ndarray, shards: int, piece: int) -> Data
             k = kinds[a:b]
             totals = np.array([*[(k == j).sum() for j in (1, 2, 3, 4)], (k > 0).sum(), k.sum()], dtype="<i8")
             own, place, of = np.unique(firsts[at[lo:hi]], return_index=True, return_inverse=True)
-            row = (shard, rising(words[a:b]), squeezed(k), squeezed(log_back[a:b], "<f8"), rising(own), squeezed(scale[at[lo:hi][place]], "<f8"), squeezed(of), squeezed(n[lo:hi], "<u8"), totals.tobytes())
+            row = (shard, rising(words[a:b]), squeezed(k), coded(log_back[a:b]), rising(own), coded(scale[at[lo:hi][place]]), squeezed(of), squeezed(n[lo:hi], "<u8"), totals.tobytes())
             yield batch_of([row], names)
 
     def receive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -395,9 +407,9 @@ def by_word(contexts: DataFrame, d: np.ndarray, shards: int, piece: int) -> Data
                     contexts, grams = [], []
                 now = shard
                 if times:
-                    grams.append((unrun(words, times), risen(firsts), unsqueezed(scale, "<f8"), unsqueezed(at), unsqueezed(n, "<u8")))
+                    grams.append((unrun(words, times), risen(firsts), uncoded(scale), unsqueezed(at), unsqueezed(n, "<u8")))
                 else:
-                    contexts.append((risen(words), unsqueezed(scale, "<f8")))
+                    contexts.append((risen(words), uncoded(scale)))
         if now is not None:
             yield from rows(now, contexts, grams)
 
@@ -489,7 +501,7 @@ def answered(table: DataFrame, asks: DataFrame, model, shards: int) -> DataFrame
                 if shard != now:
                     now, held, own = shard, [], None
                 if kind == 0:
-                    held.append((risen(a), unsqueezed(b).astype(np.int64), unsqueezed(c, "<f8"), risen(d), unsqueezed(e, "<f8"), unsqueezed(f), unsqueezed(g, "<u8").astype(np.int64)))
+                    held.append((risen(a), unsqueezed(b).astype(np.int64), uncoded(c), risen(d), uncoded(e), unsqueezed(f), unsqueezed(g, "<u8").astype(np.int64)))
                 elif kind == 1:
                     out.append((chunk, -1, a))
                 else:
