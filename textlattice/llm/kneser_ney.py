@@ -45,7 +45,7 @@ SHARDS = 8  # at least
 SHARD_CHARS = 10_000_000  # of trusted text in a shard
 CHUNK_WORDS = 1_000_000
 PIECE = 1_000_000  # bigrams in a row of the model's tables
-ROUNDS = 6
+ROUNDS = 8
 FILTER_BITS = 1 << 27  # at most
 QUANTILE, MARGIN = 0.99, 1.05
 SHRINK = 20
