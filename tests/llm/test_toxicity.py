@@ -30,6 +30,23 @@ def test_forward_backward_against_enumeration():
     assert np.allclose(p, want) and np.allclose(moves, want_moves)
 
 
+def test_pieces_of_a_sentence_give_the_whole_sentence(monkeypatch):
+    rng = np.random.default_rng(5)
+    move, e = np.exp(rng.normal(size=(2, 2))), rng.normal(size=700) * 3
+    breaks = np.zeros(700, bool)
+    breaks[[0, 40, 41, 600, 603]] = True
+    monkeypatch.setattr(toxicity, "PIECE", 10_000)
+    starts, lengths, goes_on = toxicity.chains(breaks)
+    assert not goes_on.any()
+    whole = toxicity.forward_backward(np.where(breaks, 0, e), starts, lengths, move)
+    for piece in (1, 7, 256):
+        monkeypatch.setattr(toxicity, "PIECE", piece)
+        starts, lengths, goes_on = toxicity.chains(breaks)
+        assert goes_on.any() and lengths.max() <= piece
+        p, moves = toxicity.forward_backward(np.where(breaks, 0, e), starts, lengths, move, True, goes_on)
+        assert np.allclose(p[~breaks], whole[0][~breaks]) and np.allclose(moves, whole[1])
+
+
 def test_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.1"
     got = {r["doc_id"]: r for r in queries.op1_toxicity(spark, sf).collect()}
@@ -46,14 +63,35 @@ def test_held_out_accuracy(spark):
     assert hit and hit / (hit + missed) >= 0.7 and hit / (hit + wrong) >= 0.7
 
 
+def ids_of_fold(held_out, n):
+    return [k for k in range(20, 400) if (zlib.crc32(str(k).encode()) % 4 == 2) == held_out][:n]
+
+
 def test_odd_rows(spark):
-    labels = spark.createDataFrame([(1, 1, 0), (5, 0, 1), (None, 0, 1), (8, None, None)], "doc_id long, quality int, toxic int")
-    for lab in (labels, labels.limit(0)):
-        out = toxicity.score(spark, cases.odd(spark), lab).collect()
-        assert len(out) == len(cases.ODD) and all(0 <= r["score"] <= 1 for r in out)
+    ids = ids_of_fold(False, 60)
+    bad = [(k, cases.words(30, k) + " vile " * (k % 3 + 1) + ". " + cases.words(20, k + 1)) for k in ids[:30]]
+    good = [(k, cases.words(60, k)) for k in ids[30:]]
+    labels = spark.createDataFrame([(k, int(k in ids[:30])) for k in ids] + [(None, 1), (8, None), (1, 0)], "doc_id long, toxic int")
+    rows = [cases.row(k, t) for k, t in bad + good]
+    docs = spark.createDataFrame(cases.ODD + rows + [cases.row(5, "so vile vile a text"), cases.row(None, "vile")], cases.SCHEMA)
+    out = toxicity.score(spark, docs, labels).collect()
+    assert len(out) == len(cases.ODD) + 62 and all(0 <= r["score"] <= 1 for r in out)
+    by_id = {r["doc_id"]: r for r in out}
+    assert min(by_id[k]["score"] for k in ids[:30]) > 0.5 > max(by_id[k]["score"] for k in ids[30:])
+    assert len({r["score"] for r in out if r["doc_id"] in (2, 3, 4)}) == 1 and by_id[5]["predicted"] == 1
+    assert all(r["score"] == 0 for r in toxicity.score(spark, cases.odd(spark), labels.limit(0)).collect())
     assert toxicity.score(spark, cases.empty(spark), labels).collect() == []
 
 
+def test_labelled_rows_without_anything_to_learn(spark):
+    a, b = ids_of_fold(False, 2)
+    labels = spark.createDataFrame([(a, 1), (b, 0)], "doc_id long, toxic int")
+    for texts in ([], [(3, "no labels")], [(a, "x" * 50_000), (b, "y" * 50_000)], [(a, ""), (b, None)], [(a, "one class only")], [(a, "t"), (b, "u")]):
+        docs = spark.createDataFrame(texts, "doc_id long, text string")
+        got = toxicity.score(spark, docs, labels).collect()
+        assert len(got) == len(texts) and all(0 <= r["score"] <= 1 for r in got)
+
+
 def test_an_id_of_many_rows_gives_one_text(spark, monkeypatch):
     many, few = [k for k in range(1, 40) if zlib.crc32(str(k).encode()) % 4 != 2][:2]  # neither is held out
     labels = spark.createDataFrame([(many, 1), (few, 0)], "doc_id long, toxic int")

@@ -8,11 +8,16 @@ of labelled rows (SAMPLE of each class, of at most LONGEST characters). Scoring
 forward-backward for all sentences of a batch at once gives each word's marginal; their largest and their sum give the
 document's score, by a logistic curve that is fitted on the same sample.
 
-Chains are sentences, cut at line feeds and . ! ?; a sentence of more than CHAIN words is several chains.
+Chains are sentences, cut at line feeds and . ! ?. A sentence of more than PIECE words is handled in pieces, whose
+messages are carried on through each piece's product of moves: the marginals are those of the whole sentence.
+
+Of the sample, texts that share their words with the two smallest hashes are taken as near copies, and one of each such
+group is fitted on; texts of under 100 characters are all taken.
 
 Defined results: a null or empty text has no words and the score of such; a null id is in neither fold's training
-rows; without labelled rows of both classes all scores are 0; repeated rows are scored alike; an empty table gives an
-empty result; columns other than the id and the text are not looked at.
+rows; where the sample has no text of one of the classes, or no words, all scores are 0; a score equal to the threshold is
+predicted as toxic; of rows with one labelled id the smallest text is learnt from; repeated rows are scored alike; an
+empty table gives an empty result; columns other than the id and the text are not looked at.
 """
 
 from __future__ import annotations
@@ -31,7 +36,7 @@ from textlattice.llm.common import text_or_empty
 
 SAMPLE = (1500, 3000)  # toxic, clean
 LONGEST = 40_000
-CHAIN = 256
+PIECE = 256
 FEWEST = 3  # documents of the sample that a feature needs
 SEED_LOG_ODDS = 2.5
 LEAST_GAIN = 2.0  # documents that a tagging feature has to explain beyond the ones chosen before it
@@ -82,36 +87,66 @@ def explaining(docs: list[list[int]], n: int) -> list[int]:
     return out
 
 
-def chains(breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(starts, lengths) of the runs between breaks, none longer than CHAIN."""
+def chains(breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, lengths, whether it goes on from the one before) of pieces of the runs between breaks, none longer than PIECE."""
     edge = np.flatnonzero(np.diff(np.concatenate([[True], breaks, [True]])))
     starts, ends = edge[::2], edge[1::2]
-    pieces = -(-(ends - starts) // CHAIN)
+    pieces = -(-(ends - starts) // PIECE)
     first = np.repeat(np.cumsum(pieces) - pieces, pieces)
-    starts, ends = np.repeat(starts, pieces) + (np.arange(len(first)) - first) * CHAIN, np.repeat(ends, pieces)
-    return starts, np.minimum(ends - starts, CHAIN)
+    place = np.arange(len(first)) - first
+    starts, ends = np.repeat(starts, pieces) + place * PIECE, np.repeat(ends, pieces)
+    return starts, np.minimum(ends - starts, PIECE), place > 0
+
 
+def carried(odds: np.ndarray, starts: np.ndarray, lengths: np.ndarray, move: np.ndarray, goes_on: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The messages that enter each piece from the left and from the right, 0 and 1 at a sentence's ends.
 
-def forward_backward(e: np.ndarray, starts: np.ndarray, lengths: np.ndarray, move: np.ndarray, count_moves: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    A word turns a message f into (a f + b) / (c f + d), so that a piece does by the product of its words' matrices; for
+    the messages from the right it is the transposed product.
+    """
+    left, right = np.zeros(len(starts)), np.ones(len(starts))
+    own = np.flatnonzero(goes_on | np.append(goes_on[1:], False))
+    if not len(own):
+        return left, right
+    product = np.tile(np.eye(2), (len(own), 1, 1))
+    for t in range(int(lengths[own].max())):
+        live = lengths[own] > t
+        o = odds[starts[own[live]] + t]
+        word = np.stack([np.stack([o * move[1, 1], o * move[0, 1]], -1), np.stack([np.full(len(o), move[1, 0]), np.full(len(o), move[0, 0])], -1)], -2)
+        new = word @ product[live]
+        product[live] = new / new.max(axis=(1, 2), keepdims=True)
+    at = dict(zip(own.tolist(), product.tolist(), strict=True))
+    for k in own.tolist():
+        if goes_on[k]:
+            (a, b), (c, d) = at[k - 1]
+            left[k] = (a * left[k - 1] + b) / (c * left[k - 1] + d)
+    for k in reversed(own.tolist()):
+        if k + 1 < len(starts) and goes_on[k + 1]:
+            (a, c), (b, d) = at[k + 1]
+            right[k] = (a * right[k + 1] + b) / (c * right[k + 1] + d)
+    return left, right
+
+
+def forward_backward(e: np.ndarray, starts: np.ndarray, lengths: np.ndarray, move: np.ndarray, count_moves: bool = True, goes_on: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Marginals of the toxic state for each word, and expected moves between states over all chains.
 
-    e: log odds of a word's emission. move: exp of the move scores, [from][to], state 0 other, state 1 toxic.
-    With two states the forward and backward messages are ratios, toxic to other. All chains go one step at a time, the
-    longest first, so that the ones that go on are a prefix.
+    e: log odds of a word's emission. move: exp of the move scores, [from][to], state 0 other, state 1 toxic. goes_on: which
+    pieces belong to the sentence of the piece before. With two states the forward and backward messages are ratios, toxic
+    to other. All pieces go one step at a time, the longest first, so that the ones that go on are a prefix.
     """
-    order = np.argsort(-lengths, kind="stable")
-    starts, lengths = starts[order], lengths[order]
     odds = np.exp(np.clip(e, -30, 30))
+    goes_on = np.zeros(len(starts), bool) if goes_on is None else goes_on
+    left, right = carried(odds, starts, lengths, move, goes_on)
+    order = np.argsort(-lengths, kind="stable")
+    starts, lengths, left, right, goes_on = starts[order], lengths[order], left[order], right[order], goes_on[order]
     (m00, m01), (m10, m11) = move.tolist()
     fwd, bwd = np.zeros(len(e)), np.ones(len(e))
+    bwd[starts + lengths - 1] = right
     alive = np.searchsorted(-lengths, -np.arange(int(lengths[0]) if len(lengths) else 0), side="left")
     for t, n in enumerate(alive):
         at = starts[:n] + t
-        if t:
-            before = fwd[at - 1]
-            fwd[at] = odds[at] * (m01 + m11 * before) / (m00 + m10 * before)
-        else:
-            fwd[at] = odds[at] * (m01 / m00)  # a chain starts as if after another word
+        before = fwd[at - 1] if t else left[:n]  # a sentence starts as if after another word
+        fwd[at] = odds[at] * (m01 + m11 * before) / (m00 + m10 * before)
     for t in range(len(alive) - 1, 0, -1):
         at = starts[: alive[t]] + t
         after = odds[at] * bwd[at]
@@ -120,13 +155,13 @@ def forward_backward(e: np.ndarray, starts: np.ndarray, lengths: np.ndarray, mov
     p = p / (1 + p)
     moves = np.zeros((2, 2))
     if count_moves and len(starts):
-        inner = fwd > 0
-        inner[starts] = False
+        inner, first = fwd > 0, starts[~goes_on]
+        inner[first] = False
         at = np.flatnonzero(inner)
         before, after = fwd[at - 1], odds[at] * bwd[at]
         parts = np.stack([np.full(len(at), m00), m01 * after, m10 * before, m11 * before * after])
         moves = (parts / parts.sum(axis=0)).sum(axis=1).reshape(2, 2)
-        moves[0] += [(1 - p[starts]).sum(), p[starts].sum()]
+        moves[0] += [(1 - p[first]).sum(), p[first].sum()]
     return p, moves
 
 
@@ -136,9 +171,15 @@ class Field:
     def __init__(self, weights: dict[str, float], bias: float, move: np.ndarray, curve: np.ndarray):
         self.weights, self.bias, self.move, self.curve = weights, bias, move, curve
 
+    @classmethod
+    def empty(cls) -> Field:
+        return cls({}, -4.0, np.ones((2, 2)), np.zeros(4))
+
     @classmethod
     def fit(cls, texts: list[str], toxic: np.ndarray, prior: float) -> Field:
         """The field on two of three texts; the curve on the third ones, whose words the field hasn't seen."""
+        if not toxic.any() or toxic.all():
+            return cls.empty()
         own = one_of_each(texts)
         texts, toxic = [texts[k] for k in own], toxic[own]
         third = np.arange(len(texts)) % 3 == 2
@@ -146,13 +187,15 @@ class Field:
         scorer, rest, marginals = Scorer(vars(field)), [t for t, h in zip(texts, third, strict=True) if h], []
         for lo in range(0, len(rest), 100):
             marginals += scorer.marginals(rest[lo : lo + 100])
-        field.curve = fitted_curve(scorer.inputs(marginals), toxic[third], prior)
+        field.curve = fitted_curve(scorer.inputs(marginals), toxic[third], prior) if marginals else np.zeros(4)
         return field
 
     @classmethod
     def of_words(cls, texts: list[str], toxic: np.ndarray) -> Field:
         docs = [_TOKENS.findall(t) for t in texts]
         types: dict[str, int] = {}
+        if not any(docs):
+            return cls.empty()
         ids = [np.fromiter((types.setdefault(w, len(types)) for w in d), np.int64, len(d)) for d in docs]
         shapes = [[] if w in _BREAKS else features_of(w) for w in types]
         seen: tuple[Counter, Counter] = (Counter(), Counter())
@@ -164,7 +207,7 @@ class Field:
         chosen = explaining([sorted({able[f] for t in np.unique(d) for f in shapes[t] if f in able}) for d, label in zip(ids, toxic, strict=True) if label], len(able))
         names = list(able)
         chosen_names = {names[k] for k in chosen}
-        tagged = np.array([any(f in chosen_names for f in s) for s in shapes])
+        tagged = np.array([any(f in chosen_names for f in s) for s in shapes], dtype=bool)
         known = {f: k for k, f in enumerate(f for f in {*seen[0], *seen[1]} if seen[0][f] + seen[1][f] >= FEWEST)}
         rows = [[known[f] for f in s if f in known] for s in shapes]
         of_type = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
@@ -173,13 +216,13 @@ class Field:
         flat = np.concatenate(ids)
         doc = np.repeat(np.arange(len(ids)), [len(d) for d in ids])
         breaks = np.array([w in _BREAKS for w in types])[flat]
-        starts, lengths = chains(breaks)
+        starts, lengths, goes_on = chains(breaks)
         word = np.zeros(len(flat), dtype=bool)
         for k in range(len(starts)):
             word[starts[k] : starts[k] + lengths[k]] = True
         y = word & tagged[flat] & (toxic[doc] == 1)
         first = np.zeros(len(flat), dtype=bool)
-        first[starts] = True
+        first[starts[~goes_on]] = True
         before = np.where(first, 0, np.concatenate([[0], y[:-1]]))
         told = np.bincount((before * 2 + y)[word], minlength=4).reshape(2, 2).astype(float)
 
@@ -187,7 +230,7 @@ class Field:
         square_w, square_b, square_m = np.full(len(known), 1e-8), 1e-8, np.full((2, 2), 1e-8)
         for _ in range(STEPS):
             e = bias + np.bincount(of_type, weights=w[feature], minlength=len(rows))[flat]
-            p, expected = forward_backward(e, starts, lengths, np.exp(moves))
+            p, expected = forward_backward(e, starts, lengths, np.exp(moves), True, goes_on)
             off = np.where(word, y - p, 0.0)
             by_type = np.bincount(flat, weights=off, minlength=len(rows))
             g = np.bincount(feature, weights=by_type[of_type], minlength=len(known)) - 0.05 * w
@@ -250,7 +293,8 @@ class Scorer(dict):
         # Texts are apart from one another as sentences are.
         e, at = np.insert(e, ends, np.nan), ends + np.arange(len(ends))
         breaks = np.insert(breaks, ends, True)
-        p, _ = forward_backward(np.where(breaks, 0.0, e), *chains(breaks), self.field.move, count_moves=False)
+        starts, lengths, goes_on = chains(breaks)
+        p, _ = forward_backward(np.where(breaks, 0.0, e), starts, lengths, self.field.move, False, goes_on)
         p = np.where(breaks, 0.0, p)
         return np.split(np.delete(p, at), ends[:-1]) if len(ends) else []
 
@@ -285,7 +329,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     own = own.filter(~F.expr(HELD_OUT.format("doc_id")))
     counts = {r["toxic"]: r["n"] for r in own.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts.get(0) or not counts.get(1):
-        return {"weights": {}, "bias": -4.0, "move": np.ones((2, 2)), "curve": np.zeros(4)}
+        return vars(Field.empty())
     parts = [own.filter(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for label, n in ((1, sample[0]), (0, sample[1]))]
     picked = parts[0].unionByName(parts[1])
     rows = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text")).filter(F.length("text") <= LONGEST)
