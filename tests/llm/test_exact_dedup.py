@@ -38,6 +38,27 @@ def test_second_batch_meets_the_index(spark):
     assert own.table().count() == own.table().select("text_sha256").distinct().count()
 
 
+def test_batches_meet_in_the_anti_join(spark):
+    rows = [(k, f"t{(k * 7) % 60}") for k in range(100)] + [(None, "t1"), (None, "new"), (3, "t21"), (3, "t21")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    for n in (1, 2, 5):
+        got = exact_dedup.report(spark, docs, index(spark), n_batches=n)
+        assert cases.rows_of(got, "doc_id", "keep_id", "group_size", "kept", "text_sha256") == plain(rows)
+    own = index(spark)
+    own.table()
+    plans = []
+    real = exact_dedup.DigestIndex._append
+    own._append = lambda rows: (plans.append(rows._jdf.queryExecution().toString()), real(own, rows))
+    exact_dedup.survivors(docs, own)
+    assert len(plans) == 2 and all("SortMergeJoin" in p and "LeftAnti" in p for p in plans)
+
+
+def test_text_ids(spark):
+    docs = spark.createDataFrame([("b", "x"), ("a", "x"), (None, "x"), ("c", "y")], "doc_id string, text string")
+    own = exact_dedup.DigestIndex(spark, f"t_{uuid.uuid4().hex}", id_type="string")
+    assert sorted(r["doc_id"] for r in exact_dedup.survivors(docs, own).collect()) == ["a", "c"]
+
+
 def test_heavy_digests(spark):
     rows = [(k, "hot") for k in range(3000)] + [(k, f"t{k % 500}") for k in range(3000, 4000)]
     got = exact_dedup.report(spark, spark.createDataFrame(rows, "doc_id long, text string"), index(spark))
