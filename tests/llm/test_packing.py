@@ -12,8 +12,8 @@ from textlattice.llm import packing, queries
 from tests.llm import cases
 
 LIBRARY = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
-ENCODER = packing.Encoder(RANKS)
+VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+ENCODER = packing.Encoder(packing.prove(VOCABULARY))
 
 
 def check(got, texts):
@@ -48,8 +48,21 @@ def test_odd_rows(spark):
     texts = defaultdict(list)
     for i, t, *_ in cases.ODD:
         texts[i].append(t)
-    check(packing.pack(spark, cases.odd(spark), RANKS).collect(), texts)
-    assert packing.pack(spark, cases.empty(spark), RANKS).collect() == []
+    check(packing.pack(spark, cases.odd(spark), VOCABULARY).collect(), texts)
+    assert packing.pack(spark, cases.empty(spark), VOCABULARY).collect() == []
+
+
+def test_equal_rows_are_dealt_to_many_groups(spark):
+    docs = spark.createDataFrame([(None, "one two") for _ in range(5000)], "doc_id long, text string")
+    got = packing.pack(spark, docs, VOCABULARY)
+    rows = got.collect()
+    assert len({(r["sequence_id"], r["offset"]) for r in rows}) == len(rows) == 5000
+    length = rows[0]["length"]
+    assert len({r["sequence_id"] for r in rows}) == -(-5000 // (1024 // length))
+    pieces = packing.pieces(docs, VOCABULARY)
+    counts = spark.createDataFrame([(length, 5000)], "length long, n long")
+    sizes = [r["count"] for r in packing.ranked(pieces, counts).groupBy("part").count().collect()]
+    assert len(sizes) == 25 and max(sizes) < 2 * packing.GROUP
 
 
 @settings(max_examples=400, deadline=None)
