@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from textlattice.functions import literal
 from textlattice.functions import text as T
-from textlattice.operators import lattice, lexicon, ngrams, phrases, quantise
+from textlattice.operators import history, lattice, lexicon, ngrams, phrases, quantise
 from textlattice.plans import phrases as plans
 from textlattice.sources import files
 
@@ -115,10 +115,20 @@ def test_viterbi_against_enumeration(spark):
     s = spark.createDataFrame([(x,) for x in sorted(set(strings))], "s string")
     e = spark.createDataFrame(entries, "reading string, pos string, cost long")
     link = spark.createDataFrame([(*k, v) for k, v in links.items()], "p1 string, p2 string, link long")
-    arcs = lattice.with_unknown(lattice.edges(s, e, 3), s)
-    best = {r["s"]: r["cost"] for r in lattice.best_paths(arcs, link).collect()}
-    first = {r["s"]: r["cost"] for r in lattice.enumerate_paths(arcs, link, 6, 1).collect()}
-    assert best == first and best.keys() == set(strings)
+    arcs = lattice.with_unknown(lattice.edges(s, e), s)
+    for k in (1, 3):
+        best = {(r["s"], r["rank"], r["cost"], r["path"]) for r in lattice.best_paths(arcs, link, k).collect()}
+        every = {(r["s"], r["rank"], r["cost"], r["path"]) for r in lattice.enumerate_paths(arcs, link, 6, k).collect()}
+        assert best == every and {b[0] for b in best} == set(strings)
+
+
+def test_predictions_with_the_longest_context_first(spark):
+    probabilities = spark.createDataFrame([("", "go", 0.5), ("", "gone", 0.3), ("", "up", 0.2), ("b", "gone", 0.6), ("b", "up", 0.4), ("a b", "up", 1.0)], "prefix string, word string, p double")
+    contexts = spark.createDataFrame([(1, ["a", "b"], ""), (2, ["a", "b"], "g"), (3, [], "g"), (4, [], ""), (5, ["x"], "u")], "id int, words array<string>, typed string")
+    got = sorted(map(tuple, history.predict(contexts, probabilities).collect()))
+    assert got == [(1, 1, "up", 2, 1.0), (1, 2, "gone", 1, 0.6), (2, 1, "gone", 1, 0.6), (2, 2, "go", 0, 0.5), (3, 1, "go", 0, 0.5), (3, 2, "gone", 0, 0.3), (5, 1, "up", 0, 0.2)]
+    few = history.predict(contexts.drop("typed"), probabilities, longest=1, k=1)
+    assert sorted(map(tuple, few.collect())) == [(1, 1, "gone", 1, 0.6), (2, 1, "gone", 1, 0.6)]
 
 
 def test_files_round_trip(spark, tmp_path):

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textlattice.functions import text as T
+from textlattice.sources.files import written
 
 BOS, EOS = "[BOS]", "[EOS]"
 
@@ -67,11 +68,13 @@ def compact(ngrams: DataFrame, limit: int) -> DataFrame:
 def encode_words(words: DataFrame) -> DataFrame:
     """words: word. Distinct words with ids from 1, in order of the words; 0 stays reserved.
 
-    Ids come from range partitions and their sizes, so that no task numbers all words.
+    Ids come from range partitions and their sizes, so that no task numbers all words. The numbered words are written
+    once: sizes and ids are of the same partitions, whatever is computed again.
     """
     ranged = words.select("word").distinct().repartitionByRange("word").sortWithinPartitions("word")
     numbered = ranged.withColumn("m", F.monotonically_increasing_id())
     numbered = numbered.withColumn("part", F.shiftright("m", 33)).withColumn("own", F.col("m").bitwiseAND(F.lit((1 << 33) - 1)))
+    numbered = written(numbered.drop("m"), "numbered-words")
     sizes = numbered.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
     a, b = sizes.select("part", "n"), sizes.select(F.col("part").alias("before"), F.col("n").alias("size"))
     base = a.join(F.broadcast(b), F.col("before") < F.col("part"), "left").groupBy("part").agg(F.coalesce(F.sum("size"), F.lit(0)).alias("base"))  # a row per partition

@@ -38,9 +38,9 @@ def unigrams(spark, d):
 
 
 def lexicon(spark, d):
-    """All words of the corpus, and as unseen ones the words of the documents with 'zz' before them whose id ends in 0."""
+    """All words of the corpus, and as unseen ones the same words with 'zz' before them."""
     seen = unigrams(spark, d).select(F.col("w1").alias("word"))
-    unseen = read_documents(spark, d).filter("doc_id % 10 = 0").select(F.explode(T.tokens("text")).alias("w")).select(F.concat(F.lit("zz"), "w").alias("word"))
+    unseen = read_documents(spark, d).select(F.explode(T.tokens("text")).alias("w")).select(F.concat(F.lit("zz"), "w").alias("word"))
     return X.lexicon_of(seen, unseen)
 
 
@@ -131,9 +131,10 @@ TOKENS = f"list_filter(regexp_split_to_array(lower(text), '{T.TOKEN_BREAK}'), la
 
 
 def grams_sql(n: int, source: str = "documents", words: str = f"list_concat(['{N.BOS}'], {TOKENS}, ['{N.EOS}'])") -> str:
+    gram = "x" + "".join(f" || ' ' || lead(x, {k}) OVER o" for k in range(1, n))
     return f"""SELECT gram, CAST(count(*) AS BIGINT) AS cnt FROM (
-      SELECT unnest(CASE WHEN len(w) >= {n} THEN list_transform(range(1, len(w) - {n} + 2), lambda i: array_to_string(w[i:i + {n - 1}], ' ')) ELSE [] END) AS gram
-      FROM (SELECT {words} AS w FROM {source})) GROUP BY gram"""
+      SELECT {gram} AS gram FROM (SELECT d, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM (SELECT row_number() OVER () AS d, {words} AS w FROM {source}))
+      WINDOW o AS (PARTITION BY d ORDER BY i)) WHERE gram IS NOT NULL GROUP BY gram"""
 
 
 def pos_sql(w: str) -> str:
@@ -150,7 +151,7 @@ UNI = f"uni AS (SELECT gram AS w1, cnt FROM ({grams_sql(1)}))"
 BI = f"bi AS (SELECT {split_sql(2)}, gram, cnt FROM ({grams_sql(2)}))"
 TRI = f"tri AS (SELECT {split_sql(3)}, gram, cnt FROM ({grams_sql(3)}))"
 LEX = f"""lex AS (SELECT display, translate(display, '{T.ACCENTS}', '{T.PLAIN}') AS reading, {pos_sql("display")} AS pos FROM (
-  SELECT w1 AS display FROM uni UNION SELECT 'zz' || w FROM (SELECT unnest({TOKENS}) AS w FROM documents WHERE doc_id % 10 = 0)))"""
+  SELECT w1 AS display FROM uni UNION SELECT 'zz' || w FROM (SELECT unnest({TOKENS}) AS w FROM documents)))"""
 POS = """pos AS (SELECT pos, CAST(coalesce(sum(cnt), 0) AS BIGINT) AS cnt, count(cnt) AS seen, count(*) AS all_words
   FROM lex LEFT JOIN uni ON display = w1 GROUP BY pos)"""
 BIP = "bip AS (SELECT bi.*, a.pos AS p1, b.pos AS p2 FROM bi JOIN lex a ON a.display = w1 JOIN lex b ON b.display = w2)"

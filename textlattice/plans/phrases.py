@@ -10,26 +10,37 @@ from textlattice.operators import lattice as A
 from textlattice.operators import ngrams as N
 from textlattice.operators import phrases as P
 from textlattice.plans import counts as C
+from textlattice.sources.files import written
 
-ORDERS, CAP = 3, 1000
-LONGEST_ENTRY, LEAST_ENTRY, RANGE = 5, 20, 6
+ORDERS, CAP = 7, 1_000_000
+BEST = 3
 ASKED = ["th", "en", "a", "tion", "hein", "ver", "lich", "euxo", "zzz", "the"]
 
 
 def _phrase_grams(spark, d):
-    return N.count_all(C.sentences(spark, d), ORDERS)
+    """All orders' counts, made once; a part for each order."""
+    return written(N.count_all(C.sentences(spark, d), ORDERS), "phrase-grams", "n")
+
+
+def _forward(grams):
+    return P.discounted(grams, ORDERS).withColumn("disc", F.coalesce("disc", F.lit(0)))
+
+
+def _reverse(grams):
+    return P.discounted(P.reversed_grams(grams), ORDERS).withColumn("disc", F.coalesce("disc", F.lit(0)))
 
 
 def phrase_discount_fwd(spark, d):
-    return P.discounted(_phrase_grams(spark, d), ORDERS).withColumn("disc", F.coalesce("disc", F.lit(0)))
+    return _forward(_phrase_grams(spark, d))
 
 
 def phrase_discount_rev(spark, d):
-    return P.discounted(P.reversed_grams(_phrase_grams(spark, d)), ORDERS).withColumn("disc", F.coalesce("disc", F.lit(0)))
+    return _reverse(_phrase_grams(spark, d))
 
 
 def phrase_reconciled(spark, d):
-    return P.reconciled(phrase_discount_fwd(spark, d), phrase_discount_rev(spark, d))
+    grams = _phrase_grams(spark, d)
+    return P.reconciled(_forward(grams), _reverse(grams))
 
 
 def phrase_ranked(spark, d):
@@ -88,13 +99,13 @@ def lattice_chars(spark, d):
     return A.chars(_strings(spark, d))
 
 
-def _dictionary(spark, d, longest=LONGEST_ENTRY, least=LEAST_ENTRY):
-    """Readings of up to `longest` letters (None: all) used `least` times and more: one entry for each part of speech."""
-    e = _entries(spark, d).filter((F.col("cnt") >= least) & ~F.col("display").startswith("["))
-    e = e if longest is None else e.filter(F.length("reading") <= longest)
+def _dictionary(spark, d):
+    """All readings: one entry for each part of speech."""
+    e = _entries(spark, d).filter(~F.col("display").startswith("["))
     total = C.unigrams(spark, d).agg(F.sum("cnt").alias("total"))
     per = e.groupBy("reading", "pos").agg(F.sum("cnt").alias("cnt"))
-    return per.crossJoin(F.broadcast(total)).select("reading", "pos", A.cost(F.col("cnt"), F.col("total")).alias("cost"))  # one row
+    costs = per.crossJoin(F.broadcast(total)).select("reading", "pos", A.cost(F.col("cnt"), F.col("total")).alias("cost"))  # one row
+    return written(costs, "dictionary")
 
 
 def _links(spark, d):
@@ -104,19 +115,22 @@ def _links(spark, d):
 
 
 def lattice_edges(spark, d):
-    return A.edges(_strings(spark, d), _dictionary(spark, d), LONGEST_ENTRY)
+    words = _dictionary(spark, d)
+    return A.edges(words.select(F.col("reading").alias("s")).distinct(), words)
+
+
+def _arcs(spark, d):
+    words = _dictionary(spark, d)
+    s = words.select(F.col("reading").alias("s")).distinct()
+    return A.with_unknown(written(A.edges(s, words), "edges"), s)
 
 
 def viterbi_best(spark, d):
-    s = _strings(spark, d)
-    words = _dictionary(spark, d, longest=None, least=1)
-    longest = words.agg(F.max(F.length("reading"))).first()[0] or 0
-    return A.best_paths(A.with_unknown(A.edges(s, words, longest), s), _links(spark, d))
+    return A.best_paths(_arcs(spark, d), _links(spark, d)).drop("rank")
 
 
 def segment_enumerate_top(spark, d):
-    s = _strings(spark, d).filter(F.length("s") <= RANGE)
-    return A.enumerate_paths(A.with_unknown(A.edges(s, _dictionary(spark, d), LONGEST_ENTRY), s), _links(spark, d), RANGE, 3)
+    return A.best_paths(_arcs(spark, d), _links(spark, d), BEST)
 
 
 QUERIES = {
@@ -161,13 +175,10 @@ _LOOKUP = f"""lookup AS (SELECT a.prefix, rank, display, cnt FROM asked a JOIN c
 _INSIDE = f"WITH {C.UNI}, {C.LEX}, {C.POS}, {C.INSIDE}, i AS (SELECT *, translate(display, '{T.ACCENTS}', '{T.PLAIN}') AS reading FROM inside)"
 _STRINGS = "strings AS (SELECT DISTINCT reading AS s FROM entries WHERE NOT starts_with(display, '['))"
 _DICT = f"""dict AS (SELECT reading, pos, CAST(round(100 * ln(CAST((SELECT sum(cnt) FROM uni) AS DOUBLE) / sum(cnt))) AS BIGINT) AS cost
-    FROM entries WHERE cnt >= {LEAST_ENTRY} AND length(reading) <= {LONGEST_ENTRY} AND NOT starts_with(display, '[') GROUP BY reading, pos)"""
-_EDGES = f"""edges AS (SELECT s, top, top + n AS "end", reading, pos, cost FROM (
-      SELECT s, top, n, substr(s, top + 1, n) AS sub FROM (SELECT s, CAST(unnest(range(0, length(s))) AS INT) AS top FROM strings), (SELECT CAST(n AS INT) AS n FROM range(1, {LONGEST_ENTRY + 1}) b(n)) WHERE top + n <= length(s))
+    FROM entries WHERE NOT starts_with(display, '[') GROUP BY reading, pos)"""
+_EDGES = """edges AS (SELECT s, top, CAST(top + n AS INT) AS "end", reading, pos, cost FROM (
+      SELECT s, top, n, substr(s, top + 1, n) AS sub FROM (SELECT s, CAST(unnest(range(0, length(s))) AS INT) AS top FROM strings), (SELECT DISTINCT CAST(length(reading) AS INT) AS n FROM dict) WHERE top + n <= length(s))
     JOIN dict ON reading = sub)"""
-_KIND = lambda w: f"CASE WHEN {w} = '{N.BOS}' THEN 'BOS' WHEN {w} = '{N.EOS}' THEN 'EOS' ELSE {C.pos_sql(w)} END"
-_LINKS = f"""pairs AS (SELECT p1, p2, sum(cnt) AS cnt FROM (SELECT {_KIND('w1')} AS p1, {_KIND('w2')} AS p2, cnt FROM bi) GROUP BY p1, p2),
-  links AS (SELECT p1, p2, CAST(round(100 * ln(CAST(sum(cnt) OVER (PARTITION BY p1) AS DOUBLE) / cnt)) AS BIGINT) AS link FROM pairs)"""
 
 ORACLE = {
     "phrase_discount_fwd": f"WITH {_discount_sql('f', False)} SELECT n, gram, cnt, coalesce(disc, 0) AS disc FROM f",
@@ -191,13 +202,4 @@ ORACLE = {
     "letter_group": f"WITH {C.UNI}, {_ENTRIES} SELECT reading, string_agg(DISTINCT display, '|' ORDER BY display) AS displays, string_agg(DISTINCT pos, '|' ORDER BY pos) AS poses FROM entries GROUP BY reading",
     "lattice_chars": f"WITH {C.UNI}, {_ENTRIES}, {_STRINGS}, t AS (SELECT s, unnest(range(0, length(s))) AS top FROM strings) SELECT s, CAST(top AS INT) AS top, CAST(top + 1 AS INT) AS \"end\", substr(s, top + 1, 1) AS ch FROM t",
     "lattice_edges": f"WITH {C.UNI}, {_ENTRIES}, {_STRINGS}, {_DICT}, {_EDGES} SELECT * FROM edges",
-    "segment_enumerate_top": f"""WITH RECURSIVE {C.UNI}, {C.BI}, {_ENTRIES}, strings AS (SELECT DISTINCT reading AS s FROM entries WHERE NOT starts_with(display, '[') AND length(reading) <= {RANGE}), {_DICT}, {_EDGES}, {_LINKS},
-        lone AS (SELECT s, CAST(top AS INT) AS top, CAST(top + 1 AS INT) AS "end", substr(s, top + 1, 1) AS reading, '{A.UNKNOWN}' AS pos, CAST({A.UNKNOWN_COST} AS BIGINT) AS cost
-          FROM (SELECT s, unnest(range(0, length(s))) AS top FROM strings) c WHERE NOT EXISTS (SELECT 1 FROM edges e WHERE e.s = c.s AND e.top = c.top AND e."end" = c.top + 1)),
-        arcs AS (SELECT * FROM edges UNION ALL SELECT * FROM lone),
-        paths AS (SELECT s, 0 AS at, 'BOS' AS p, CAST(0 AS BIGINT) AS so_far, '' AS path FROM strings
-          UNION ALL SELECT q.s, a."end", a.pos, q.so_far + a.cost + coalesce(l.link, {A.NO_LINK}), CASE WHEN q.path = '' THEN '' ELSE q.path || ' ' END || a.reading || '/' || a.pos
-          FROM paths q JOIN arcs a ON a.s = q.s AND a.top = q.at LEFT JOIN links l ON l.p1 = q.p AND l.p2 = a.pos)
-        SELECT q.s, CAST(row_number() OVER (PARTITION BY q.s ORDER BY so_far + coalesce(link, {A.NO_LINK}), path) AS INT) AS rank, so_far + coalesce(link, {A.NO_LINK}) AS cost, path
-        FROM paths q LEFT JOIN links l ON l.p1 = q.p AND l.p2 = 'EOS' WHERE q.at = length(q.s) QUALIFY rank <= 3""",
 }

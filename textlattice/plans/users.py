@@ -13,13 +13,13 @@ from textlattice.operators import lattice as A
 from textlattice.operators import quantise as Q
 from textlattice.operators import topics as M
 from textlattice.plans import counts as C
-from textlattice.sources.files import shared_path
+from textlattice.sources.files import shared_path, written
 from textlattice.sources.pages import read_documents, read_table
 
 LANGS = ["de", "en", "es", "fr"]
 PRIORITY = {"error": 0, "purchase": 1, "signup": 2}
 WEIGHTS = {c: (7 * k) % 11 - 4 for k, c in enumerate("abcdefghijklmnopqrstuvwxyz0123456789")}
-BORDER, REPEAT_MS, GRAMS = 3, 3_600_000, 4
+BORDER, REPEAT_MS = 3, 3_600_000
 CENTRES = [-12.0 + 0.25 * k for k in range(49)]
 
 
@@ -36,7 +36,7 @@ def history_suffix_counts(spark, d):
 
 
 def history_register_full(spark, d):
-    return H.register_all(_turns(spark, d), GRAMS)
+    return written(H.register_all(_turns(spark, d)), "history")
 
 
 def history_cond_prob(spark, d):
@@ -190,7 +190,7 @@ _TURNS = f"turns AS (SELECT conv_id, turn, {C.TOKENS} AS w FROM conversations)"
 _COUNTED = "CAST(count(*) AS BIGINT) AS used, CAST(least(count(*), 4) AS BIGINT) AS strong, max(turn) AS last_at"
 _FULL = f"""{_TURNS}, bounded AS (SELECT turn, list_concat(['[BOS]'], w, ['[EOS]']) AS w FROM turns),
   hist AS (SELECT gram, {_COUNTED} FROM (SELECT turn, array_to_string(w[e - k + 1:e], ' ') AS gram
-    FROM (SELECT turn, w, unnest(range(1, len(w) + 1)) AS e FROM bounded), (SELECT k FROM range(1, {GRAMS + 1}) t(k)) WHERE k <= e) GROUP BY gram)"""
+    FROM (SELECT turn, w, unnest(range(1, len(w) + 1)) AS e FROM bounded), (SELECT k FROM range(1, {H.LONGEST + 1}) t(k)) WHERE k <= e) GROUP BY gram)"""
 _COND = f"""{_FULL}, parts AS (SELECT gram, regexp_extract(gram, '^(.*) [^ ]+$', 1) AS prefix, regexp_extract(gram, '([^ ]+)$', 1) AS word, used FROM hist),
   cond AS (SELECT *, CAST(used AS DOUBLE) / sum(used) OVER (PARTITION BY prefix) AS p FROM parts)"""
 
@@ -198,7 +198,7 @@ _COND = f"""{_FULL}, parts AS (SELECT gram, regexp_extract(gram, '^(.*) [^ ]+$',
 def _predicted(states: str) -> str:
     """The first prediction for each of the states (id, w, typed)."""
     return f"""{_COND}, st AS ({states} FROM turns WHERE len(w) > 0),
-        hits AS (SELECT id, word, size, p FROM (SELECT id, typed, size, array_to_string(w[len(w) - size + 1:], ' ') AS prefix FROM st, (SELECT CAST(k AS INT) AS size FROM range(1, 3) t(k)) WHERE size <= len(w)) x
+        hits AS (SELECT id, word, size, p FROM (SELECT id, typed, size, array_to_string(w[len(w) - size + 1:], ' ') AS prefix FROM st, (SELECT CAST(k AS INT) AS size FROM range(0, {H.MOST_CONTEXT + 1}) t(k)) WHERE size <= len(w) AND (size > 0 OR typed <> '')) x
           JOIN cond USING (prefix) WHERE starts_with(word, typed)),
         best AS (SELECT * FROM hits QUALIFY row_number() OVER (PARTITION BY id, word ORDER BY size DESC) = 1),
         pred AS (SELECT id, word, size, p FROM best QUALIFY row_number() OVER (PARTITION BY id ORDER BY size DESC, p DESC, word) = 1)"""
@@ -230,9 +230,9 @@ ORACLE = {
     "history_register_full": f"WITH {_FULL} SELECT * FROM hist",
     "history_cond_prob": f"WITH {_COND} SELECT * FROM cond",
     "history_context_predict": f"""WITH {_COND}, last AS (SELECT conv_id AS id, w FROM turns QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) = 1),
-        hits AS (SELECT id, word, size, p FROM (SELECT id, size, array_to_string(w[len(w) - size + 1:], ' ') AS prefix FROM last, (SELECT CAST(k AS INT) AS size FROM range(1, 3) t(k)) WHERE size <= len(w)) x JOIN cond USING (prefix)),
+        hits AS (SELECT id, word, size, p FROM (SELECT id, size, array_to_string(w[len(w) - size + 1:], ' ') AS prefix FROM last, (SELECT CAST(k AS INT) AS size FROM range(1, {H.MOST_CONTEXT + 1}) t(k)) WHERE size <= len(w)) x JOIN cond USING (prefix)),
         best AS (SELECT * FROM hits QUALIFY row_number() OVER (PARTITION BY id, word ORDER BY size DESC) = 1)
-        SELECT id, CAST(row_number() OVER (PARTITION BY id ORDER BY size DESC, p DESC, word) AS INT) AS rank, word, size, p FROM best QUALIFY rank <= 5""",
+        SELECT id, CAST(row_number() OVER (PARTITION BY id ORDER BY size DESC, p DESC, word) AS INT) AS rank, word, size, p FROM best QUALIFY rank <= {H.MOST_PREDICTED}""",
     "typing_predict": f"""WITH {_predicted(f"SELECT {_ID}, CASE WHEN turn % 2 = 0 THEN w ELSE w[1:len(w) - 1] END AS w, CASE WHEN turn % 2 = 0 THEN '' ELSE left(w[len(w)], 2) END AS typed")} SELECT * FROM pred""",
     "typed_out_penalty": f"""WITH {_predicted(f"SELECT {_ID}, w[1:len(w) - 1] AS w, '' AS typed")}
         SELECT id, t.word, pred.word AS predicted, t.word = pred.word AS penalised FROM (SELECT {_ID}, w[len(w)] AS word FROM turns WHERE len(w) > 0) t JOIN pred USING (id)""",

@@ -53,21 +53,25 @@ def _urls(spark, d):
     return read_pages(spark, d).select("page_id", T.url_left_part("url").alias("url"))
 
 
+def _linked(spark, d):
+    """The URLs that pages link to."""
+    return clean.page_links(read_pages(spark, d)).select(T.url_left_part("href").alias("url"))
+
+
 def frontier_anti_insert(spark, d):
-    urls = _urls(spark, d)
-    return frontier.new_urls(urls.select("url"), urls.filter("page_id % 3 = 0"))
+    return frontier.new_urls(_linked(spark, d), _urls(spark, d))
 
 
 def frontier_upsert(spark, d):
-    urls = _urls(spark, d)
-    stored = urls.filter("page_id % 3 <> 0").groupBy("url").agg(F.min("page_id").alias("p"))
+    stored = _urls(spark, d).groupBy("url").agg(F.min("page_id").alias("p"))
     stored = stored.select("url", F.expr("date_add(date'2024-01-01', cast(p % 30 as int))").alias("last_access"))
-    return frontier.mark_read(stored, urls.filter("page_id % 2 = 0"), F.lit("2024-03-01").cast("date")).withColumn("last_access", F.col("last_access").cast("string"))
+    return frontier.mark_read(stored, _linked(spark, d), F.lit("2024-03-01").cast("date")).withColumn("last_access", F.col("last_access").cast("string"))
 
 
 def host_insert(spark, d):
-    hosts = read_pages(spark, d).select("page_id", T.reduce_host(T.url_host("url")).alias("hostname"))
-    return frontier.new_hosts(hosts, hosts.filter("page_id < 40"))
+    """Hosts as links have them, against the reduced hosts of all pages."""
+    linked = _linked(spark, d).select(T.url_host("url").alias("hostname"))
+    return frontier.new_hosts(linked, _urls(spark, d).select(T.reduce_host(T.url_host("url")).alias("hostname")))
 
 
 def host_round_robin(spark, d):
@@ -148,15 +152,14 @@ ORACLE = {
     "link_extract_filtered": f"""WITH {_LINKS}, l AS (SELECT page_id, regexp_replace(href, '[?#].*$', '') AS href, {_PATH} AS own FROM links)
         SELECT DISTINCT page_id, href FROM l
         WHERE regexp_matches(href, '^https?://') AND href <> own AND NOT contains(href, 'casino') AND NOT contains(href, 'pills')""",
-    "frontier_anti_insert": f"""WITH u AS (SELECT page_id, {_PATH} AS url FROM pages)
-        SELECT DISTINCT url, {_REDUCED} AS hostname FROM u WHERE {_valid('url')} AND url NOT IN (SELECT url FROM u WHERE page_id % 3 = 0)""",
-    "frontier_upsert": f"""WITH u AS (SELECT page_id, {_PATH} AS url FROM pages),
-        s AS (SELECT url, DATE '2024-01-01' + CAST(min(page_id) % 30 AS INT) AS last_access FROM u WHERE page_id % 3 <> 0 GROUP BY url),
-        r AS (SELECT DISTINCT url FROM u WHERE page_id % 2 = 0)
+    "frontier_anti_insert": f"""WITH {_LINKS}, u AS (SELECT {_PATH} AS url FROM (SELECT href AS url FROM links))
+        SELECT DISTINCT url, {_REDUCED} AS hostname FROM u WHERE {_valid('url')} AND url NOT IN (SELECT {_PATH} FROM pages)""",
+    "frontier_upsert": f"""WITH {_LINKS}, s AS (SELECT {_PATH} AS url, DATE '2024-01-01' + CAST(min(page_id) % 30 AS INT) AS last_access FROM pages GROUP BY 1),
+        r AS (SELECT DISTINCT regexp_replace(href, '[?#].*$', '') AS url FROM links)
         SELECT coalesce(s.url, r.url) AS url, CAST(CASE WHEN r.url IS NOT NULL THEN DATE '2024-03-01' ELSE last_access END AS VARCHAR) AS last_access
         FROM s FULL JOIN r ON s.url = r.url""",
-    "host_insert": f"""WITH h AS (SELECT page_id, {_REDUCED} AS hostname FROM pages)
-        SELECT DISTINCT hostname FROM h WHERE hostname NOT IN (SELECT hostname FROM h WHERE page_id < 40)""",
+    "host_insert": f"""WITH {_LINKS}, h AS (SELECT {_HOST} AS hostname FROM (SELECT regexp_replace(href, '[?#].*$', '') AS url FROM links))
+        SELECT DISTINCT hostname FROM h WHERE hostname NOT IN (SELECT {_REDUCED} FROM (SELECT {_PATH} AS url FROM pages))""",
     "host_round_robin": f"""WITH h AS (SELECT DISTINCT {_HOST} AS hostname FROM pages)
         SELECT hostname, CAST(row_number() OVER (ORDER BY hostname < 'thz', hostname) AS INT) AS pick FROM h QUALIFY pick <= 20""",
     "host_url_counts": f"SELECT {_REDUCED} AS hostname, count(*) AS n_urls FROM pages GROUP BY 1",

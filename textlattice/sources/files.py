@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,6 +22,13 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{top.rstrip('/')}/textlattice/{name}"
 
 
+def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """df as a table in the shared folder, one part per value of `by`, so that several uses count it once."""
+    path = shared_path(df.sparkSession, f"{name}-{uuid.uuid4().hex}")
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
+
+
 def write_ngrams(ngrams: DataFrame, path: str) -> None:
     """ngrams (n, gram, cnt): tab-separated files per order, by falling count."""
     ngrams.select("n", "cnt", "gram").repartitionByRange("n", F.desc("cnt"), "gram").sortWithinPartitions("n", F.desc("cnt"), "gram").write.partitionBy("n").option("sep", "\t").mode("overwrite").csv(path)
