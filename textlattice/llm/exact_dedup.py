@@ -37,7 +37,8 @@ class DigestIndex:
     def table(self) -> DataFrame:
         """The index, which is made without rows where there is none."""
         if not self.spark.catalog.tableExists(self.name):
-            self._append(self.spark.createDataFrame([], f"text_sha256 string, keep_id {self.id_type}, keep_row long, n_keep long"))
+            columns = {"text_sha256": "string", "keep_id": self.id_type, "keep_row": "long", "n_keep": "long"}
+            self._append(self.spark.range(0).select(*[F.lit(None).cast(t).alias(c) for c, t in columns.items()]))
         return self.spark.table(self.name)
 
     def _append(self, rows: DataFrame) -> None:
