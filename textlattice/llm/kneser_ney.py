@@ -28,7 +28,6 @@ an empty result. Rows must come in the same order when a task is repeated, as th
 from __future__ import annotations
 
 import functools
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from textlattice.llm.common import WORD, drop_path, materialise, packed, text_or_empty
+from textlattice.llm.common import drop_path, materialise, packed, text_or_empty
 
 SHARDS = 8  # at least
 SHARD_CHARS = 10_000_000  # of trusted text in a shard
@@ -53,7 +52,6 @@ COARSE, FINE = 1e-3, 1e-7
 HELD_OUT = "pmod(crc32(cast(doc_id as string)), 4) = 2"
 SEED = 42
 START = np.uint64(xxhash.xxh64_intdigest(b"", SEED))  # no word
-_WORDS = re.compile(WORD)
 _LOW = np.uint64(0xFFFFFFFF)
 
 
@@ -127,14 +125,14 @@ def found_in(table: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class Hashes(dict):
     """Word hashes, remembered."""
 
-    def __missing__(self, word: str) -> int:
-        self[word] = out = xxhash.xxh64_intdigest(word.encode(), SEED)
+    def __missing__(self, word: bytes) -> int:
+        self[word] = out = xxhash.xxh64_intdigest(word, SEED)
         return out
 
     def of(self, text: str, most: int = 200_000) -> np.ndarray:
         if len(self) > most:
             self.clear()
-        words = _WORDS.findall(text)
+        words = text.encode().split()  # bytes are split at space, tab, line feed, vertical tab, form feed, carriage return
         return np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
 
 

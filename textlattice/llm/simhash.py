@@ -22,7 +22,6 @@ from __future__ import annotations
 
 import itertools
 import random
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,19 +30,18 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textlattice.llm.common import WORD, materialise, packed, text_or_empty
+from textlattice.llm.common import materialise, packed, text_or_empty
 
 SHINGLE, SEED, MOST = 4, 42, 4
 PIVOTS = 48
 TILE = 2000
 CHUNK = 1 << 15
-_WORDS = re.compile(WORD.encode())
 _UPPER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
 def fingerprint(text: str, shingle: int = SHINGLE) -> int:
     """64 bits, each set if it is set in over half of the shingles' hashes."""
-    words = _WORDS.findall(text.encode().translate(_UPPER))
+    words = text.encode().translate(_UPPER).split()  # bytes are split at the same six characters
     if not words:
         return 0
     joined = b" ".join(words)

@@ -11,12 +11,16 @@
    covers a window, the interval is reported.
 4. Intervals go back to the documents, whose words in them are removed.
 
+Words are compared by 64-bit hashes, and a row is known by a 64-bit hash of its id and text: with n different ones the
+chance of any two that are taken for each other is about n^2 / 2^65.
+
 Minimizers of very many windows (a passage that a large part of all documents shares) are replaced by the smallest gram
 of the window that isn't one of them, so that the windows at the passage's edges spread over the shards.
 
 Defined results: a null or empty text, or one of fewer words than a window, keeps all its words; repeated rows are
-places of their own, so that a text that stands twice is removed twice; a null id is an id like others; an empty table
-gives an empty result; columns other than the id and the text are not looked at.
+places of their own, so that a text that stands twice is removed twice; of grams with equal hashes in a window the first
+counts; a very long text is hashed in bounded chunks; a null id is an id like others; an empty table gives an empty
+result; columns other than the id and the text are not looked at.
 """
 
 from __future__ import annotations
@@ -32,17 +36,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textlattice.llm.common import SPACE, WORD, drop_path, materialise, text_or_empty
+from textlattice.llm.common import SPACE, drop_path, materialise, text_or_empty
 
 WINDOW, GRAM = 35, 10
 #: Words of a shard's index; a shard ends with the minimizer at which it reaches this.
 SHARD = 1_500_000
 LANES = 20_000
-#: A minimizer with more than 1/HEAVY of all minimizers is heavy: there are fewer than HEAVY.
-HEAVY = 2000
+#: A minimizer with more than 1/HEAVY of all minimizers, and at least FEW, is heavy: there are fewer than HEAVY.
+HEAVY, FEW = 200_000, 1000
 #: Contents whose words a task remembers to have given.
 GIVEN = 500_000
-_WORDS, _SPACE = re.compile(WORD.encode()), re.compile(SPACE.encode())
+_SPACE = re.compile(SPACE.encode())
 _BASE = 0x9E3779B97F4A7C15 | 1
 
 
@@ -341,7 +345,7 @@ def removed(rows: DataFrame) -> DataFrame:
         for b in batches:
             out: list[list] = [[], [], []]
             for text, spans in zip(b.column(1), b.column(2), strict=True):
-                words = _WORDS.findall(text.as_py().encode())
+                words = text.as_py().encode().split()  # bytes are split at the same six characters
                 drop = np.zeros(len(words) + 1, dtype=np.int64)
                 for s in spans.as_py():
                     drop[s["lo"]] += 1
@@ -356,6 +360,22 @@ def removed(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "key long, n_words long, n_removed long, kept_sha256 string")
 
 
+def unchanged(rows: DataFrame) -> DataFrame:
+    """rows: key, doc_id, text. doc_id, key, n_words and the hash of all words, as `whole`."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n, whole = [], []
+            for text in b.column(2):
+                words = text.as_py().encode().split()
+                n.append(len(words))
+                whole.append(hashlib.sha256(b" ".join(words)).hexdigest())
+            yield pa.RecordBatch.from_arrays([b.column(1), b.column(0), pa.array(n, pa.int64()), pa.array(whole, pa.string())], names=["doc_id", "key", "n_words", "whole"])
+
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return rows.mapInArrow(run, f"doc_id {kind}, key long, n_words long, whole string")
+
+
 def numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """key (of id and text), doc_id, text."""
     text = text_or_empty(text_col)
@@ -368,7 +388,7 @@ def intervals(rows: DataFrame, window: int = WINDOW, gram: int = GRAM, shard: in
     found = materialise(minimizer_rows(rows.select("key", "text"), window, gram), "minimizers")
     counted = materialise(found.groupBy("m").agg(F.sum("n").alias("n")).filter("n > 1"), "repeated")
     total = counted.agg(F.sum("n")).first()[0] or 0
-    limit = max(total // heavy, 1000)
+    limit = max(total // heavy, FEW)
     hot = np.array([r["m"] for r in counted.filter(F.col("n") > limit).select("m").collect()], dtype=np.int64).view(np.uint64)  # fewer than `heavy`
     by_doc = found.join(counted.select("m"), "m").groupBy("key").agg(F.collect_set("m").alias("repeated"))  # a document's own
     candidates = rows.join(by_doc, "key").select("key", "doc_id", "text", "repeated")
@@ -387,8 +407,6 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     by_doc = materialise(by_doc, "spans")
     changed = removed(rows.select("key", "text").join(by_doc.select("key", "spans"), "key")).distinct().join(by_doc.select("key", "doc_id"), "key")
     changed = materialise(changed.select("key", F.col("doc_id").alias("id"), F.col("n_removed").alias("r"), F.col("kept_sha256").alias("s")), "removed")
-    plain = F.trim(F.regexp_replace("text", SPACE, " "))
-    n_words = F.when(plain == "", 0).otherwise(F.length(plain) - F.length(F.translate(plain, " ", "")) + 1).cast("long")
-    whole = rows.select("doc_id", "key", n_words.alias("n_words"), F.sha2(plain.cast("binary"), 256).alias("whole"))
+    whole = unchanged(rows)
     out = whole.join(changed, (whole["key"] == changed["key"]) & whole["doc_id"].eqNullSafe(changed["id"]), "left")
     return out.select("doc_id", "n_words", F.coalesce("r", F.lit(0).cast("long")).alias("n_removed"), F.coalesce("s", "whole").alias("kept_sha256"))
