@@ -30,6 +30,14 @@ def test_against_plain_rules(spark):
     assert U.judge(pages.limit(0), queries.RULES).collect() == []
 
 
+def test_odd_rows(spark):
+    rows = [(None, "http://com/en/", 1), (1, "http://com/en/", 2), (1, "http://com/en/", 3), (2, None, 4)]
+    got = U.judge(spark.createDataFrame(rows, "page_id long, url string, host int"), queries.RULES)
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(((i, *plain(u)) for i, u, _ in rows), key=repr)
+    same = [U.Rule("block", "com", "/a/"), U.Rule("allow", "com", "/a/")]
+    assert U.judge(spark.createDataFrame([(1, "x://com/a/")], "page_id long, url string"), same).first()["verdict"] == "block"
+
+
 def test_globs_against_regex():
     globs = ["a*c", "**x", "*/y**", "abc", "*", "**", "a**b*c", "." + "ab*" * 30 + "**"]
     r = random.Random(2)

@@ -5,7 +5,9 @@ boundary bucket, in which the budget runs out, is refined by the next 12 bits, a
 The documents below the resulting threshold are taken once more than the whole repeats that the target allows.
 
 Defined results: a null text has size 0; a null source is a source of its own, the last one; a null id hashes like
-the empty text; rows with equal ids are taken or left together; an empty table gives an empty result.
+the empty text; rows with equal ids are taken or left together; sources that fill up at the same level go in their order;
+a text of any length is one size; columns of any name may stand beside those named, and `repeated` keeps them all; an empty
+table gives an empty result. Sources are few beside documents: their targets are found in one task.
 """
 
 from __future__ import annotations

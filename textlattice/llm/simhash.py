@@ -15,7 +15,8 @@ fingerprints whose distances to any reference differ by more than `most` are fur
 
 Defined results: a null or empty text, or one without words, has fingerprint zero and is linked like any other; fewer
 words than a shingle are one shingle; a null id is larger than other ids; rows with equal ids are members each for
-themselves; an empty table gives an empty result; very long texts are hashed in bounded chunks.
+themselves; an empty table gives an empty result; very long texts are hashed in bounded chunks; columns of any name may
+stand beside the id and the text, and `survivors` keeps them all.
 """
 
 from __future__ import annotations

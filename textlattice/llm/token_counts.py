@@ -7,7 +7,8 @@ none, a text's tokens are the sum of its pre-tokens' tokens. Only pre-tokens tha
 each worker's bounded cache.
 
 Defined results: a null text is empty and has 0 tokens; strings of special tokens in a text are ordinary text, as the
-library's default has it; very long pre-tokens are merged but not cached; an empty table gives an empty result.
+library's default has it; very long pre-tokens are merged but not cached; repeated rows are counted alike; a null id is an
+id like others; columns other than the id and the text are not looked at; an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -8,7 +8,8 @@ The canonical URL is `.host/path`: the host lies after the first `://` up to `/`
 case; the path follows up to `?`, `#` or the end. A rule `com/en/` becomes `*.com/en/**`.
 
 Defined results: a null url, or one without `://`, has an empty host and path and fits no rule; a url of any length is
-read to its end; an empty table gives an empty result; columns other than the url are kept by name only if asked for.
+read to its end; a null id is an id like others; repeated rows are judged alike; of rules of one length that fit, the one
+that stands first counts; an empty table gives an empty result; columns other than the id and the url are not looked at.
 """
 
 from __future__ import annotations
