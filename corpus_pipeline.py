@@ -1,6 +1,11 @@
 """The corpus pipeline: quality classifier, exact dedup, SimHash near-dedup, mixing to target weights, best-fit packing.
 
 Each stage works on all rows that the one before it kept, written as Parquet and read again.
+
+Defined results: a null or empty text, or one without words, is rejected by the first stage; a null id has no label, is
+larger than all others where the smallest stays, and is packed like others; of repeated rows one stays after exact dedup;
+a null language or source is one of its own; texts of any length are handled whole; columns of any name are kept by all
+stages but the last; an empty table gives an empty result.
 """
 
 from __future__ import annotations
