@@ -38,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from textlattice.llm.common import drop_path, materialise, packed, text_or_empty
+from textlattice.llm.common import drop_path, freed, materialise, packed, text_or_empty
 
 SHARDS = 8  # at least
 SHARD_CHARS = 10_000_000  # of trusted text in a shard
@@ -416,11 +416,6 @@ def by_word(contexts: DataFrame, d: np.ndarray, shards: int, piece: int) -> Data
     return dealt.mapInArrow(receive, schema_of("shard", names))
 
 
-def freed(spark: SparkSession) -> None:
-    """Let Spark delete the shuffles that nothing refers to any more."""
-    spark._jvm.System.gc()
-
-
 def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, label_col: str = "quality", shards: int = SHARDS, chunk: int = CHUNK_WORDS, piece: int = PIECE):
     """docs: doc_id, text. (the model as a table, the shared model, the number of shards)."""
     trusted = trusted_rows(docs, labels, label_col)

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textlattice.llm.common import SPACE, drop_path, materialise, text_or_empty
+from textlattice.llm.common import SPACE, drop_path, freed, materialise, text_or_empty
 
 WINDOW, GRAM = 35, 10
 #: Words of a shard's index; a shard ends with the minimizer at which it reaches this.
@@ -393,11 +393,22 @@ def intervals(rows: DataFrame, window: int = WINDOW, gram: int = GRAM, shard: in
     by_doc = found.join(counted.select("m"), "m").groupBy("key").agg(F.collect_set("m").alias("repeated"))  # a document's own
     candidates = rows.join(by_doc, "key").select("key", "doc_id", "text", "repeated")
     segments = materialise(segment_rows(candidates, hot, window, gram), "segments")
+    del by_doc, candidates
     drop_path(spark, found)
+    drop_path(spark, counted)
+    freed(spark)
     contents = segments.groupBy("m", "content").agg(F.first("words", ignorenulls=True).alias("words"), F.count(F.lit(1)).alias("n"))
     spans = materialise(repeated_windows(contents, window, shard), "windows")
+    del contents
+    freed(spark)
     places = segments.select("m", "content", "key", "doc_id", "start").join(spans, ["m", "content"])
-    return places.select("key", "doc_id", (F.col("start") + F.col("lo")).alias("lo"), (F.col("start") + F.col("hi")).alias("hi"))
+    places = places.select("key", "doc_id", (F.col("start") + F.col("lo")).alias("lo"), (F.col("start") + F.col("hi")).alias("hi"))
+    out = materialise(places, "places")
+    del places
+    drop_path(spark, segments)
+    drop_path(spark, spans)
+    freed(spark)
+    return out
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, shard: int = SHARD) -> DataFrame:
@@ -405,8 +416,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = numbered(docs, id_col, text_col)
     by_doc = intervals(rows, window, gram, shard).distinct().groupBy("key", "doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))  # a document's own
     by_doc = materialise(by_doc, "spans")
+    freed(rows.sparkSession)
     changed = removed(rows.select("key", "text").join(by_doc.select("key", "spans"), "key")).distinct().join(by_doc.select("key", "doc_id"), "key")
     changed = materialise(changed.select("key", F.col("doc_id").alias("id"), F.col("n_removed").alias("r"), F.col("kept_sha256").alias("s")), "removed")
+    freed(rows.sparkSession)
     whole = unchanged(rows)
     out = whole.join(changed, (whole["key"] == changed["key"]) & whole["doc_id"].eqNullSafe(changed["id"]), "left")
     return out.select("doc_id", "n_words", F.coalesce("r", F.lit(0).cast("long")).alias("n_removed"), F.coalesce("s", "whole").alias("kept_sha256"))
