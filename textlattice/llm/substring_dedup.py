@@ -116,6 +116,13 @@ def gram_hashes(h: np.ndarray, gram: int) -> np.ndarray:
     return mixed(out)
 
 
+def among(x: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Which of x are in a sorted table."""
+    if not len(table):
+        return np.zeros(len(x), bool)
+    return table[np.minimum(np.searchsorted(table, x), len(table) - 1)] == x
+
+
 def minimizers(grams: np.ndarray, window: int, gram: int, heavy: np.ndarray | None = None) -> np.ndarray:
     """For each window, the position of its smallest gram, the first of equal ones. Heavy grams come after all others."""
     per = window - gram + 1
@@ -123,7 +130,7 @@ def minimizers(grams: np.ndarray, window: int, gram: int, heavy: np.ndarray | No
         return np.zeros(0, dtype=np.int64)
     best = grams >> np.uint64(1)
     if heavy is not None and len(heavy):
-        best = best | (np.isin(grams, heavy).astype(np.uint64) << np.uint64(63))
+        best = best | (among(grams, heavy).astype(np.uint64) << np.uint64(63))
     at, size = np.arange(len(grams)), 1
     while size < per:  # the best of `size` grams from each on; the last step's halves overlap
         step = min(size, per - size)
@@ -231,9 +238,9 @@ def segments_of(h: np.ndarray, repeated: np.ndarray, heavy: np.ndarray, window:
     """(minimizer, start, end) of the runs of windows whose minimizers stand more than once."""
     grams = gram_hashes(h, gram)
     at = minimizers(grams, window, gram)
-    keep = np.isin(grams[at], repeated)
+    keep = among(grams[at], repeated)
     if len(heavy) and keep.any():
-        swap = keep & np.isin(grams[at], heavy)
+        swap = keep & among(grams[at], heavy)
         if swap.any():
             at = np.where(swap, minimizers(grams, window, gram, heavy), at)
     starts = np.flatnonzero(keep)
@@ -282,7 +289,7 @@ def segment_rows(candidates: DataFrame, heavy: np.ndarray, window: int, gram: in
             rows, m, content, starts, words = [], [], [], [], []
             for k, text in enumerate(b.column(2)):
                 h = hashes.of(text.as_py())
-                repeated = np.array(b.column(3)[k].as_py(), dtype=np.int64).view(np.uint64)
+                repeated = np.sort(b.column(3)[k].values.to_numpy().view(np.uint64))
                 for minimizer, lo, hi in segments_of(h, repeated, heavy, window, gram):
                     part = h[lo:hi].tobytes()
                     name = (minimizer, xxhash.xxh64_intdigest(part))
@@ -389,14 +396,19 @@ def intervals(rows: DataFrame, window: int = WINDOW, gram: int = GRAM, shard: in
     counted = materialise(found.groupBy("m").agg(F.sum("n").alias("n")).filter("n > 1"), "repeated")
     total = counted.agg(F.sum("n")).first()[0] or 0
     limit = max(total // heavy, FEW)
-    hot = np.array([r["m"] for r in counted.filter(F.col("n") > limit).select("m").collect()], dtype=np.int64).view(np.uint64)  # fewer than `heavy`
+    freed(spark)
+    hot = np.array([r["m"] for r in counted.filter(F.col("n") > limit).select("m").collect()], dtype=np.int64).view(np.uint64)
+    hot.sort()  # fewer than `heavy`
     by_doc = found.join(counted.select("m"), "m").groupBy("key").agg(F.collect_set("m").alias("repeated"))  # a document's own
-    candidates = rows.join(by_doc, "key").select("key", "doc_id", "text", "repeated")
-    segments = materialise(segment_rows(candidates, hot, window, gram), "segments")
-    del by_doc, candidates
+    by_doc = materialise(by_doc, "document-minimizers")
     drop_path(spark, found)
     drop_path(spark, counted)
     freed(spark)
+    candidates = rows.join(by_doc, "key").select("key", "doc_id", "text", "repeated")
+    segments = materialise(segment_rows(candidates, hot, window, gram), "segments")
+    del candidates
+    drop_path(spark, by_doc)
+    freed(spark)
     contents = segments.groupBy("m", "content").agg(F.first("words", ignorenulls=True).alias("words"), F.count(F.lit(1)).alias("n"))
     spans = materialise(repeated_windows(contents, window, shard), "windows")
     del contents
