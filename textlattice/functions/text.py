@@ -103,27 +103,89 @@ def reduce_host(c: str | Column) -> Column:
 
 
 def char_type(c: str | Column) -> Column:
-    """space, alpha, digit, punct, control or other, of the first character."""
+    """space, alpha, digit, punct, control or other, of the first character; other for an empty text."""
     x = _col(c)
     return (
-        F.when(x.rlike("^[ ]"), "space")
+        F.when(x.rlike("^ "), "space")
         .when(x.rlike("^[A-Za-z]"), "alpha")
         .when(x.rlike("^[0-9]"), "digit")
-        .when(x.rlike("^[!-/:-@\\[-`{-~]"), "punct")
-        .when(x.rlike("^[\\x00-\\x1f\\x7f]"), "control")
+        .when(x.rlike("^[.,!?]"), "punct")
+        .when(x.rlike("^[\\x01-\\x1f]"), "control")
         .otherwise("other")
     )
 
 
 def need_store(last: str | Column, nxt: str | Column) -> Column:
-    """Whether a word is complete: it ends in a letter or digit, and what follows is neither."""
-    word = F.array(F.lit("alpha"), F.lit("digit"), F.lit("other"))
-    return F.array_contains(word, char_type(last)) & ~F.array_contains(word, char_type(nxt))
+    """Whether the words before the caret go into the history: there is a last character, and the next one is a mark or
+    begins a run of another type."""
+    before, after = char_type(last), char_type(nxt)
+    return (_col(last) != "") & ((after == "punct") | (after.isin("alpha", "digit", "other") & (before != after)))
 
 
 def is_next_word(nxt: str | Column) -> Column:
-    """Whether the next word can be predicted before it is typed: after a space."""
-    return char_type(nxt) == "space"
+    """Whether a whole next word can be predicted: the next character doesn't go on with a word."""
+    return char_type(nxt).isin("space", "punct", "other")
+
+
+def spaced_words(c: str | Column) -> Column:
+    """The words before the caret, an array of structs (word, space_before, space_after): runs of letters, runs of digits,
+    single marks. What stands before the first space may be cut, so it is left out; a piece with any other character drops
+    all words up to the next space."""
+    rest = F.regexp_replace(F.regexp_replace(_col(c), "^[^ ]*", ""), "(?s)^.*[^ A-Za-z0-9.,!?][^ ]*", "")
+    heads, words = (F.regexp_extract_all(rest, F.lit("( ?)([A-Za-z]+|[0-9]+|[.,!?])"), F.lit(k)) for k in (1, 2))
+    after = F.concat(F.slice(F.transform(heads, lambda h: h == " "), 2, F.greatest(F.size(heads), F.lit(1))), F.array(rest.endswith(" ")))
+    return F.transform(words, lambda w, k: F.struct(w.alias("word"), (F.get(heads, k) == " ").alias("space_before"), F.get(after, k).alias("space_after")))
+
+
+# Fixed values of the dictionary's characters: marks with a byte of their own, from 0x57 on.
+MARKS = "、。・ー〜「」{|}"
+
+
+def _byte(n: Column) -> Column:
+    return F.lpad(F.hex(n.cast("long")), 2, "0")
+
+
+def dict_encode(c: str | Column) -> Column:
+    """A text in the dictionary's characters of one to three bytes for each UTF-16 unit, up to a NUL."""
+    marks = F.create_map(*[F.lit(x) for k, m in enumerate(MARKS) for x in (f"{ord(m):04X}", f"{0x57 + k:02X}")])
+
+    def unit(h: Column) -> Column:
+        v, high, low = F.conv(h, 16, 10).cast("int"), F.left(h, F.lit(2)), F.right(h, F.lit(2))
+        return (
+            F.when(v.between(0x3041, 0x3096), _byte(v - 0x3040))
+            .when(F.map_contains_key(marks, h), F.try_element_at(marks, h))
+            .when(v.between(0x21, 0x60), _byte(v + 0x40))
+            .when(v.between(0x3001, 0x30FF), F.concat(F.lit("AA"), low))
+            .when(v < 0x100, F.concat(F.lit("AB"), low))
+            .when(low == "00", F.concat(F.lit("AC"), high))
+            .when(v.between(0x4E00, 0x9FFF), F.concat(_byte(F.floor(v / 256) + 0x60), low))
+            .otherwise(F.concat(F.lit("AD"), h))
+        )
+
+    units = F.regexp_extract_all(F.hex(F.encode(F.substring_index(_col(c), "\0", 1), "UTF-16BE")), F.lit("(.{4})"), F.lit(1))
+    return F.unhex(F.array_join(F.transform(units, unit), ""))
+
+
+def dict_decode(c: str | Column) -> Column:
+    """The text of dict_encode's bytes."""
+    marks = F.create_map(*[F.lit(x) for k, m in enumerate(MARKS) for x in (f"{0x57 + k:02X}", f"{ord(m):04X}")])
+
+    def unit(h: Column) -> Column:
+        kind, rest = F.left(h, F.lit(2)), F.substring(h, 3, 4)
+        v = F.conv(kind, 16, 10).cast("int")
+        return (
+            F.when(v <= 0x56, F.concat(F.lit("30"), _byte(v + 0x40)))
+            .when(v <= 0x60, F.try_element_at(marks, kind))
+            .when(v <= 0xA0, F.concat(F.lit("00"), _byte(v - 0x40)))
+            .when(kind == "AA", F.concat(F.lit("30"), rest))
+            .when(kind == "AB", F.concat(F.lit("00"), rest))
+            .when(kind == "AC", F.concat(rest, F.lit("00")))
+            .when(kind == "AD", rest)
+            .otherwise(F.concat(_byte(v - 0x60), rest))
+        )
+
+    codes = F.regexp_extract_all(F.hex(_col(c)), F.lit("(AD.{4}|A[ABC].{2}|A[EF].{2}|[B-F].{3}|.{2})"), F.lit(1))
+    return F.decode(F.unhex(F.array_join(F.transform(codes, unit), "")), "UTF-16BE")
 
 
 def time_bucket(ts: str | Column) -> Column:
@@ -147,6 +209,18 @@ def varint_len(c: str | Column) -> Column:
     return F.when(x < 1 << 7, 1).when(x < 1 << 13, 2).when(x < 1 << 19, 3).when(x < 1 << 25, 4).otherwise(5)
 
 
+def log_add(a: str | Column, b: str | Column) -> Column:
+    """ln(exp(a) + exp(b)); an `a` of 0 stands for nothing yet."""
+    x, y = _col(a), _col(b)
+    return F.when(x == 0, y).otherwise(F.greatest(x, y) + F.log1p(F.exp(F.least(x, y) - F.greatest(x, y))))
+
+
+def finite(c: str | Column) -> Column:
+    """The number itself; a job with a number that is none, or without end, fails."""
+    x = _col(c).cast("double")
+    return F.when(F.isnan(x) | (F.abs(x) == float("inf")), F.raise_error(F.lit("a number that isn't finite")).cast("double")).otherwise(x)
+
+
 def file_timestamp(ts: str | Column) -> Column:
     return F.date_format(_col(ts), "yyyyMMdd-HHmmss")
 
