@@ -138,7 +138,8 @@ def test_files_round_trip(spark, tmp_path):
     assert sorted(map(tuple, files.read_ngrams(spark, str(tmp_path / "g"), divide=2).collect())) == [(1, "a", 4), (2, "a b", 2)]
     for k in range(4):
         files.replace_table(spark.range(k + 1), str(tmp_path / "t"))
-    assert [spark.read.parquet(str(tmp_path / f"t{x}")).count() for x in ("", ".1", ".2")] == [4, 3, 2]
+    assert [files.current_table(spark, str(tmp_path / "t"), k).count() for k in range(3)] == [4, 3, 2]
+    assert files.table_generations(spark, str(tmp_path / "t")) == [2, 3, 4] and files.table_generations(spark, str(tmp_path / "none")) == []
 
 
 def test_settings():

@@ -31,24 +31,34 @@ _TABLE = romaji_table()
 _LONGEST = max(map(len, _TABLE))
 
 
-def romaji_to_kana(text: str) -> str:
-    """The longest spelling at each place; a doubled consonant is a small tsu; what isn't a spelling stays."""
+def romaji_pieces(text: str) -> list[tuple[int, int, str]]:
+    """(start, length, kana) of all that is converted: the longest spelling at each place, a small tsu for the first of
+    doubled consonants, n before a consonant."""
     out, at, low = [], 0, text.lower()
     while at < len(text):
         size = next((n for n in range(_LONGEST, 0, -1) if low[at : at + n] in _TABLE and at + n <= len(text)), 0)
         if size:
-            out.append(_TABLE[low[at : at + size]])
-            at += size
+            out.append((at, size, _TABLE[low[at : at + size]]))
         elif at + 1 < len(text) and low[at] == low[at + 1] and low[at] in "kstcphgzdbjfmrwy":
-            out.append("っ")
-            at += 1
+            out.append((at, 1, "っ"))
         elif low[at] == "n" and at + 1 < len(text) and low[at + 1].isalpha() and low[at + 1] not in "aiueoy":
-            out.append("ん")
-            at += 1
-        else:
-            out.append(text[at])
-            at += 1
-    return "".join(out)
+            out.append((at, 1, "ん"))
+        at += size or 1
+    return out
+
+
+def romaji_to_kana(text: str) -> str:
+    """The text with its pieces converted; what isn't a spelling stays."""
+    out, at = [], 0
+    for start, size, kana in romaji_pieces(text):
+        out += [text[at:start], kana]
+        at = start + size
+    return "".join([*out, text[at:]])
+
+
+def edits_before_caret(text: str) -> list[tuple[int, int, str]]:
+    """The pieces from the last to the first, so that applying one doesn't move those still to come."""
+    return romaji_pieces(text)[::-1]
 
 
 def break_words(text: str) -> list[str]:
@@ -149,6 +159,12 @@ def to_kana(c: Column) -> Column:
     return pandas_udf(lambda s: s.map(romaji_to_kana, na_action="ignore"), "string")(c)
 
 
+def romaji_edits(c: Column) -> Column:
+    """edits_before_caret as an array of structs (start, length, kana)."""
+    kind = "array<struct<start:int,length:int,kana:string>>"
+    return pandas_udf(lambda s: s.map(lambda x: [dict(zip(("start", "length", "kana"), e, strict=True)) for e in edits_before_caret(x)], na_action="ignore"), kind)(c)
+
+
 def words_of(c: Column) -> Column:
     return pandas_udf(lambda s: s.map(break_words, na_action="ignore"), "array<string>")(c)
 

@@ -13,10 +13,13 @@ from textlattice.operators import lexicon
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A path that the driver and all executors see: below spark.checkpoint.dir, or a temporary folder where it is unset."""
+    """A path that the driver and all executors see: below spark.checkpoint.dir. Where that is unset, a temporary folder in
+    local mode; on a cluster it has to be set."""
     sc = spark.sparkContext
     top = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not top:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         top = tempfile.mkdtemp(prefix="textlattice-")
         sc.setCheckpointDir(top)
     return f"{top.rstrip('/')}/textlattice/{name}"
@@ -61,20 +64,54 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
+def table_generations(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of a table's whole generations, rising: those whose writing has ended."""
+    fs, at = _fs(spark, path)
+    names = [f.getPath().getName() for f in fs.listStatus(at)] if fs.exists(at) else []
+    found = [n for n in names if re.fullmatch(r"generation-\d+", n) and fs.exists(_fs(spark, f"{path}/{n}/_SUCCESS")[1])]
+    return sorted(int(n.rsplit("-", 1)[1]) for n in found)
+
+
 def replace_table(df: DataFrame, path: str, generations: int = 3) -> None:
-    """Write beside the table, then move: a reader sees the old table or the new one. Older ones stay as path.1, path.2."""
+    """Write the next generation beside the others, which stay readable; then the oldest ones go. For one writer at a time."""
     spark = df.sparkSession
-    fs, at = _fs(spark, path)
-    new = _fs(spark, f"{path}.new")[1]
-    df.write.mode("overwrite").parquet(f"{path}.new")
-    for k in range(generations - 1, 0, -1):
-        older, old = _fs(spark, f"{path}.{k}")[1], at if k == 1 else _fs(spark, f"{path}.{k - 1}")[1]
-        if fs.exists(old):
-            fs.delete(older, True)
-            fs.rename(old, older)
-    if fs.exists(at):
+    number = max(table_generations(spark, path), default=0) + 1
+    df.write.mode("overwrite").parquet(f"{path}/generation-{number}")
+    for old in table_generations(spark, path)[:-generations]:
+        fs, at = _fs(spark, f"{path}/generation-{old}")
         fs.delete(at, True)
-    fs.rename(new, at)
+
+
+def current_table(spark: SparkSession, path: str, back: int = 0) -> DataFrame:
+    """The last whole generation of a table, or one `back` generations before it."""
+    return spark.read.parquet(f"{path}/generation-{table_generations(spark, path)[-1 - back]}")
+
+
+def lattice_log(edges: DataFrame, best: DataFrame) -> DataFrame:
+    """What a conversion has seen and chosen: s, lattice (its edges as JSON), cost, path. To be appended to a log table."""
+    rows = edges.groupBy("s").agg(F.to_json(F.array_sort(F.collect_list(F.struct("top", "end", "reading", "pos", "cost")))).alias("lattice"))  # one string's edges
+    return rows.join(best.select("s", F.col("cost"), "path"), "s").select("s", "lattice", "cost", "path")
+
+
+def setting(settings: dict[str, dict[str, str]], section: str, key: str, default: str | int | float | bool) -> str | int | float | bool:
+    """A value with the type of the default, which stands for one that is missing or can't be read."""
+    text = settings.get(section, {}).get(key)
+    if text is None:
+        return default
+    if isinstance(default, bool):
+        return text.lower() in ("1", "true", "yes", "on")
+    try:
+        return type(default)(text)
+    except ValueError:
+        return default
+
+
+def expand_path(value: str, places: dict[str, str]) -> str:
+    """The value with the first `%Name%` of the first place that it names."""
+    for name, at in places.items():
+        if f"%{name}%" in value:
+            return value.replace(f"%{name}%", at, 1)
+    return value
 
 
 def parse_settings(*texts: str) -> dict[str, dict[str, str]]:

@@ -11,7 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textlattice.operators import history, ngrams
+from textlattice.operators import history, ngrams, topics
+from textlattice.sources.files import current_table, replace_table, table_generations
 
 
 def _counted_batches(source: DataFrame, count: Callable[[DataFrame], DataFrame], state: str, checkpoint: str) -> None:
@@ -43,3 +44,25 @@ def folded(spark: SparkSession, state: str, target: str, limit: int) -> None:
     """The state as one table; all counts halved if there are at least `limit` grams."""
     total = spark.read.parquet(state).groupBy("gram").agg(F.sum("cnt").alias("cnt"))
     ngrams.compact(total, limit).write.mode("overwrite").parquet(f"{target}/batch=-1")
+
+
+def learn_topics(documents: DataFrame, n: int, state: str, checkpoint: str, full: int = topics.FULL, mixture: bool = True) -> None:
+    """Topics from a stream of documents (key, words). Documents with enough words wait in a buffer until they have `full`
+    unique words; then a model is trained on them, into which the earlier one goes. The buffer's batches carry their number
+    and a model the number of the last batch that it has learned, so that a batch that runs again changes nothing."""
+    spark = documents.sparkSession
+
+    def store(batch: DataFrame, number: int) -> None:
+        topics.learnable(batch).select("key", "words").write.mode("overwrite").parquet(f"{state}/buffer/batch={number}")
+        known = current_table(spark, f"{state}/model") if table_generations(spark, f"{state}/model") else None
+        last = -1 if known is None else known.agg(F.max("batch")).first()[0]
+        if last >= number:
+            return
+        waiting = spark.read.schema("key long, words array<string>, batch long").parquet(f"{state}/buffer").filter(F.col("batch") > last)
+        if waiting.select(F.explode("words")).distinct().count() < full:
+            return
+        model, prior = (None, None) if known is None else (known.select("word", "ps"), list(known.select("prior").first()[0]))
+        model, prior, _ = topics.trained(topics.term_counts(waiting, "key", F.col("words")), "key", n, model, prior, mixture)
+        replace_table(model.select("word", "ps", F.lit(prior).alias("prior"), F.lit(number).cast("long").alias("batch")), f"{state}/model")
+
+    documents.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
