@@ -4,7 +4,7 @@ import re
 import corpus_pipeline
 from textlattice.llm import mixing, queries
 from tests.llm import cases
-from tests.llm.test_simhash import plain_components, plain_fingerprint
+from tests.llm.test_simhash import linked_near, plain_components, plain_sketch
 
 
 def test_stages_one_by_one(spark, smoke, tmp_path):
@@ -27,8 +27,8 @@ def test_stages_one_by_one(spark, smoke, tmp_path):
                 low[h] = min(low.get(h, r["doc_id"]), r["doc_id"])
             assert ids == sorted(low.values())
         elif name == "near_dedup":
-            rows = [(r["doc_id"], plain_fingerprint(r["text"])) for r in before]
-            assert ids == sorted(set(plain_components(rows)))
+            rows = [(r["doc_id"], plain_sketch(r["text"])) for r in before]
+            assert ids == sorted(set(plain_components(rows, linked_near)))
         elif name == "mixing":
             assert len(ids) == sum(r["times"] for r in mixing.mix(docs).collect())
         elif name == "packing":

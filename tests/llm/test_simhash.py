@@ -1,3 +1,4 @@
+import functools
 import random
 import re
 
@@ -5,6 +6,7 @@ import numpy as np
 import xxhash
 
 from textlattice.llm import queries, simhash
+from textlattice.llm.substring_dedup import WordHash, gram_hashes, mixed
 from tests.llm import cases
 
 
@@ -18,7 +20,35 @@ def plain_fingerprint(text, shingle=4):
     return sum(1 << b for b in range(64) if sum(h >> b & 1 for h in hashes) * 2 > len(hashes))
 
 
-def plain_components(rows):
+def linked(fps, a):
+    return np.flatnonzero(np.bitwise_count(fps[a + 1 :] ^ fps[a]) <= 4) + a + 1
+
+
+def linked_near(fps, a):
+    """For rows of the words' fingerprint and four longs of the shingles'."""
+    d = np.bitwise_count(fps[a + 1 :] ^ fps[a])
+    return np.flatnonzero((d[:, 0] <= 6) & (d[:, 1:].sum(axis=1, dtype=int) <= 44)) + a + 1
+
+
+@functools.cache
+def hashed(word):
+    return int(WordHash().of(word)[0])
+
+
+def plain_sketch(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+    if not words:
+        return [0] * 5
+    grams = [words[k : k + 5] for k in range(len(words) - 4)] or [words]
+    grams = {int(gram_hashes(np.array([hashed(w) for w in g], dtype=np.uint64), len(g))[0]) for g in grams}
+    out = []
+    for salt, kinds in enumerate([{hashed(w) for w in words}, grams, grams, grams, grams]):
+        h = [int(mixed(np.array([x], dtype=np.uint64) + np.uint64(1000 * salt))[0]) for x in kinds]
+        out.append(sum(1 << b for b in range(64) if sum(x >> b & 1 for x in h) * 2 > len(h)))
+    return out
+
+
+def plain_components(rows, linked=linked):
     ids, fps = [r[0] for r in rows], np.array([r[1] for r in rows], dtype=np.uint64)
     label = list(range(len(rows)))
 
@@ -29,7 +59,7 @@ def plain_components(rows):
         return x
 
     for a in range(len(rows)):
-        for b in np.flatnonzero(np.bitwise_count(fps[a + 1 :] ^ fps[a]) <= 4) + a + 1:
+        for b in linked(fps, a):
             label[find(a)] = find(int(b))
     low = {}
     for k, i in enumerate(ids):
@@ -86,3 +116,45 @@ def test_each_component_keeps_one_row(spark):
     rows = [(5, a), (5, b), (9, b), (12, b), (None, c), (None, c), (None, d), (None, a)]
     kept = simhash.survivors(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
     assert sorted(map(tuple, kept), key=repr) == sorted([(5, a), (5, b), (None, c), (None, d)], key=repr)
+
+
+def test_sketches_against_plain_loops(spark):
+    rows = [(k, t) for k, (_, t, *_) in enumerate(cases.ODD) if len(t or "") < 5000]
+    rows += [(len(rows), cases.words(90, 3, 40)), (len(rows) + 1, "A b\tC\u00c4 \u00e4 d")]
+    got = simhash.sketches(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).drop("fp").collect()
+    want = [(k, *[x - (1 << 64) if x >> 63 else x for x in plain_sketch(t)]) for k, t in rows]
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
+def edited(words, n, r):
+    """The words with n of them replaced, and the share of five-word shingles that both have."""
+    out = list(words)
+    for k in r.sample(range(len(out)), n):
+        out[k] = f"{out[k]}x"
+    return out, similarity(shingles(words), shingles(out))
+
+
+def shingles(words):
+    return {tuple(words[k : k + 5]) for k in range(len(words) - 4)}
+
+
+def similarity(a, b):
+    return len(a & b) / len(a | b)
+
+
+def test_edited_copies_are_dropped_and_others_stay(spark, smoke):
+    r = random.Random(8)
+    texts = [t["text"] for t in simhash.survivors(spark.read.parquet(f"{smoke}/documents.parquet")).collect()]
+    texts = [t for t in texts if 80 <= len((t or "").split()) <= 3000]
+    apart = [shingles(t.split()) for t in texts]
+    texts = [t for k, t in enumerate(texts) if all(k == j or similarity(apart[k], w) < 0.5 for j, w in enumerate(apart))]
+    rows, copies = list(enumerate(texts)), {}
+    for k, t in rows[:]:
+        words = t.split()
+        out, similar = edited(words, max(1, len(words) // 70), r)
+        if similar >= 0.82:
+            copies[10_000 + k] = similar
+            rows.append((10_000 + k, " ".join(out)))
+    kept = {d["doc_id"] for d in simhash.survivors(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()}
+    assert len(copies) > 40 and set(range(len(texts))) <= kept
+    assert len(copies.keys() - kept) >= 0.9 * len(copies)
