@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from textlattice.llm import exact_dedup, kneser_ney, media, mixing, packing, simhash, substring_dedup, token_counts, toxicity, url_filter
+from textlattice.llm import exact_dedup, filter_audit, kneser_ney, media, mixing, packing, simhash, substring_dedup, token_counts, toxicity, url_filter
 from textlattice.llm.common import table
 
 RULES = [
@@ -63,6 +63,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_token_counts": op2_token_counts,
@@ -74,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_mixing": op10_mixing,
+    "op13_filter_audit": op13_filter_audit,
 }
 
 _RULE_ROWS = ", ".join(f"('{r.verdict}', '{r.host}', '{r.path}')" for r in RULES)
@@ -130,4 +135,39 @@ ORACLE: dict[str, str] = {
         SELECT doc_id, size, source_size, target,
           CAST(size * (repeats + CASE WHEN repeats < 3 AND d.h < below THEN 1 ELSE 0 END) AS BIGINT) AS taken
         FROM d JOIN x ON d.source IS NOT DISTINCT FROM x.source""",
+    "op13_filter_audit": r"""
+        WITH d AS (
+          SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text,
+            regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+            min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS first_id
+          FROM documents),
+        f AS (
+          SELECT doc_id, part,
+            CASE WHEN len(w) < 200 THEN 'A' ELSE '' END
+            || CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 'B' ELSE '' END
+            || CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 2 * length(text) THEN 'C' ELSE '' END
+            || CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' ELSE '' END
+            || CASE WHEN first_id IS NOT NULL AND (doc_id IS NULL OR doc_id > first_id) THEN 'E' ELSE '' END AS fails
+          FROM d),
+        l AS (SELECT doc_id, max(quality = 1) AS good, max(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+        m AS (SELECT f.*, coalesce(good, false) AS good, coalesce(l.toxic, false) AS toxic FROM f LEFT JOIN l USING (doc_id)),
+        letter(x) AS (VALUES ('A'), ('B'), ('C'), ('D'), ('E')),
+        o AS (
+          SELECT a.x || b.x || c.x || d.x || e.x AS filter_order
+          FROM letter a, letter b, letter c, letter d, letter e
+          WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+        s AS (
+          SELECT filter_order, CAST(step AS INTEGER) AS step, filter_order[step] AS own, filter_order[1:step - 1] AS earlier
+          FROM o, range(1, 6) r(step)),
+        x AS (
+          SELECT part, filter_order, step, own, good, toxic, fails = own AS alone, contains(fails, own) AS fail,
+            earlier <> '' AND regexp_matches(fails, '[' || earlier || '_]') AS gone
+          FROM m, s),
+        t AS (
+          SELECT part, filter_order, step, own,
+            count(*) FILTER (NOT gone AND NOT fail) AS kept, count(*) FILTER (fail AND NOT gone) AS removed,
+            count(*) FILTER (fail AND gone) AS redundant, count(*) FILTER (alone) AS unique_fails,
+            count(*) FILTER (fail AND NOT gone AND good) AS good_lost, count(*) FILTER (fail AND NOT gone AND toxic) AS toxic_lost
+          FROM x GROUP BY ALL)
+        SELECT * EXCLUDE (own), CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley FROM t""",
 }
