@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from textlattice.llm import exact_dedup, filter_audit, kneser_ney, media, mixing, packing, simhash, substring_dedup, token_counts, toxicity, url_filter
+from textlattice.llm import conversations, exact_dedup, filter_audit, kneser_ney, media, mixing, packing, simhash, substring_dedup, token_counts, toxicity, url_filter
 from textlattice.llm.common import table
 
 RULES = [
@@ -63,6 +63,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.report(table(spark, sf_dir, "conversations"))
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -78,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_mixing": op10_mixing,
+    "op11_conversation_repair": op11_conversation_repair,
     "op13_filter_audit": op13_filter_audit,
 }
 
@@ -135,6 +140,59 @@ ORACLE: dict[str, str] = {
         SELECT doc_id, size, source_size, target,
           CAST(size * (repeats + CASE WHEN repeats < 3 AND d.h < below THEN 1 ELSE 0 END) AS BIGINT) AS taken
         FROM d JOIN x ON d.source IS NOT DISTINCT FROM x.source""",
+    "op11_conversation_repair": r"""
+        WITH RECURSIVE crc AS (
+          SELECT list(list_reduce([n] || range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY n) AS t
+          FROM range(256) r(n)),
+        r AS (
+          SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+            coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key
+          FROM conversations),
+        h AS (
+          SELECT r.*, xor(list_reduce([4294967295] || list_transform(string_split(key, ''), lambda ch: CAST(ord(ch) AS BIGINT)),
+            lambda c, b: xor(c >> 8, t[1 + (xor(c, b) & 255)])), 4294967295) % 20 AS hit
+          FROM r, crc),
+        x AS (
+          SELECT conv_id, turn, CASE WHEN hit = 4 THEN 'user' ELSE role END AS role,
+            CASE hit WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, copy
+          FROM h, (VALUES (0), (1)) c(copy) WHERE hit <> 0 AND (copy = 0 OR hit = 3)),
+        y AS (SELECT *, substr(role, 1, 1) AS init, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), copy) AS j FROM x),
+        z AS (
+          SELECT *, lag(init) OVER (PARTITION BY conv_id ORDER BY j) || init AS pair,
+            CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank'
+              WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY j) > 1 THEN 'duplicate'
+              WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') THEN 'truncated' ELSE '' END AS fault
+          FROM y),
+        m(q, r, ins, own) AS (VALUES ('-', 's', '', ''), ('-', 'u', '', 'user'), ('-', 'a', 'user:', 'assistant'), ('s', 'u', '', 'user'),
+          ('s', 'a', 'user:', 'assistant'), ('u', 'a', '', 'assistant'), ('u', 'u', 'assistant:', 'user'), ('a', 'u', '', 'user'), ('a', 'a', 'user:', 'assistant')),
+        o AS (
+          SELECT m.*, 'K' AS edit, 0 AS price FROM m UNION ALL SELECT m.*, 'R', 3 FROM m WHERE r <> 's'
+          UNION ALL SELECT q, q, '', '', 'D', 4 FROM (VALUES ('-'), ('s'), ('u'), ('a')) d(q)),
+        w(conv_id, j, q, best) AS (
+          SELECT DISTINCT conv_id, CAST(0 AS BIGINT), '-', {'cost': CAST(0 AS BIGINT), 'audit': '', 'lines': ''} FROM z
+          UNION ALL
+          SELECT w.conv_id, z.j, o.r, min({
+            'cost': CAST(best.cost + price + CASE WHEN ins <> '' THEN 3 ELSE 0 END + CASE WHEN edit <> 'D' AND fault = 'truncated' THEN 3 ELSE 0 END AS BIGINT),
+            'audit': best.audit || CASE WHEN ins <> '' THEN 'I' ELSE '' END || edit,
+            'lines': best.lines || CASE WHEN ins <> '' THEN ins || chr(10) ELSE '' END
+              || CASE edit WHEN 'D' THEN '' WHEN 'K' THEN role || ':' || text || chr(10) ELSE own || ':' || text || chr(10) END})
+          FROM w JOIN z ON z.conv_id IS NOT DISTINCT FROM w.conv_id AND z.j = w.j + 1 JOIN o ON o.q = w.q
+          WHERE edit = 'D' OR (fault IN ('', 'truncated') AND (edit = 'R' OR init = o.r))
+          GROUP BY w.conv_id, z.j, o.r),
+        n AS (
+          SELECT conv_id, max(j) AS n, CAST(coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS BIGINT) AS gaps,
+            count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+            count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal
+          FROM z GROUP BY conv_id),
+        e(q, ins, lines) AS (VALUES ('-', '', ''), ('s', 'II', 'user:' || chr(10) || 'assistant:' || chr(10)), ('u', 'I', 'assistant:' || chr(10)), ('a', '', '')),
+        f AS (
+          SELECT w.conv_id, min({'cost': best.cost + 3 * length(ins), 'audit': best.audit || ins, 'lines': best.lines || e.lines}) AS best
+          FROM w JOIN n ON n.conv_id IS NOT DISTINCT FROM w.conv_id AND n.n = w.j JOIN e ON e.q = w.q GROUP BY w.conv_id)
+        SELECT i.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+          coalesce(illegal, 0) AS illegal, coalesce(best.cost, 0) AS cost, coalesce(best.audit, '') AS audit,
+          sha256(regexp_replace(coalesce(best.lines, ''), '\n\z', '')) AS repaired_sha256
+        FROM (SELECT DISTINCT conv_id FROM conversations) i
+          LEFT JOIN n ON n.conv_id IS NOT DISTINCT FROM i.conv_id LEFT JOIN f ON f.conv_id IS NOT DISTINCT FROM i.conv_id""",
     "op13_filter_audit": r"""
         WITH d AS (
           SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text,
