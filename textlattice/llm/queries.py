@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from textlattice.llm import conversations, exact_dedup, filter_audit, kneser_ney, media, mixing, packing, simhash, substring_dedup, token_counts, toxicity, url_filter
+from textlattice.llm import conversations, exact_dedup, filter_audit, kneser_ney, media, minhash, mixing, packing, simhash, substring_dedup, token_counts, toxicity, url_filter
 from textlattice.llm.common import table
 
 RULES = [
@@ -67,6 +67,10 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.report(table(spark, sf_dir, "conversations"))
 
 
+def op12_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(spark, table(spark, sf_dir, "documents"))
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -83,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_mixing": op10_mixing,
     "op11_conversation_repair": op11_conversation_repair,
+    "op12_minhash": op12_minhash,
     "op13_filter_audit": op13_filter_audit,
 }
 
