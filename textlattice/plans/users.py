@@ -10,6 +10,7 @@ from textlattice import streaming
 from textlattice.functions import text as T
 from textlattice.operators import history as H
 from textlattice.operators import lattice as A
+from textlattice.operators import predict as R
 from textlattice.operators import quantise as Q
 from textlattice.operators import topics as M
 from textlattice.plans import counts as C
@@ -59,6 +60,15 @@ def typing_predict(spark, d):
     return H.predict(H.while_typing(lines, F.col("turn") % 2 == 0), history_cond_prob(spark, d), k=1).drop("rank")
 
 
+def history_phrase_predict(spark, d):
+    """All turns of two words and more: their last word but one, and two letters of the last one, are typed without a space."""
+    lines = _lines(spark, d).filter(F.size("words") > 1)
+    typed = F.concat(F.element_at("words", -2), F.left(F.element_at("words", -1), F.lit(2)))
+    asked = lines.select("id", F.slice("words", F.lit(1), F.size("words") - 2).alias("words"), typed.alias("typed"))
+    history = history_register_full(spark, d).filter(~F.contains("gram", F.lit("[EOS]")))
+    return R.phrases(written(asked, "asked"), history)
+
+
 def typed_out_penalty(spark, d):
     lines = _lines(spark, d)
     before = lines.select("id", F.slice("words", F.lit(1), F.size("words") - 1).alias("words"))
@@ -183,7 +193,7 @@ def stream_ngram_available_now(spark, d):
 
 QUERIES = {
     f.__name__: f
-    for f in (history_suffix_counts, history_register_full, history_cond_prob, history_context_predict, typing_predict, typed_out_penalty, reinforce_fold, candidate_show, key_repeat, modifier_state, task_priority, json_command, varint_length, time_split, phrase_concat_flags, edit_ranges, word_marginal_entropy, entropy_lists, topic_top_words, mixunigram_estep_once, plsa_step_once, topic_merge, perplexity_window, convergence_flag, quantise_index, stream_ngram_available_now)
+    for f in (history_suffix_counts, history_register_full, history_cond_prob, history_context_predict, history_phrase_predict, typing_predict, typed_out_penalty, reinforce_fold, candidate_show, key_repeat, modifier_state, task_priority, json_command, varint_length, time_split, phrase_concat_flags, edit_ranges, word_marginal_entropy, entropy_lists, topic_top_words, mixunigram_estep_once, plsa_step_once, topic_merge, perplexity_window, convergence_flag, quantise_index, stream_ngram_available_now)
 }
 
 _TURNS = f"turns AS (SELECT conv_id, turn, {C.TOKENS} AS w FROM conversations)"
@@ -233,6 +243,18 @@ ORACLE = {
         hits AS (SELECT id, word, size, p FROM (SELECT id, size, array_to_string(w[len(w) - size + 1:], ' ') AS prefix FROM last, (SELECT CAST(k AS INT) AS size FROM range(1, {H.MOST_CONTEXT + 1}) t(k)) WHERE size <= len(w)) x JOIN cond USING (prefix)),
         best AS (SELECT * FROM hits QUALIFY row_number() OVER (PARTITION BY id, word ORDER BY size DESC) = 1)
         SELECT id, CAST(row_number() OVER (PARTITION BY id ORDER BY size DESC, p DESC, word) AS INT) AS rank, word, size, p FROM best QUALIFY rank <= {H.MOST_PREDICTED}""",
+    "history_phrase_predict": f"""WITH RECURSIVE {_FULL},
+        kids AS MATERIALIZED (SELECT *, sum(used) OVER (PARTITION BY parent) AS total FROM (SELECT regexp_extract(gram, '^(.*) [^ ]+$', 1) AS parent, regexp_extract(gram, '([^ ]+)$', 1) AS word, used FROM hist WHERE NOT contains(gram, '[EOS]'))),
+        asked AS (SELECT {_ID}, w[1:len(w) - 2] AS w, w[len(w) - 1] || left(w[len(w)], 2) AS typed FROM turns WHERE len(w) > 1),
+        first AS (SELECT id, size, CASE WHEN size = 0 THEN '' ELSE array_to_string(w[len(w) - size + 1:], ' ') END AS node, typed FROM asked, (SELECT CAST(k AS INT) AS size FROM range(0, {H.MOST_CONTEXT + 1}) t(k)) WHERE size <= len(w)),
+        walk(id, size, node, typed, place, n_words, p, phrase) AS (
+          SELECT id, size, node, typed, CAST(0 AS BIGINT), 0, CAST(1 AS DOUBLE), '' FROM first WHERE size = 0 OR node IN (SELECT gram FROM hist)
+          UNION ALL
+          SELECT id, size, node || CASE WHEN node = '' THEN '' ELSE ' ' END || word, typed, least(place + length(word), length(typed)), n_words + 1, p * used / whole, phrase || CASE WHEN phrase = '' THEN '' ELSE ' ' END || word
+          FROM (SELECT s.*, k.word, k.used, CASE WHEN place < length(typed) THEN sum(k.used) OVER (PARTITION BY id, size, node) ELSE k.total END AS whole
+            FROM walk s JOIN kids k ON k.parent = s.node AND (place >= length(typed) OR starts_with(substr(typed, place + 1), k.word) OR starts_with(k.word, substr(typed, place + 1))))),
+        once AS (SELECT id, phrase, max({{'size': size, 'p': p, 'n_words': n_words}}) AS b FROM walk WHERE n_words > 0 AND place >= length(typed) GROUP BY id, phrase)
+        SELECT id, CAST(row_number() OVER (PARTITION BY id ORDER BY b.size DESC, b.p DESC, b.n_words DESC, phrase) AS INT) AS rank, phrase, b.size AS size, b.p AS p, b.n_words AS n_words FROM once QUALIFY rank <= {H.MOST_PREDICTED}""",
     "typing_predict": f"""WITH {_predicted(f"SELECT {_ID}, CASE WHEN turn % 2 = 0 THEN w ELSE w[1:len(w) - 1] END AS w, CASE WHEN turn % 2 = 0 THEN '' ELSE left(w[len(w)], 2) END AS typed")} SELECT * FROM pred""",
     "typed_out_penalty": f"""WITH {_predicted(f"SELECT {_ID}, w[1:len(w) - 1] AS w, '' AS typed")}
         SELECT id, t.word, pred.word AS predicted, t.word = pred.word AS penalised FROM (SELECT {_ID}, w[len(w)] AS word FROM turns WHERE len(w) > 0) t JOIN pred USING (id)""",

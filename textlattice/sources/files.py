@@ -32,6 +32,14 @@ def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
 
 
+def drop_written(spark: SparkSession, df: DataFrame) -> None:
+    """Delete the files of a written table."""
+    for f in df.inputFiles()[:1]:
+        top = f.split("/textlattice/", 1)
+        fs, at = _fs(spark, f"{top[0]}/textlattice/{top[1].split('/', 1)[0]}")
+        fs.delete(at, True)
+
+
 def write_ngrams(ngrams: DataFrame, path: str) -> None:
     """ngrams (n, gram, cnt): tab-separated files per order, by falling count."""
     ngrams.select("n", "cnt", "gram").repartitionByRange("n", F.desc("cnt"), "gram").sortWithinPartitions("n", F.desc("cnt"), "gram").write.partitionBy("n").option("sep", "\t").mode("overwrite").csv(path)
