@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from textlattice.functions import literal
 from textlattice.functions import text as T
-from textlattice.operators import history, lattice, lexicon, ngrams, phrases, quantise
+from textlattice.operators import history, lattice, lexicon, mining, ngrams, phrases, quantise
 from textlattice.plans import phrases as plans
 from textlattice.sources import files
 
@@ -101,9 +101,13 @@ def test_discount_against_plain_recursion(spark):
 
     for w in "abcdefgh":
         lists((w,))
-    rows = [(len(g), " ".join(g), c) for g, c in counts.items()]
-    got = {tuple(x["gram"].split(" ")): x["disc"] for x in phrases.discounted(spark.createDataFrame(rows, "n int, gram string, cnt long"), 4).collect()}
-    assert got == {g: disc.get(g) for g in counts}
+    runs = mining.runs(spark.createDataFrame([(t,) for t in texts], "words array<string>"), 4)
+    got = {tuple(x["gram"].split(" ")): (x["n"], x["cnt"], x["disc"]) for x in mining.discounted(runs, 4).collect()}
+    assert got == {g: (len(g), counts[g], disc.get(g)) for g in counts}
+    some = {tuple(x["gram"].split(" ")): x["disc"] for x in mining.discounted(runs, 4, every=False).collect()}
+    assert some == disc
+    back = mining.runs(spark.createDataFrame([(t[::-1],) for t in texts], "words array<string>"), 4, backward=True)
+    assert {tuple(x["gram"].split(" ")): x["disc"] for x in mining.discounted(back, 4, every=False).collect()} == disc
 
 
 def test_viterbi_against_enumeration(spark):

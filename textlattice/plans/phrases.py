@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from textlattice.functions import text as T
 from textlattice.operators import langmodel as L
 from textlattice.operators import lattice as A
+from textlattice.operators import mining as M
 from textlattice.operators import ngrams as N
 from textlattice.operators import phrases as P
 from textlattice.plans import counts as C
@@ -17,34 +18,25 @@ BEST = 3
 ASKED = ["th", "en", "a", "tion", "hein", "ver", "lich", "euxo", "zzz", "the"]
 
 
-def _phrase_grams(spark, d):
-    """All orders' counts, made once; a part for each order."""
-    return written(N.count_all(C.sentences(spark, d), ORDERS), "phrase-grams", "n")
-
-
-def _forward(grams):
-    return P.discounted(grams, ORDERS).withColumn("disc", F.coalesce("disc", F.lit(0)))
-
-
-def _reverse(grams):
-    return P.discounted(P.reversed_grams(grams), ORDERS).withColumn("disc", F.coalesce("disc", F.lit(0)))
+def _discounted(spark, d, backward=False, every=True):
+    out = M.discounted(M.runs(C.sentences(spark, d), ORDERS, backward), ORDERS, every)
+    return out.withColumn("disc", F.coalesce("disc", F.lit(0)))
 
 
 def phrase_discount_fwd(spark, d):
-    return _forward(_phrase_grams(spark, d))
+    return _discounted(spark, d)
 
 
 def phrase_discount_rev(spark, d):
-    return _reverse(_phrase_grams(spark, d))
+    return _discounted(spark, d, backward=True)
 
 
 def phrase_reconciled(spark, d):
-    grams = _phrase_grams(spark, d)
-    return P.reconciled(_forward(grams), _reverse(grams))
+    return P.reconciled(_discounted(spark, d), _discounted(spark, d, backward=True, every=False))
 
 
 def phrase_ranked(spark, d):
-    return P.ranked_phrases(phrase_reconciled(spark, d), ORDERS, CAP)
+    return P.ranked_phrases(P.agreed(_discounted(spark, d, every=False), _discounted(spark, d, backward=True, every=False), ORDERS), ORDERS, CAP)
 
 
 def _entries(spark, d):
@@ -144,7 +136,7 @@ def _discount_sql(name: str, reverse: bool) -> str:
     out = []
     for n in range(ORDERS, 0, -1):
         gram = "array_to_string(list_reverse(string_split(gram, ' ')), ' ')" if reverse else "gram"
-        out.append(f"{name}_g{n} AS MATERIALIZED (SELECT {gram} AS gram, cnt FROM ({C.grams_sql(n)}))")
+        out.append(f"{name}_g{n} AS MATERIALIZED (SELECT {gram} AS gram, cnt FROM g{n})")
         if n == ORDERS:
             out.append(f"{name}_own{n} AS MATERIALIZED (SELECT gram, cnt, cnt AS disc, false AS swaps FROM {name}_g{n})")
             out.append(f"{name}_list{n} AS MATERIALIZED (SELECT gram AS node, gram AS entry, disc FROM {name}_own{n})")
@@ -162,7 +154,8 @@ def _discount_sql(name: str, reverse: bool) -> str:
     return ",\n".join(out) + f",\n{name} AS ({every})"
 
 
-_BOTH = f"""WITH {_discount_sql("f", False)}, {_discount_sql("r", True)}, agreed AS (
+_GRAMS = ",\n".join(f"g{n} AS MATERIALIZED ({C.grams_sql(n)})" for n in range(1, ORDERS + 1))
+_BOTH = f"""WITH {_GRAMS}, {_discount_sql("f", False)}, {_discount_sql("r", True)}, agreed AS (
     SELECT f.n, f.gram, f.cnt, least(coalesce(f.disc, 0), coalesce(b.disc, 0)) AS disc
     FROM f LEFT JOIN (SELECT array_to_string(list_reverse(string_split(gram, ' ')), ' ') AS gram, disc FROM r) b ON b.gram = f.gram)"""
 _ENTRIES = f"entries AS (SELECT translate(w1, '{T.ACCENTS}', '{T.PLAIN}') AS reading, w1 AS display, {C.pos_sql('w1')} AS pos, cnt FROM uni)"
@@ -181,8 +174,8 @@ _EDGES = """edges AS (SELECT s, top, CAST(top + n AS INT) AS "end", reading, pos
     JOIN dict ON reading = sub)"""
 
 ORACLE = {
-    "phrase_discount_fwd": f"WITH {_discount_sql('f', False)} SELECT n, gram, cnt, coalesce(disc, 0) AS disc FROM f",
-    "phrase_discount_rev": f"WITH {_discount_sql('r', True)} SELECT n, gram, cnt, coalesce(disc, 0) AS disc FROM r",
+    "phrase_discount_fwd": f"WITH {_GRAMS}, {_discount_sql('f', False)} SELECT n, gram, cnt, coalesce(disc, 0) AS disc FROM f",
+    "phrase_discount_rev": f"WITH {_GRAMS}, {_discount_sql('r', True)} SELECT n, gram, cnt, coalesce(disc, 0) AS disc FROM r",
     "phrase_reconciled": f"{_BOTH} SELECT * FROM agreed",
     "phrase_ranked": f"""{_BOTH} SELECT * FROM agreed WHERE disc >= 1 AND n = 1 UNION ALL
         SELECT * FROM (SELECT * FROM agreed WHERE disc >= 1 AND n > 1 AND n < {ORDERS} ORDER BY disc DESC, gram LIMIT {CAP})""",
