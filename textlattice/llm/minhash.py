@@ -180,16 +180,19 @@ class Trees:
 def dealt(members: DataFrame, failed: DataFrame, payload: DataFrame, tile: int) -> DataFrame:
     """members: group, id, base (the entry that it is linked to, or itself); failed: group, id.
 
-    In each tile of a group's failed entries, these first (side 0), then all members of the group (side 1).
+    A group's failed entries are dealt into tiles of `tile`, all its members into chunks of four times as many. Each pair of
+    a tile and a chunk has the tile's entries first (side 0), then the chunk's (side 1), so that no task holds a group.
     """
-    tiles = failed.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / F.lit(tile)).cast("int").alias("tiles"))
-    mine = F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int")
-    own = failed.join(tiles, "group").select("group", mine.alias("tile"), F.lit(0).alias("side"), "id", F.col("id").alias("base"))
-    every = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
-    others = members.join(tiles, "group").select("group", every.alias("tile"), F.lit(1).alias("side"), "id", "base")
+    count = lambda n: F.ceil(F.count(F.lit(1)) / F.lit(n)).cast("int")
+    tiles = failed.groupBy("group").agg(count(tile).alias("tiles"))
+    grid = members.groupBy("group").agg(count(4 * tile).alias("chunks")).join(tiles, "group")
+    mine = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = failed.join(grid, "group").select("group", mine("tiles").alias("tile"), each("chunks").alias("chunk"), F.lit(0).alias("side"), "id", F.col("id").alias("base"))
+    others = members.join(grid, "group").select("group", each("tiles").alias("tile"), mine("chunks").alias("chunk"), F.lit(1).alias("side"), "id", "base")
     both = own.unionByName(others).join(payload, "id")
-    names = ["group", "tile", "side", "id", "base", *[c for c in payload.columns if c != "id"]]
-    return both.select(*names).repartition("group", "tile").sortWithinPartitions("group", "tile", "side", "id")
+    names = ["group", "tile", "chunk", "side", "id", "base", *[c for c in payload.columns if c != "id"]]
+    return both.select(*names).repartition("group", "tile", "chunk").sortWithinPartitions("group", "tile", "chunk", "side", "id")
 
 
 def links_of_failed(rows: DataFrame, least: list[int], similar: int = SIMILAR) -> DataFrame:
@@ -198,20 +201,20 @@ def links_of_failed(rows: DataFrame, least: list[int], similar: int = SIMILAR) -
     exact = "set" in rows.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at: tuple[int, int] | None = None
+        at: tuple[int, ...] | None = None
         own: list[tuple[int, np.ndarray, np.ndarray | None]] = []
         trees = Trees()
         for b in batches:
             if not b.num_rows:
                 continue
-            group, tile, side, ids, base = (b.column(k).to_numpy() for k in range(5))
-            sigs = _bytes(b.column(5))
-            sets = [np.asarray(s.values).view(np.uint64) for s in b.column(6)] if exact else [None] * b.num_rows
-            edges = np.flatnonzero((np.diff(group) != 0) | (np.diff(tile) != 0) | (np.diff(side) != 0)) + 1
+            group, tile, chunk, side, ids, base = (b.column(k).to_numpy() for k in range(6))
+            sigs = _bytes(b.column(6))
+            sets = [np.asarray(s.values).view(np.uint64) for s in b.column(7)] if exact else [None] * b.num_rows
+            edges = np.flatnonzero(np.any([np.diff(c) != 0 for c in (group, tile, chunk, side)], axis=0)) + 1
             out = []
             for lo, hi in zip([0, *edges.tolist()], [*edges.tolist(), b.num_rows], strict=True):
-                if at != (group[lo], tile[lo]):
-                    at, own, trees = (group[lo], tile[lo]), [], Trees()
+                if at != (here := (group[lo], tile[lo], chunk[lo])):
+                    at, own, trees = here, [], Trees()
                 if side[lo] == 0:
                     own += [(int(ids[k]), sigs[k].copy(), sets[k]) for k in range(lo, hi)]
                     continue
@@ -262,9 +265,8 @@ def confirmed_links(clusters: DataFrame, entries: DataFrame, texts: DataFrame, l
     wanted = materialise(clusters.join(entries.select("id", "text_key", "fp", "bytes"), "id"), "wanted")
     keys = wanted.select(F.col("text_key").alias("doc_id"))
     passing = maybe_in(texts, keys, min(FILTER_BITS, 1 << max(10, (16 * wanted.count()).bit_length())))
-    sets = sets_of(passing.join(keys.distinct(), "doc_id").select("doc_id", "text"), shingle)
-    sets = sets.join(wanted, "fp").groupBy("id", "group", "bytes").agg(F.first("set").alias("set"))  # a row may be repeated
-    sets = materialise(sets, "sets")
+    sets = sets_of(passing, shingle).groupBy("fp").agg(F.first("set").alias("set"))  # a row may be repeated, a copy pass
+    sets = materialise(sets.join(wanted, "fp").select("id", "group", "bytes", "set"), "sets")
     first = sets.filter("id = group").select("group", F.col("set").alias("first_set"))
     both = F.size(F.array_intersect("set", "first_set")).cast("long")
     tried = sets.filter("id <> group").join(first, "group").select("group", "id", F.size("set").alias("n"), F.size("first_set").alias("m"), both.alias("both"))
@@ -287,7 +289,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     full = rows.filter("n_shingles > 0")
     distinct = materialise(full.groupBy("fp").agg(F.min("row").alias("id"), F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n")), "distinct")
     entries = full.join(distinct.select(F.col("id").alias("row")), "row").select(F.col("row").alias("id"), "text_key", "fp", "bands", "bytes")
-    entries = materialise(entries, "entries")
+    entries, wide = materialise(entries, "entries"), rows
+    rows = materialise(rows.select("doc_id", "n_shingles", "fp"), "sizes")
+    full = rows.filter("n_shingles > 0")
+    drop_path(spark, wide)
     clusters = components(candidate_links(entries, least, tile)).select(F.col("fp").alias("id"), F.col("root").alias("group"))
     texts = docs.select(F.xxhash64(F.col(id_col), text_or_empty(text_col)).alias("doc_id"), text_or_empty(text_col).alias("text"))
     roots = components(confirmed_links(clusters, entries, texts, least, similar, shingle, tile)).select(F.col("fp").alias("id"), "root")
