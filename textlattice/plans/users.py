@@ -16,11 +16,14 @@ from textlattice.operators import topics as M
 from textlattice.plans import counts as C
 from textlattice.sources.files import shared_path, written
 from textlattice.sources.pages import read_documents, read_table
+from textlattice.streaming import users as streams
 
 LANGS = ["de", "en", "es", "fr"]
 PRIORITY = {"error": 0, "purchase": 1, "signup": 2}
 WEIGHTS = {c: (7 * k) % 11 - 4 for k, c in enumerate("abcdefghijklmnopqrstuvwxyz0123456789")}
 BORDER, REPEAT_MS = 3, 3_600_000
+#: Two turns and a half, so that no turn stands at the edge of a halving.
+AGE_MS = 150_000
 CENTRES = [-12.0 + 0.25 * k for k in range(49)]
 
 
@@ -191,9 +194,25 @@ def stream_ngram_available_now(spark, d):
     return streaming.ngram_state(spark, source, 2, f"{at}/state", f"{at}/checkpoint")
 
 
+def stream_user_history(spark, d):
+    """Conversations as users whose turns are a minute apart: a stream that is stopped after each third of the turns and goes on."""
+    turns = read_table(spark, d, "conversations").filter("turn is not null")
+    turns = turns.select(F.col("conv_id").alias("user"), T.tokens("text").alias("words"), "turn", F.timestamp_seconds(F.col("turn") * 60).alias("at"))
+    cuts = turns.agg(F.percentile_approx("turn", [1 / 3, 2 / 3, 1.0])).first()[0] or []
+    at, low = shared_path(spark, f"stream-{uuid.uuid4().hex}"), None
+    for high in cuts:
+        part = turns.filter(F.col("turn") <= high) if low is None else turns.filter((F.col("turn") > low) & (F.col("turn") <= high))
+        part.select("user", "words", "at").write.mode("append").parquet(f"{at}/turns")
+        streams.learn(spark.readStream.schema("user long, words array<string>, at timestamp").parquet(f"{at}/turns"), f"{at}/state", f"{at}/checkpoint", AGE_MS)
+        low = high
+    if low is None:
+        return spark.createDataFrame([], "user long, gram string, used long, strong long, last_ms long")
+    return streams.current(spark, f"{at}/state", low * 60_000, AGE_MS)
+
+
 QUERIES = {
     f.__name__: f
-    for f in (history_suffix_counts, history_register_full, history_cond_prob, history_context_predict, history_phrase_predict, typing_predict, typed_out_penalty, reinforce_fold, candidate_show, key_repeat, modifier_state, task_priority, json_command, varint_length, time_split, phrase_concat_flags, edit_ranges, word_marginal_entropy, entropy_lists, topic_top_words, mixunigram_estep_once, plsa_step_once, topic_merge, perplexity_window, convergence_flag, quantise_index, stream_ngram_available_now)
+    for f in (history_suffix_counts, history_register_full, history_cond_prob, history_context_predict, history_phrase_predict, typing_predict, typed_out_penalty, reinforce_fold, candidate_show, key_repeat, modifier_state, task_priority, json_command, varint_length, time_split, phrase_concat_flags, edit_ranges, word_marginal_entropy, entropy_lists, topic_top_words, mixunigram_estep_once, plsa_step_once, topic_merge, perplexity_window, convergence_flag, quantise_index, stream_ngram_available_now, stream_user_history)
 }
 
 _TURNS = f"turns AS (SELECT conv_id, turn, {C.TOKENS} AS w FROM conversations)"
@@ -288,4 +307,10 @@ ORACLE = {
     "convergence_flag": f"WITH {_EV} SELECT event_id, coalesce(min(value) OVER w >= value * 0.5::DOUBLE AND max(value) OVER w <= value * 1.5::DOUBLE, false) AS converged FROM e WINDOW w AS ({_USER} ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING)",
     "quantise_index": f"WITH x AS ({C.ORACLE['word_bigram_prob']}) SELECT w1, w2, CAST(least(48, greatest(0, floor((round(ln(p), 6) + 11.875::DOUBLE) / 0.25::DOUBLE) + 1)) + 1 AS INT) AS idx FROM x",
     "stream_ngram_available_now": C.grams_sql(2),
+    "stream_user_history": f"""WITH {_TURNS},
+        uses AS (SELECT conv_id AS user, array_to_string(w[len(w) - k + 1:], ' ') AS gram, turn * 60000 AS t FROM turns, (SELECT k FROM range(1, {H.LONGEST + 1}) t(k)) WHERE k <= len(w) AND turn IS NOT NULL),
+        folds AS (SELECT "user", gram, list_reduce(list({{'u': CAST(1 AS BIGINT), 's': CAST(1 AS BIGINT), 't': t}} ORDER BY t), lambda a, b: {{'u': (a.u >> ((b.t - a.t) // {AGE_MS})) + 1,
+          's': CASE WHEN (a.u >> ((b.t - a.t) // {AGE_MS})) = 0 THEN 1 ELSE least(a.s + 1, {H.STRONGEST}) END, 't': b.t}}) AS f FROM uses GROUP BY ALL),
+        ends AS (SELECT "user", gram, f, ((SELECT max(turn) FROM turns) * 60000 - f.t) // {AGE_MS} AS h FROM folds)
+        SELECT "user", gram, f.u >> h AS used, f.s AS strong, f.t + h * {AGE_MS} AS last_ms FROM ends WHERE f.u >> h > 0""",
 }
