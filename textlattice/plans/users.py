@@ -10,18 +10,22 @@ from textlattice import streaming
 from textlattice.functions import text as T
 from textlattice.operators import history as H
 from textlattice.operators import lattice as A
+from textlattice.operators import ngrams as N
 from textlattice.operators import predict as R
 from textlattice.operators import quantise as Q
 from textlattice.operators import topics as M
 from textlattice.plans import counts as C
 from textlattice.sources.files import shared_path, written
 from textlattice.sources.pages import read_documents, read_table
+from textlattice.streaming import flush
 from textlattice.streaming import users as streams
 
 LANGS = ["de", "en", "es", "fr"]
 PRIORITY = {"error": 0, "purchase": 1, "signup": 2}
 WEIGHTS = {c: (7 * k) % 11 - 4 for k, c in enumerate("abcdefghijklmnopqrstuvwxyz0123456789")}
 BORDER, REPEAT_MS = 3, 3_600_000
+#: Different bigrams at which a stream's counts are halved.
+FULL = 20_000
 #: Two turns and a half, so that no turn stands at the edge of a halving.
 AGE_MS = 150_000
 CENTRES = [-12.0 + 0.25 * k for k in range(49)]
@@ -194,6 +198,20 @@ def stream_ngram_available_now(spark, d):
     return streaming.ngram_state(spark, source, 2, f"{at}/state", f"{at}/checkpoint")
 
 
+def stream_ngram_flush(spark, d):
+    """Bigrams of four batches of documents, halved when there are FULL different ones; a stream that is stopped after each batch, and
+    whose third batch runs again."""
+    docs = read_documents(spark, d).select("text", F.coalesce(F.pmod("doc_id", F.lit(4)), F.lit(0)).alias("batch"))
+    at = shared_path(spark, f"stream-{uuid.uuid4().hex}")
+    store = flush.CountStore(spark, f"{at}/counts", FULL, 2)
+    for k in range(4):
+        docs.filter(F.col("batch") == k).select("text").write.mode("append").parquet(f"{at}/documents")
+        flush.count_stream(spark.readStream.schema("text string").parquet(f"{at}/documents"), 2, store, f"{at}/checkpoint")
+        if k == 2:
+            store.add(N.count_ngrams(N.sentences_of(docs.filter(F.col("batch") == k)), 2), k)
+    return store.current()
+
+
 def stream_user_history(spark, d):
     """Conversations as users whose turns are a minute apart: a stream that is stopped after each third of the turns and goes on."""
     turns = read_table(spark, d, "conversations").filter("turn is not null")
@@ -212,7 +230,7 @@ def stream_user_history(spark, d):
 
 QUERIES = {
     f.__name__: f
-    for f in (history_suffix_counts, history_register_full, history_cond_prob, history_context_predict, history_phrase_predict, typing_predict, typed_out_penalty, reinforce_fold, candidate_show, key_repeat, modifier_state, task_priority, json_command, varint_length, time_split, phrase_concat_flags, edit_ranges, word_marginal_entropy, entropy_lists, topic_top_words, mixunigram_estep_once, plsa_step_once, topic_merge, perplexity_window, convergence_flag, quantise_index, stream_ngram_available_now, stream_user_history)
+    for f in (history_suffix_counts, history_register_full, history_cond_prob, history_context_predict, history_phrase_predict, typing_predict, typed_out_penalty, reinforce_fold, candidate_show, key_repeat, modifier_state, task_priority, json_command, varint_length, time_split, phrase_concat_flags, edit_ranges, word_marginal_entropy, entropy_lists, topic_top_words, mixunigram_estep_once, plsa_step_once, topic_merge, perplexity_window, convergence_flag, quantise_index, stream_ngram_available_now, stream_ngram_flush, stream_user_history)
 }
 
 _TURNS = f"turns AS (SELECT conv_id, turn, {C.TOKENS} AS w FROM conversations)"
@@ -246,6 +264,17 @@ _SMOOTH = f"""{_BYLANG}, words AS (SELECT DISTINCT word FROM lt), sums AS (SELEC
 _WEIGHT_ROWS = ", ".join(f"('{c}', {w})" for c, w in WEIGHTS.items())
 
 
+def _flushed() -> str:
+    """Common tables s0 to s3: gram, cnt after each batch."""
+    out = []
+    for k in range(4):
+        counts = C.grams_sql(2, f"(SELECT text FROM documents WHERE coalesce(doc_id % 4, 0) = {k})")
+        before = f" UNION ALL SELECT gram, cnt FROM s{k - 1}" if k else ""
+        out.append(f"t{k} AS MATERIALIZED (SELECT gram, CAST(sum(cnt) AS BIGINT) AS cnt FROM (SELECT gram, cnt FROM ({counts}){before}) GROUP BY gram)")
+        out.append(f"s{k} AS MATERIALIZED (SELECT * FROM (SELECT gram, CASE WHEN (SELECT count(*) FROM t{k}) >= {FULL} THEN cnt // 2 ELSE cnt END AS cnt FROM t{k}) WHERE cnt > 0)")
+    return ", ".join(out)
+
+
 def _measure(name: str, v: str) -> str:
     return f"SELECT '{name}' AS measure, CAST(row_number() OVER (ORDER BY round({v}, 9) DESC, word) AS INT) AS rank, word FROM ent QUALIFY rank <= 100"
 
@@ -307,6 +336,7 @@ ORACLE = {
     "convergence_flag": f"WITH {_EV} SELECT event_id, coalesce(min(value) OVER w >= value * 0.5::DOUBLE AND max(value) OVER w <= value * 1.5::DOUBLE, false) AS converged FROM e WINDOW w AS ({_USER} ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING)",
     "quantise_index": f"WITH x AS ({C.ORACLE['word_bigram_prob']}) SELECT w1, w2, CAST(least(48, greatest(0, floor((round(ln(p), 6) + 11.875::DOUBLE) / 0.25::DOUBLE) + 1)) + 1 AS INT) AS idx FROM x",
     "stream_ngram_available_now": C.grams_sql(2),
+    "stream_ngram_flush": f"WITH {_flushed()} SELECT * FROM s3",
     "stream_user_history": f"""WITH {_TURNS},
         uses AS (SELECT conv_id AS user, array_to_string(w[len(w) - k + 1:], ' ') AS gram, turn * 60000 AS t FROM turns, (SELECT k FROM range(1, {H.LONGEST + 1}) t(k)) WHERE k <= len(w) AND turn IS NOT NULL),
         folds AS (SELECT "user", gram, list_reduce(list({{'u': CAST(1 AS BIGINT), 's': CAST(1 AS BIGINT), 't': t}} ORDER BY t), lambda a, b: {{'u': (a.u >> ((b.t - a.t) // {AGE_MS})) + 1,
