@@ -1,7 +1,8 @@
 """What filters remove together: every order of the filters, step by step, for each source.
 
-1. Words are exploded and counted by (row, word), then by row: words and distinct words. A row is known by its id and a
-   hash of its text, and a null "word" counts how many rows share both, so that repeated rows count each for itself.
+1. Texts are dealt out by row, words are exploded and counted by (row, word), then by row: words and distinct words. A row is
+   known by its id and a hash of its text, and a null "word" counts how many rows share both, so that repeated rows count
+   each for itself.
 2. Facts of a row that need no words (capitals, symbols, digest) are joined with the counts by an outer join; a text's
    smallest id comes from a grouping by digest. Digests of very many rows meet a broadcast of bounded size.
 3. A row's failures are a pattern of five bits. One grouping by source counts the 32 patterns as conditional sums, for all
@@ -29,23 +30,30 @@ from textlattice.llm.exact_dedup import with_group
 
 FILTERS = "ABCDE"
 LEAST_WORDS, LEAST_DISTINCT, MOST_CAPITALS, SYMBOLS = 200, 50, 2, "[#$%&*|]"
+SALTS = 32
 PATTERNS = range(1 << len(FILTERS))
 MEASURES = ("all", "good", "toxic")
 _KEY = ["doc_id", "text_hash"]
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    """docs: doc_id, text_hash, text. For each (doc_id, text_hash): rows, and words and distinct words of one of them."""
+    """docs: doc_id, text_hash, text. For each (doc_id, text_hash): words and distinct words of one row.
+
+    Texts are dealt out by their key before they are exploded, so that both groupings of words find all of a row's words
+    in their task and no word is shuffled. Many rows of one key are spread by salts, which all give the same counts.
+    """
     words = F.concat(F.array(F.lit(None).cast("string")), F.split("text", SPACE))
-    each = docs.select(*_KEY, F.explode(words).alias("word")).filter("word is null or word <> ''")
-    each = each.select(*_KEY, F.col("word").isNull().alias("row"), F.xxhash64("word").alias("word"))
-    each = each.groupBy(*_KEY, "row", "word").agg(F.count(F.lit(1)).alias("n"))
-    by_row = each.groupBy(*_KEY).agg(
-        F.sum(F.when(F.col("row"), F.col("n"))).alias("rows"),
-        F.sum(F.when(~F.col("row"), F.col("n"))).alias("words"),
-        F.count(F.when(~F.col("row"), 1)).alias("n_distinct"),
+    key = [*_KEY, "salt"]
+    each = docs.withColumn("salt", F.spark_partition_id() % SALTS).repartition(*key)
+    each = each.select(*key, F.explode(words).alias("word")).filter("word is null or word <> ''")
+    each = each.groupBy(*key, "word").agg(F.count(F.lit(1)).alias("n"))
+    by_row = each.groupBy(*key).agg(
+        F.sum(F.when(F.col("word").isNull(), F.col("n"))).alias("rows"),
+        F.sum(F.when(F.col("word").isNotNull(), F.col("n"))).alias("words"),
+        F.count("word").alias("n_distinct"),
     )
-    return by_row.select(*_KEY, (F.coalesce("words", F.lit(0)) / F.col("rows")).cast("long").alias("n_words"), "n_distinct")
+    each_row = by_row.select(*_KEY, (F.coalesce("words", F.lit(0)) / F.col("rows")).cast("long").alias("n_words"), "n_distinct")
+    return each_row.groupBy(*_KEY).agg(F.max("n_words").alias("n_words"), F.max("n_distinct").alias("n_distinct"))
 
 
 def facts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_col: str = "source") -> DataFrame:
