@@ -70,11 +70,11 @@ def merged(old: DataFrame, new: DataFrame, rate: float) -> DataFrame:
 
 
 def entropies(model: DataFrame, n_topics: int) -> DataFrame:
-    """model: word, topic, p. word, marginal, entropy over topics from 0 to 1."""
+    """model: word, topic, p. word, marginal, entropy over topics from 0 to 1; 0 where there is one topic."""
     total = model.groupBy("word").agg(F.sum("p").alias("whole"))
     q = F.col("p") / F.col("whole")
     part = model.join(total, "word").withColumn("h", F.when(q > 0, -q * F.log2(q)).otherwise(0.0))
-    return part.groupBy("word").agg((F.first("whole") / n_topics).alias("marginal"), (F.sum("h") / math.log2(n_topics)).alias("entropy"))
+    return part.groupBy("word").agg((F.first("whole") / max(n_topics, 1)).alias("marginal"), (F.sum("h") / math.log2(max(n_topics, 2))).alias("entropy"))
 
 
 def entropy_lists(words: DataFrame, k: int = 100) -> DataFrame:

@@ -103,7 +103,7 @@ def word_bigram_prob(spark, d):
 
 
 def phrase_score(spark, d):
-    return L.phrase_score(L.katz_filter(joined(spark, d, 2), 4), pos_unigram_rollup(spark, d))
+    return L.phrase_score(joined(spark, d, 2), pos_unigram_rollup(spark, d))
 
 
 def pos_trigram_backoff(spark, d):
@@ -192,7 +192,7 @@ ORACLE = {f"ngram_{n}": grams_sql(n) for n in range(1, 8)} | {
     "inside_prob": f"WITH {UNI}, {LEX}, {POS}, {INSIDE} SELECT * FROM inside",
     "pos_bigram_prob": f"WITH {UNI}, {BI}, {LEX}, {POS}, {BIP}, {POS2} SELECT p1, p2, pos2.cnt, CAST(pos2.cnt AS DOUBLE) / greatest(pos.cnt, 1) AS p FROM pos2 JOIN pos ON pos = p1",
     "word_bigram_prob": f"WITH {UNI}, {BI} SELECT w1, w2, bi.cnt, CAST(bi.cnt AS DOUBLE) / uni.cnt AS p FROM bi JOIN uni USING (w1) WHERE bi.cnt > {L.KATZ}",
-    "phrase_score": f"WITH {UNI}, {BI}, {LEX}, {POS}, {BIP} SELECT gram, bip.cnt, CAST(bip.cnt AS DOUBLE) / greatest(pos.cnt, 1) AS score FROM bip JOIN pos ON pos = p1 WHERE bip.cnt > 4",
+    "phrase_score": f"WITH {UNI}, {BI}, {LEX}, {POS}, {BIP} SELECT gram, bip.cnt, CAST(bip.cnt AS DOUBLE) / greatest(pos.cnt, 1) AS score FROM bip JOIN pos ON pos = p1",
     "pos_trigram_backoff": f"WITH {UNI}, {BI}, {TRI}, {LEX}, {BIP}, {TRIP}, {POS2}, {POS3}, {_tri_back_off('pos3', 'pos2', 'p', L.KATZ)}",
     "word_trigram_backoff": f"WITH {BI}, {TRI}, kb AS (SELECT w1, w2, cnt FROM bi WHERE cnt > {L.KATZ}), {_tri_back_off('tri', 'kb', 'w', LEAST_TRI)}",
     "word_backoff_pos": f"""WITH {UNI}, {BI}, {LEX}, {POS}, {BIP}, {POS2}, {INSIDE},

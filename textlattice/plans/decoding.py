@@ -16,7 +16,6 @@ from textlattice.plans import users as U
 from textlattice.sources.files import written
 from textlattice.sources.pages import read_documents, read_table
 
-LEAST_PHRASE, LIMIT = 4, 50
 HEADS = ["func", "num"]
 CLASSES = [("web", 1), ("books", 2), ("wiki", 3)]
 POS_NAMES = [(1, "noun"), (2, "verb"), (3, "mod")]
@@ -26,6 +25,11 @@ def _bigrams(spark, d, least):
     return C.words_of(C.grams(spark, d, 2).filter(F.col("cnt") > least), 2)
 
 
+def _phrases(spark, d):
+    """Mined phrases of two words and more with their own counts: gram, w1, cnt."""
+    return P.phrase_ranked(spark, d).filter("n > 1").select("gram", F.substring_index("gram", " ", 1).alias("w1"), F.col("disc").alias("cnt"))
+
+
 def pair_lookup(spark, d):
     """The words of conversations; of odd turns with their display form for a reading, accents or not."""
     words = U._turns(spark, d).select("turn", F.explode("words").alias("display"))
@@ -53,18 +57,19 @@ def candidate_rank(spark, d):
 
 
 def predict_ranked(spark, d):
-    """Words and phrases of two words that begin with what is asked for."""
+    """Words and phrases that begin with what is asked for, all of them."""
     uni = C.unigrams(spark, d).filter(~F.col("w1").startswith("["))
     total = uni.groupBy(T.pos_of("w1").alias("pos")).agg(F.sum("cnt").alias("total"))
-    pairs = _bigrams(spark, d, LEAST_PHRASE).filter(~F.col("w1").startswith("[") & ~F.col("w2").startswith("["))
-    every = uni.select(F.col("w1").alias("display"), T.pos_of("w1").alias("pos"), "cnt").unionByName(pairs.select(F.col("gram").alias("display"), T.pos_of("w1").alias("pos"), "cnt"))
+    phrases = _phrases(spark, d).filter(~F.contains("gram", F.lit("[")))
+    every = uni.select(F.col("w1").alias("display"), T.pos_of("w1").alias("pos"), "cnt").unionByName(phrases.select(F.col("gram").alias("display"), T.pos_of("w1").alias("pos"), "cnt"))
     items = every.join(F.broadcast(total), "pos").select("display", "pos", A.cost(F.col("cnt"), F.col("total")).alias("own"))  # a row per part of speech
-    asked = F.broadcast(P._asked(spark))  # the ten texts asked for
-    return D.rank_predictions(items.join(asked, F.startswith("display", "prefix")), P._links(spark, d), LIMIT)
+    lengths = P._asked(spark).select(F.length("prefix").alias("n")).distinct()  # a row per length of what is asked for
+    begun = items.join(F.broadcast(lengths), F.length("display") >= F.col("n")).withColumn("prefix", F.expr("left(display, n)"))
+    return D.rank_predictions(P._asked(spark).join(begun, "prefix"), P._links(spark, d))
 
 
 def phrase_heads(spark, d):
-    return D.filter_phrase_head(_bigrams(spark, d, LEAST_PHRASE).select("gram", "cnt", "w1"), T.pos_of("w1"), HEADS).select("gram", "cnt")
+    return D.filter_phrase_head(_phrases(spark, d), T.pos_of("w1"), HEADS).select("gram", "cnt")
 
 
 def history_lattice(spark, d):
@@ -160,17 +165,19 @@ def _type(c: str) -> str:
     return f"CASE WHEN {c} = ' ' THEN 'space' WHEN regexp_matches({c}, '^[A-Za-z]') THEN 'alpha' WHEN regexp_matches({c}, '^[0-9]') THEN 'digit' WHEN regexp_matches({c}, '^[.,!?]') THEN 'punct' WHEN regexp_matches({c}, '^[\\x01-\\x1f]') THEN 'control' ELSE 'other' END"
 
 
+_RANKED = f"ranked AS (SELECT gram, string_split(gram, ' ')[1] AS w1, disc AS cnt FROM (SELECT * FROM agreed WHERE disc >= 1 AND n > 1 AND n < {P.ORDERS} ORDER BY disc DESC, gram LIMIT {P.CAP}))"
+
 ORACLE = {
     "pair_lookup": f"""WITH {C.UNI}, {C.LEX}, {_TURNS}, a AS (SELECT DISTINCT display, CASE WHEN turn % 2 = 0 THEN translate(display, '{T.ACCENTS}', '{T.PLAIN}') ELSE display END AS reading FROM (SELECT turn, unnest(w) AS display FROM turns))
         SELECT a.display, a.reading, coalesce(pos, 'UNK') AS pos FROM a LEFT JOIN lex ON lex.display = a.display AND lex.reading = a.reading""",
     "pair_cost": f"WITH {_PAIR} SELECT * FROM pc",
     "candidate_rank": f"""WITH {_PAIR}, cc AS (SELECT conv_id, turn, CAST(sum(cost) AS BIGINT) AS cost FROM nb JOIN pc ON pc.w1 IS NOT DISTINCT FROM nb.w1 AND pc.w2 IS NOT DISTINCT FROM nb.w2 WHERE nb.w1 IS NOT NULL OR nb.w2 IS NOT NULL GROUP BY conv_id, turn),
         once AS (SELECT conv_id, cost, min(turn) AS turn FROM cc GROUP BY conv_id, cost) SELECT *, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY cost, turn) AS INT) AS rank FROM once""",
-    "predict_ranked": f"""WITH {C.UNI}, {C.BI}, {_LINK}, {P._ASKED}, pt AS (SELECT {C.pos_sql('w1')} AS pos, sum(cnt) AS total FROM uni WHERE NOT starts_with(w1, '[') GROUP BY 1),
-        every AS (SELECT w1 AS display, {C.pos_sql('w1')} AS pos, cnt FROM uni WHERE NOT starts_with(w1, '[') UNION ALL SELECT gram, {C.pos_sql('w1')}, cnt FROM bi WHERE cnt > {LEAST_PHRASE} AND NOT starts_with(w1, '[') AND NOT starts_with(w2, '[')),
+    "predict_ranked": f"""{P._BOTH}, {_RANKED}, {C.UNI}, {C.BI}, {_LINK}, {P._ASKED}, pt AS (SELECT {C.pos_sql('w1')} AS pos, sum(cnt) AS total FROM uni WHERE NOT starts_with(w1, '[') GROUP BY 1),
+        every AS (SELECT w1 AS display, {C.pos_sql('w1')} AS pos, cnt FROM uni WHERE NOT starts_with(w1, '[') UNION ALL SELECT gram, {C.pos_sql('w1')}, cnt FROM ranked WHERE NOT contains(gram, '[')),
         i AS (SELECT prefix, display, CAST(coalesce(link, {A.NO_LINK}) + CAST(round(100 * ln(CAST(total AS DOUBLE) / cnt)) AS BIGINT) AS BIGINT) AS cost FROM every JOIN pt ON pt.pos = every.pos JOIN asked ON starts_with(display, prefix) LEFT JOIN links ON p1 = 'BOS' AND p2 = every.pos)
-        SELECT prefix, CAST(row_number() OVER (PARTITION BY prefix ORDER BY cost, display) AS INT) AS rank, display, cost FROM i QUALIFY rank <= {LIMIT}""",
-    "phrase_heads": f"WITH {C.BI} SELECT gram, cnt FROM bi WHERE cnt > {LEAST_PHRASE} AND {C.pos_sql('w1')} NOT IN ('func', 'num')",
+        SELECT prefix, CAST(row_number() OVER (PARTITION BY prefix ORDER BY cost, display) AS INT) AS rank, display, cost FROM i""",
+    "phrase_heads": f"{P._BOTH}, {_RANKED} SELECT gram, cnt FROM ranked WHERE {C.pos_sql('w1')} NOT IN ('func', 'num')",
     "history_lattice": f"""WITH {_TURNS}, last AS (SELECT w FROM turns QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) = 1), st AS (SELECT DISTINCT array_to_string(w[greatest(len(w) - 1, 1):], '') AS s FROM last WHERE len(w) > 0),
         wd AS (SELECT word, count(*) AS used FROM (SELECT unnest(w) AS word FROM turns) GROUP BY word), tops AS (SELECT s, CAST(unnest(range(0, length(s))) AS INT) AS top FROM st),
         sp AS (SELECT s, top, CAST(top + n AS INT) AS "end", substr(s, top + 1, n) AS word FROM tops, (SELECT DISTINCT CAST(length(word) AS INT) AS n FROM wd) WHERE top + n <= length(s)),

@@ -33,36 +33,43 @@ def _tf(spark, d):
     return written(topic_target_words(spark, d), "topic-counts")
 
 
+
+
 def _start(spark, d):
-    return M.smoothed(U._by_lang(spark, d), U.LANGS)
+    """Counts, a first model and its topics, and what the mixture makes of the documents."""
+    tf, (model, langs) = _tf(spark, d), U._smoothed(spark, d)
+    return tf, model, langs
+
+
+def _mixture(tf, model, n):
+    return written(M.mixture_posteriors(tf, model, n, "doc_id"), "posteriors")
 
 
 def mixture_round_once(spark, d):
-    tf, model, n = _tf(spark, d), _start(spark, d), len(U.LANGS)
-    out = M.next_model(tf, model, M.mixture_posteriors(tf, model, n, "doc_id"), n, "doc_id", KEEP)
-    return M.long_form(out, U.LANGS).withColumn("p", F.round("p", 9))
+    tf, model, langs = _start(spark, d)
+    out = M.next_model(tf, model, _mixture(tf, model, len(langs)), len(langs), "doc_id", KEEP)
+    return M.long_form(out, langs).withColumn("p", F.round("p", 9))
 
 
-def _documents(tf, model):
-    n = len(U.LANGS)
-    return M.document_sums(tf, model, M.topics_of(tf, model, [1 / n] * n, "doc_id"), n, "doc_id")
+def _documents(tf, model, n):
+    return written(M.document_sums(tf, model, M.topics_of(tf, model, [1 / n] * n, "doc_id"), n, "doc_id"), "document-sums")
 
 
 def topic_round_once(spark, d):
-    tf, model, n = _tf(spark, d), _start(spark, d), len(U.LANGS)
-    out = M.next_model(tf, model, _documents(tf, model), n, "doc_id", KEEP)
-    return M.long_form(out, U.LANGS).withColumn("p", F.round("p", 9))
+    tf, model, langs = _start(spark, d)
+    out = M.next_model(tf, model, _documents(tf, model, len(langs)), len(langs), "doc_id", KEEP)
+    return M.long_form(out, langs).withColumn("p", F.round("p", 9))
 
 
 def topic_perplexity(spark, d):
-    tf, model, n = _tf(spark, d), _start(spark, d), len(U.LANGS)
-    one = M.perplexity(M.mixture_posteriors(tf, model, n, "doc_id")).withColumn("model", F.lit("mixture"))
-    two = M.perplexity(_documents(tf, model)).withColumn("model", F.lit("documents"))
+    tf, model, langs = _start(spark, d)
+    one = M.perplexity(_mixture(tf, model, len(langs))).withColumn("model", F.lit("mixture"))
+    two = M.perplexity(_documents(tf, model, len(langs))).withColumn("model", F.lit("documents"))
     return one.unionByName(two).select("model", F.round("perplexity", 4).alias("perplexity"))
 
 
 def _ordered(spark, d):
-    prior = read_documents(spark, d).groupBy(F.col("lang").alias("topic")).agg(F.count(F.lit(1)).alias("prior"))
+    prior = read_documents(spark, d).groupBy(F.coalesce("lang", F.lit("")).alias("topic")).agg(F.count(F.lit(1)).alias("prior"))
     return M.topics_by_prior(prior, U.topic_top_words(spark, d))
 
 
@@ -102,7 +109,7 @@ _NEXT = f"""nx AS (SELECT word, topic, sum(tf * q) AS x FROM tf JOIN docs USING
   np AS (SELECT word, topic, x / sum(x) OVER (PARTITION BY topic) AS p FROM nx),
   b AS (SELECT sm.word, sm.topic, sm.p * {KEEP}::DOUBLE + coalesce(np.p, 0) * {1 - KEEP}::DOUBLE AS p FROM sm LEFT JOIN np ON np.word = sm.word AND np.topic = sm.topic)
   SELECT word, topic, round(p / sum(p) OVER (PARTITION BY topic), 9) AS p FROM b"""
-_ORDERED = f"""top AS ({U.ORACLE['topic_top_words']}), places AS (SELECT lang AS topic, CAST(row_number() OVER (ORDER BY count(*) DESC, lang) AS INT) AS place FROM documents GROUP BY lang),
+_ORDERED = f"""top AS ({U.ORACLE['topic_top_words']}), places AS (SELECT topic, CAST(row_number() OVER (ORDER BY count(*) DESC, topic) AS INT) AS place FROM (SELECT coalesce(lang, '') AS topic FROM documents) GROUP BY topic),
   ordered AS (SELECT place, topic, rank, word FROM top JOIN places USING (topic))"""
 
 

@@ -20,7 +20,6 @@ from textlattice.sources.pages import read_documents, read_table
 from textlattice.streaming import flush
 from textlattice.streaming import users as streams
 
-LANGS = ["de", "en", "es", "fr"]
 PRIORITY = {"error": 0, "purchase": 1, "signup": 2}
 WEIGHTS = {c: (7 * k) % 11 - 4 for k, c in enumerate("abcdefghijklmnopqrstuvwxyz0123456789")}
 BORDER, REPEAT_MS = 3, 3_600_000
@@ -141,40 +140,58 @@ def _tf(spark, d):
 
 
 def _by_lang(spark, d):
-    return M.term_counts(read_documents(spark, d).select(F.col("lang").alias("topic"), "text"), "topic", T.tokens("text"))
+    """Words by language, which stands for a topic; documents without one are a topic of their own, ''. Written once."""
+    docs = read_documents(spark, d).select(F.coalesce("lang", F.lit("")).alias("topic"), "text")
+    return written(M.term_counts(docs, "topic", T.tokens("text")), "words-by-language")
+
+
+def _langs(by_lang):
+    """The topics of a table: its languages, which are few."""
+    return sorted(r["topic"] for r in by_lang.select("topic").distinct().collect())
 
 
 def _model(spark, d):
-    return M.normalised(_by_lang(spark, d), "tf")
+    """The model, and the entropies of its words; each written once."""
+    counts = _by_lang(spark, d)
+    model = written(M.normalised(counts, "tf"), "topic-model")
+    return model, written(M.entropies(model, len(_langs(counts))), "entropies")
 
 
 def word_marginal_entropy(spark, d):
-    w = M.entropies(_model(spark, d), len(LANGS))
+    _, w = _model(spark, d)
     return w.select("word", F.round("marginal", 9).alias("marginal"), F.round("entropy", 6).alias("entropy"))
 
 
 def entropy_lists(spark, d):
-    return M.entropy_lists(M.entropies(_model(spark, d), len(LANGS)))
+    return M.entropy_lists(_model(spark, d)[1])
 
 
 def topic_top_words(spark, d):
-    m = _model(spark, d)
-    return M.topic_top_words(m, M.entropies(m, len(LANGS)))
+    return M.topic_top_words(*_model(spark, d))
+
+
+def _smoothed(spark, d):
+    """The smoothed model, written once, and its topics."""
+    counts = _by_lang(spark, d)
+    langs = _langs(counts)
+    return written(M.smoothed(counts, langs), "smoothed"), langs
 
 
 def mixunigram_estep_once(spark, d):
-    out = M.mixture_step(_tf(spark, d), M.smoothed(_by_lang(spark, d), LANGS), LANGS, "doc_id")
+    model, langs = _smoothed(spark, d)
+    out = M.mixture_step(_tf(spark, d), model, langs, "doc_id")
     return out.withColumn("posterior", F.round("posterior", 6))
 
 
 def plsa_step_once(spark, d):
-    out = M.plsa_step(_tf(spark, d), M.smoothed(_by_lang(spark, d), LANGS), LANGS, "doc_id")
+    model, langs = _smoothed(spark, d)
+    out = M.plsa_step(_tf(spark, d), model, langs, "doc_id")
     return out.withColumn("p", F.round("p", 9))
 
 
 def topic_merge(spark, d):
     docs = read_documents(spark, d).select("lang", F.col("source").alias("topic"), "text")
-    old, new = (M.normalised(M.term_counts(x, "topic", T.tokens("text")), "tf") for x in (docs.filter("lang = 'en'"), docs.filter("lang <> 'en'")))
+    old, new = (M.normalised(M.term_counts(x, "topic", T.tokens("text")), "tf") for x in (docs.filter("lang <=> 'en'"), docs.filter("not lang <=> 'en'")))
     return M.merged(old, new, 0.5).withColumn("p", F.round("p", 9))
 
 
@@ -254,11 +271,11 @@ def _predicted(states: str) -> str:
 _ID = "conv_id || '-' || turn AS id"
 _EV = "e AS (SELECT *, epoch_us(ts) AS us FROM events)"
 _USER = "PARTITION BY user_id ORDER BY us, event_id"
-_BYLANG = f"lt AS (SELECT lang AS topic, word, count(*) AS tf FROM (SELECT lang, unnest({C.TOKENS}) AS word FROM documents) GROUP BY ALL)"
+_BYLANG = f"lt AS MATERIALIZED (SELECT lang AS topic, word, count(*) AS tf FROM (SELECT coalesce(lang, '') AS lang, unnest({C.TOKENS}) AS word FROM documents) GROUP BY ALL)"
 _TF = f"tf AS (SELECT doc_id, word, count(*) AS tf FROM (SELECT doc_id, unnest({C.TOKENS}) AS word FROM documents) GROUP BY ALL)"
 _MODEL = f"""{_BYLANG}, model AS (SELECT word, topic, CAST(tf AS DOUBLE) / sum(tf) OVER (PARTITION BY topic) AS p FROM lt),
   q AS (SELECT word, topic, p, sum(p) OVER (PARTITION BY word) AS whole FROM model),
-  ent AS (SELECT word, any_value(whole) / {len(LANGS)} AS marginal, sum(CASE WHEN p / whole > 0 THEN -(p / whole) * log2(p / whole) ELSE 0 END) / log2({len(LANGS)}) AS entropy FROM q GROUP BY word)"""
+  ent AS (SELECT word, any_value(whole) / (SELECT count(DISTINCT topic) FROM lt) AS marginal, sum(CASE WHEN p / whole > 0 THEN -(p / whole) * log2(p / whole) ELSE 0 END) / log2((SELECT greatest(count(DISTINCT topic), 2) FROM lt)) AS entropy FROM q GROUP BY word)"""
 _SMOOTH = f"""{_BYLANG}, words AS (SELECT DISTINCT word FROM lt), sums AS (SELECT topic, sum(tf) AS s FROM lt GROUP BY topic),
   sm AS (SELECT w.word, s.topic, CAST(coalesce(l.tf, 0) + 1 AS DOUBLE) / (s.s + (SELECT count(*) FROM words)) AS p FROM words w CROSS JOIN sums s LEFT JOIN lt l ON l.word = w.word AND l.topic = s.topic)"""
 _WEIGHT_ROWS = ", ".join(f"('{c}', {w})" for c, w in WEIGHTS.items())
@@ -280,7 +297,7 @@ def _measure(name: str, v: str) -> str:
 
 
 def _part(where: str) -> str:
-    return f"(SELECT word, topic, CAST(tf AS DOUBLE) / sum(tf) OVER (PARTITION BY topic) AS p FROM (SELECT source AS topic, word, count(*) AS tf FROM (SELECT source, unnest({C.TOKENS}) AS word FROM documents WHERE lang {where} 'en') GROUP BY ALL))"
+    return f"(SELECT word, topic, CAST(tf AS DOUBLE) / sum(tf) OVER (PARTITION BY topic) AS p FROM (SELECT source AS topic, word, count(*) AS tf FROM (SELECT source, unnest({C.TOKENS}) AS word FROM documents WHERE lang IS {where} DISTINCT FROM 'en') GROUP BY ALL))"
 
 
 ORACLE = {
@@ -330,7 +347,7 @@ ORACLE = {
     "plsa_step_once": f"""WITH {_SMOOTH}, {_TF}, q AS (SELECT word, topic, p / sum(p) OVER (PARTITION BY word) AS q FROM sm),
         dt AS (SELECT doc_id, topic, sum(tf * q) AS dt FROM tf JOIN q USING (word) GROUP BY doc_id, topic), nx AS (SELECT word, topic, sum(tf * dt) AS x FROM tf JOIN dt USING (doc_id) GROUP BY word, topic)
         SELECT word, topic, round(x / sum(x) OVER (PARTITION BY topic), 9) AS p FROM nx""",
-    "topic_merge": f"""WITH b AS (SELECT word, topic, CASE WHEN o.p IS NULL THEN n.p WHEN n.p IS NULL THEN o.p ELSE o.p * 0.5::DOUBLE + n.p * 0.5::DOUBLE END AS p FROM {_part('=')} o FULL JOIN {_part('<>')} n USING (word, topic))
+    "topic_merge": f"""WITH b AS (SELECT word, topic, CASE WHEN o.p IS NULL THEN n.p WHEN n.p IS NULL THEN o.p ELSE o.p * 0.5::DOUBLE + n.p * 0.5::DOUBLE END AS p FROM {_part('NOT')} o FULL JOIN {_part('')} n USING (word, topic))
         SELECT word, topic, round(p / sum(p) OVER (PARTITION BY topic), 9) AS p FROM b""",
     "perplexity_window": f"WITH {_EV} SELECT event_id, avg(c) OVER w AS mean, min(c) OVER w AS least FROM (SELECT *, CAST(round(value * 100) AS BIGINT) AS c FROM e) WINDOW w AS ({_USER} ROWS BETWEEN 49 PRECEDING AND CURRENT ROW)",
     "convergence_flag": f"WITH {_EV} SELECT event_id, coalesce(min(value) OVER w >= value * 0.5::DOUBLE AND max(value) OVER w <= value * 1.5::DOUBLE, false) AS converged FROM e WINDOW w AS ({_USER} ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING)",
