@@ -28,7 +28,7 @@ def brute(rows, now, longest=3):
 
 def made(seed):
     r = random.Random(seed)
-    return [(r.randrange(3), [r.choice("ab") for _ in range(r.randrange(0, 4))], 60_000 * t) for t in range(24) for _ in range(r.randrange(0, 4))]
+    return [(r.randrange(3), [r.choice("ab") for _ in range(r.randrange(0, 4))], 60_000 * (t + 1)) for t in range(24) for _ in range(r.randrange(0, 4))]
 
 
 def put(spark, rows, path):
@@ -41,7 +41,7 @@ def test_stopped_and_restarted(spark, tmp_path, seed):
     rows, path, state = made(seed), str(tmp_path / "turns"), str(tmp_path / "state")
     schema = "user long, words array<string>, at timestamp"
     for part in ((0, 7), (7, 14), (14, 24)):
-        put(spark, [r for r in rows if part[0] * 60_000 <= r[2] < part[1] * 60_000], path)
+        put(spark, [r for r in rows if part[0] * 60_000 < r[2] <= part[1] * 60_000], path)
         stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
         U.learn(stream, state, str(tmp_path / "checkpoint"), AGE, longest=3)
     now = max(r[2] for r in rows)

@@ -130,7 +130,7 @@ QUERIES = {f.__name__: f for f in [ngram_query(n) for n in range(1, 8)]} | {
 TOKENS = f"list_filter(regexp_split_to_array(lower(text), '{T.TOKEN_BREAK}'), lambda x: x <> '')"
 
 
-def grams_sql(n: int, source: str = "documents", words: str = f"list_concat(['{N.BOS}'], {TOKENS}, ['{N.EOS}'])") -> str:
+def grams_sql(n: int, source: str = "documents", words: str = f"CASE WHEN text IS NOT NULL THEN list_concat(['{N.BOS}'], {TOKENS}, ['{N.EOS}']) END") -> str:
     gram = "x" + "".join(f" || ' ' || lead(x, {k}) OVER o" for k in range(1, n))
     return f"""SELECT gram, CAST(count(*) AS BIGINT) AS cnt FROM (
       SELECT {gram} AS gram FROM (SELECT d, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM (SELECT row_number() OVER () AS d, {words} AS w FROM {source}))

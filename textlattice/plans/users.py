@@ -27,6 +27,8 @@ BORDER, REPEAT_MS = 3, 3_600_000
 FULL = 20_000
 #: Two turns and a half, so that no turn stands at the edge of a halving.
 AGE_MS = 150_000
+#: The time of turn 0. A stream's first watermark is the epoch, so that turns have to come after it.
+BEGIN_S = 946_684_800
 CENTRES = [-12.0 + 0.25 * k for k in range(49)]
 
 
@@ -190,7 +192,7 @@ def plsa_step_once(spark, d):
 
 
 def topic_merge(spark, d):
-    docs = read_documents(spark, d).select("lang", F.col("source").alias("topic"), "text")
+    docs = read_documents(spark, d).select("lang", F.coalesce("source", F.lit("")).alias("topic"), "text")
     old, new = (M.normalised(M.term_counts(x, "topic", T.tokens("text")), "tf") for x in (docs.filter("lang <=> 'en'"), docs.filter("not lang <=> 'en'")))
     return M.merged(old, new, 0.5).withColumn("p", F.round("p", 9))
 
@@ -232,7 +234,7 @@ def stream_ngram_flush(spark, d):
 def stream_user_history(spark, d):
     """Conversations as users whose turns are a minute apart: a stream that is stopped after each third of the turns and goes on."""
     turns = read_table(spark, d, "conversations").filter("turn is not null")
-    turns = turns.select(F.col("conv_id").alias("user"), T.tokens("text").alias("words"), "turn", F.timestamp_seconds(F.col("turn") * 60).alias("at"))
+    turns = turns.select(F.col("conv_id").alias("user"), T.tokens("text").alias("words"), "turn", F.timestamp_seconds(F.col("turn") * 60 + BEGIN_S).alias("at"))
     cuts = turns.agg(F.percentile_approx("turn", [1 / 3, 2 / 3, 1.0])).first()[0] or []
     at, low = shared_path(spark, f"stream-{uuid.uuid4().hex}"), None
     for high in cuts:
@@ -242,7 +244,7 @@ def stream_user_history(spark, d):
         low = high
     if low is None:
         return spark.createDataFrame([], "user long, gram string, used long, strong long, last_ms long")
-    return streams.current(spark, f"{at}/state", low * 60_000, AGE_MS)
+    return streams.current(spark, f"{at}/state", 1000 * (low * 60 + BEGIN_S), AGE_MS)
 
 
 QUERIES = {
@@ -297,7 +299,7 @@ def _measure(name: str, v: str) -> str:
 
 
 def _part(where: str) -> str:
-    return f"(SELECT word, topic, CAST(tf AS DOUBLE) / sum(tf) OVER (PARTITION BY topic) AS p FROM (SELECT source AS topic, word, count(*) AS tf FROM (SELECT source, unnest({C.TOKENS}) AS word FROM documents WHERE lang IS {where} DISTINCT FROM 'en') GROUP BY ALL))"
+    return f"(SELECT word, topic, CAST(tf AS DOUBLE) / sum(tf) OVER (PARTITION BY topic) AS p FROM (SELECT source AS topic, word, count(*) AS tf FROM (SELECT coalesce(source, '') AS source, unnest({C.TOKENS}) AS word FROM documents WHERE lang IS {where} DISTINCT FROM 'en') GROUP BY ALL))"
 
 
 ORACLE = {
@@ -355,9 +357,9 @@ ORACLE = {
     "stream_ngram_available_now": C.grams_sql(2),
     "stream_ngram_flush": f"WITH {_flushed()} SELECT * FROM s3",
     "stream_user_history": f"""WITH {_TURNS},
-        uses AS (SELECT conv_id AS user, array_to_string(w[len(w) - k + 1:], ' ') AS gram, turn * 60000 AS t FROM turns, (SELECT k FROM range(1, {H.LONGEST + 1}) t(k)) WHERE k <= len(w) AND turn IS NOT NULL),
+        uses AS (SELECT conv_id AS user, array_to_string(w[len(w) - k + 1:], ' ') AS gram, 1000 * (turn * 60 + {BEGIN_S}) AS t FROM turns, (SELECT k FROM range(1, {H.LONGEST + 1}) t(k)) WHERE k <= len(w) AND turn IS NOT NULL),
         folds AS (SELECT "user", gram, list_reduce(list({{'u': CAST(1 AS BIGINT), 's': CAST(1 AS BIGINT), 't': t}} ORDER BY t), lambda a, b: {{'u': (a.u >> ((b.t - a.t) // {AGE_MS})) + 1,
           's': CASE WHEN (a.u >> ((b.t - a.t) // {AGE_MS})) = 0 THEN 1 ELSE least(a.s + 1, {H.STRONGEST}) END, 't': b.t}}) AS f FROM uses GROUP BY ALL),
-        ends AS (SELECT "user", gram, f, ((SELECT max(turn) FROM turns) * 60000 - f.t) // {AGE_MS} AS h FROM folds)
+        ends AS (SELECT "user", gram, f, (1000 * ((SELECT max(turn) FROM turns) * 60 + {BEGIN_S}) - f.t) // {AGE_MS} AS h FROM folds)
         SELECT "user", gram, f.u >> h AS used, f.s AS strong, f.t + h * {AGE_MS} AS last_ms FROM ends WHERE f.u >> h > 0""",
 }

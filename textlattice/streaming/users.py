@@ -84,7 +84,10 @@ def last_words(turns: DataFrame, longest: int = LONGEST) -> DataFrame:
 
 
 def learn(turns: DataFrame, state: str, checkpoint: str, age_ms: int, longest: int = LONGEST) -> None:
-    """Runs over all that a stream of turns (user, words, at) has so far, and stops; a later call with the same checkpoint goes on."""
+    """Runs over all that a stream of turns (user, words, at) has so far, and stops; a later call with the same checkpoint goes on.
+
+    Turns that come after later ones of an earlier batch are late and don't count, nor do turns of 1970's first moment and before.
+    """
     spark = turns.sparkSession
     before = spark.conf.get(PROVIDER, None)
     spark.conf.set(PROVIDER, ROCKS)  # keyed state with timers needs this store
