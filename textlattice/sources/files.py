@@ -90,6 +90,47 @@ def replace_table(df: DataFrame, path: str, generations: int = 3) -> None:
         fs.delete(at, True)
 
 
+class StaleWriter(RuntimeError):
+    """A writer that started from a generation which isn't the last one any more, or while another one writes."""
+
+
+def replace_if_current(df: DataFrame, path: str, seen: int | None, generations: int = 3) -> int:
+    """Write the next generation only if the last one is still `seen` (None: there was none), the one that df was made from.
+
+    A writer claims the next number by creating a file, which only one can; all others are refused, during its work and
+    after it. A claim whose writer failed is taken back; one whose writer was killed stays until `release`.
+    """
+    spark = df.sparkSession
+    last = max(table_generations(spark, path), default=0)
+    if last != (seen or 0):
+        raise StaleWriter(f"generation {last} of {path} is newer than {seen}")
+    fs, claim = _fs(spark, f"{path}/claim-{last + 1}")
+    try:
+        fs.create(claim, False).close()
+    except Exception as e:
+        raise StaleWriter(f"another writer has claimed generation {last + 1} of {path}") from e
+    try:
+        if max(table_generations(spark, path), default=0) != last:
+            raise StaleWriter(f"generation {last + 1} of {path} was written meanwhile")
+        replace_table(df, path, generations)
+    except BaseException:
+        fs.delete(claim, False)
+        raise
+    for old in range(max(1, last + 1 - generations), last + 1):
+        fs.delete(_fs(spark, f"{path}/claim-{old}")[1], False)
+    return last + 1
+
+
+def release(spark: SparkSession, path: str) -> None:
+    """Take back the claims of writers that were killed."""
+    fs, at = _fs(spark, path)
+    last = max(table_generations(spark, path), default=0)
+    for f in fs.listStatus(at) if fs.exists(at) else []:
+        name = f.getPath().getName()
+        if re.fullmatch(r"claim-\d+", name) and int(name[6:]) > last:
+            fs.delete(f.getPath(), False)
+
+
 def current_table(spark: SparkSession, path: str, back: int = 0) -> DataFrame:
     """The last whole generation of a table, or one `back` generations before it."""
     return spark.read.parquet(f"{path}/generation-{table_generations(spark, path)[-1 - back]}")
