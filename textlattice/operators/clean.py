@@ -51,12 +51,61 @@ def distinct_per_batch(sentences: DataFrame, batch: str) -> DataFrame:
     return sentences.select(batch, "sentence").distinct()
 
 
+#: A URL's scheme and site; a reference that has a scheme; path parts that stand for this folder and the one above.
+_SITE, _SCHEME, _DOTS = "^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)", "^[a-zA-Z][a-zA-Z0-9+.-]*:", r"(^|/)\.\.?(/|$)"
+_QUOTED = """("[^"]*"|'[^']*')"""
+
+
+def _without_dots(path: Column) -> Column:
+    """A path without its `.` and `..` parts, by a stack of its parts; nothing is above the first one."""
+    parts = F.split(path, "/")
+    none = F.array().cast("array<string>")
+    up = lambda acc: F.when(F.size(acc) > 1, F.slice(acc, F.lit(1), F.size(acc) - 1)).otherwise(acc)
+    stack = F.aggregate(parts, none, lambda acc, s: F.when(s == ".", acc).when(s == "..", up(acc)).otherwise(F.concat(acc, F.array(s))))
+    folder = F.element_at(parts, -1).isin(".", "..")
+    joined = F.array_join(F.when(folder, F.concat(stack, F.array(F.lit("")))).otherwise(stack), "/")
+    return F.when(path.rlike(_DOTS), joined).otherwise(path)
+
+
+def resolved(base: str, ref: str) -> Column:
+    """The URL that a reference in the page `base` means. One that has a scheme but no site stays as it is."""
+    url, raw = F.col(base), F.trim(F.col(ref))
+    site, path = F.regexp_extract(url, _SITE, 1), F.regexp_extract(url, _SITE + "([^?#]*)", 2)
+    own, rest = F.regexp_extract(raw, "^([^?#]*)", 1), F.regexp_extract(raw, "^[^?#]*(.*)$", 1)
+    folder = F.regexp_replace(path, "[^/]*$", "")
+    absolute = lambda x: F.concat(F.regexp_extract(x, _SITE, 1), _without_dots(F.regexp_extract(x, _SITE + "([^?#]*)", 2)), rest)
+    return (
+        F.when(raw.rlike(_SITE), absolute(raw))
+        .when(raw.rlike(_SCHEME), raw)
+        .when(raw.startswith("//"), absolute(F.concat(F.regexp_extract(url, _SCHEME, 0), raw)))
+        .when(own.startswith("/"), F.concat(site, _without_dots(own), rest))
+        .when(own != "", F.concat(site, _without_dots(F.concat(F.when(folder == "", "/").otherwise(folder), own)), rest))
+        .when(rest.startswith("?"), F.concat(site, path, rest))
+        .otherwise(F.concat(T.url_left_part(url, "query"), rest))
+    )
+
+
+def attribute(tag: Column, name: str) -> Column:
+    """The value of a tag's attribute in either kind of quotes; empty where it has none."""
+    quoted = F.regexp_extract(tag, f"(?i)\\s{name}\\s*=\\s*{_QUOTED}", 1)
+    return F.substring(quoted, F.lit(2), F.greatest(F.length(quoted) - 2, F.lit(0)))
+
+
 def page_links(pages: DataFrame) -> DataFrame:
-    """Links of each page: page_id, url (the page's own), href. Absolute ones as they are, /path ones on the page's site."""
-    found = F.regexp_extract_all("html", F.lit('<a[^>]*href="([^"]*)"'), 1)
-    links = pages.select("page_id", "url", F.explode(found).alias("raw"))
-    site = F.regexp_extract("url", "^([a-z]+://[^/?#]*)", 1)
-    return links.select("page_id", "url", F.when(F.col("raw").startswith("/"), F.concat(site, "raw")).otherwise(F.col("raw")).alias("href"))
+    """Links of each page: page_id, url (the page's own), href (resolved against it)."""
+    tags = F.regexp_extract_all("html", F.lit(f"(?i)<a\\s[^>]*?href\\s*=\\s*{_QUOTED}"), 1)
+    links = pages.select("page_id", "url", F.explode(tags).alias("raw"))
+    links = links.withColumn("raw", F.substring("raw", F.lit(2), F.length("raw") - 2))
+    return links.select("page_id", "url", resolved("url", "raw").alias("href"))
+
+
+def page_urls(pages: DataFrame) -> DataFrame:
+    """All URLs that a page says it has, up to their query: its own, its canonical link and its og:url. page_id, url."""
+    tags = lambda name: F.regexp_extract_all("html", F.lit(f"(?i)<{name}\\s[^>]*>"), 0)
+    canonical = F.transform(F.filter(tags("link"), lambda t: F.lower(attribute(t, "rel")) == "canonical"), lambda t: attribute(t, "href"))
+    same = F.transform(F.filter(tags("meta"), lambda t: F.lower(attribute(t, "property")) == "og:url"), lambda t: attribute(t, "content"))
+    said = pages.select("page_id", "url", F.explode(F.concat(F.array(F.lit("")), canonical, same)).alias("raw"))
+    return said.select("page_id", T.url_left_part(resolved("url", "raw"), "query").alias("url")).distinct()
 
 
 def filter_links(links: DataFrame, blocked: list[str]) -> DataFrame:

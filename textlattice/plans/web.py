@@ -49,6 +49,10 @@ def link_extract_filtered(spark, d):
     return clean.filter_links(clean.page_links(read_pages(spark, d)), ["casino", "pills"])
 
 
+def page_urls(spark, d):
+    return clean.page_urls(read_pages(spark, d))
+
+
 def _urls(spark, d):
     return read_pages(spark, d).select("page_id", T.url_left_part("url").alias("url"))
 
@@ -101,7 +105,7 @@ def host_except(spark, d):
 
 QUERIES = {
     f.__name__: f
-    for f in (page_lang_filter, page_text_ratio, sentence_split_distinct, blocklist_verdict, page_gating, url_left_part, url_host_reduce, url_valid, link_extract_filtered, frontier_anti_insert, frontier_upsert, host_insert, host_round_robin, host_url_counts, oldest_per_host, batch_union_distinct, host_except)
+    for f in (page_lang_filter, page_text_ratio, sentence_split_distinct, blocklist_verdict, page_gating, url_left_part, url_host_reduce, url_valid, link_extract_filtered, page_urls, frontier_anti_insert, frontier_upsert, host_insert, host_round_robin, host_url_counts, oldest_per_host, batch_union_distinct, host_except)
 }
 
 _NODES = r"""nodes AS (
@@ -121,9 +125,37 @@ def _verdict(col: str, ng: list[str] = BANNED, sup: list[str] = SUPPRESSED) -> s
 _HOST = "regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)', 1)"
 _PATH = "regexp_replace(url, '[?#].*$', '')"
 _REDUCED = f"CASE WHEN strpos({_HOST}, '.') - 1 <= 0 OR strpos({_HOST}, '.') - 1 >= length({_HOST}) - 6 THEN {_HOST} ELSE substr({_HOST}, strpos({_HOST}, '.') + 1) END"
-_LINKS = f"""links AS (
-  SELECT page_id, url, CASE WHEN starts_with(raw, '/') THEN regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) || raw ELSE raw END AS href
-  FROM (SELECT page_id, url, unnest(regexp_extract_all(html, '<a[^>]*href="([^"]*)"', 1)) AS raw FROM pages))"""
+_SITE = "^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)"
+_QUOTED = """("[^"]*"|''[^'']*'')"""
+
+
+def _no_dots(p: str) -> str:
+    parts = f"string_split({p}, '/')"
+    fold = f"list_reduce(list_concat([CAST([] AS VARCHAR[])], list_transform({parts}, lambda x: [x])), lambda acc, x: CASE WHEN x[1] = '.' THEN acc WHEN x[1] = '..' THEN CASE WHEN len(acc) > 1 THEN acc[1:len(acc) - 1] ELSE acc END ELSE list_concat(acc, x) END)"
+    return f"CASE WHEN regexp_matches({p}, '(^|/)\\.\\.?(/|$)') THEN array_to_string(CASE WHEN {parts}[-1] IN ('.', '..') THEN list_concat({fold}, ['']) ELSE {fold} END, '/') ELSE {p} END"
+
+
+def _resolved(raws: str) -> str:
+    """raws: page_id, url, raw. page_id, url, href."""
+    return f"""(SELECT page_id, url, CASE kind WHEN 0 THEN raw WHEN 1 THEN home || {_no_dots("path")} || rest WHEN 2 THEN home || path || rest ELSE regexp_replace(url, '#.*$', '') || rest END AS href
+      FROM (SELECT *, CASE WHEN regexp_matches(raw, '{_SITE}') THEN regexp_extract(raw, '{_SITE}', 1) WHEN starts_with(raw, '//') THEN regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*:') || regexp_extract(raw, '^//[^/?#]*') ELSE site END AS home,
+          CASE WHEN regexp_matches(raw, '{_SITE}') THEN regexp_extract(raw, '{_SITE}([^?#]*)', 2) WHEN starts_with(raw, '//') THEN regexp_extract(raw, '^//[^/?#]*([^?#]*)', 1)
+            WHEN starts_with(own, '/') THEN own WHEN own <> '' THEN CASE WHEN folder = '' THEN '/' ELSE folder END || own ELSE base END AS path,
+          CASE WHEN regexp_matches(raw, '{_SITE}') THEN 1 WHEN regexp_matches(raw, '^[a-zA-Z][a-zA-Z0-9+.-]*:') THEN 0 WHEN own <> '' THEN 1 WHEN starts_with(rest, '?') THEN 2 ELSE 3 END AS kind
+        FROM (SELECT page_id, url, trim(raw) AS raw, regexp_extract(trim(raw), '^([^?#]*)', 1) AS own, regexp_extract(trim(raw), '^[^?#]*(.*)$', 1) AS rest, regexp_extract(url, '{_SITE}', 1) AS site,
+            regexp_extract(url, '{_SITE}([^?#]*)', 2) AS base, regexp_replace(regexp_extract(url, '{_SITE}([^?#]*)', 2), '[^/]*$', '') AS folder FROM {raws})))"""
+
+
+_LINKS = f"""links AS (SELECT * FROM {_resolved(f"(SELECT page_id, url, substr(raw, 2, length(raw) - 2) AS raw FROM (SELECT page_id, url, unnest(regexp_extract_all(html, '(?i)<a[ \t\n\r\f][^>]*?href[ \t\n\r\f]*=[ \t\n\r\f]*{_QUOTED}', 1)) AS raw FROM pages))")})"""
+
+
+def _attribute(tag: str, name: str) -> str:
+    return f"regexp_extract({tag}, '(?i)\\s{name}\\s*=\\s*{_QUOTED}', 1)"
+
+
+def _tags(name: str, key: str, value: str, wanted: str) -> str:
+    unquoted = lambda x: f"substr({x}, 2, greatest(length({x}) - 2, 0))"
+    return f"SELECT page_id, url, {unquoted(_attribute('tag', wanted))} AS raw FROM (SELECT page_id, url, unnest(regexp_extract_all(html, '(?i)<{name}\\s[^>]*>')) AS tag FROM pages) WHERE lower({unquoted(_attribute('tag', key))}) = '{value}'"
 
 
 def _valid(u: str) -> str:
@@ -152,6 +184,8 @@ ORACLE = {
     "link_extract_filtered": f"""WITH {_LINKS}, l AS (SELECT page_id, regexp_replace(href, '[?#].*$', '') AS href, {_PATH} AS own FROM links)
         SELECT DISTINCT page_id, href FROM l
         WHERE regexp_matches(href, '^https?://') AND href <> own AND NOT contains(href, 'casino') AND NOT contains(href, 'pills')""",
+    "page_urls": f"""SELECT DISTINCT page_id, regexp_replace(href, '#.*$', '') AS url
+        FROM {_resolved(f"(SELECT page_id, url, '' AS raw FROM pages UNION ALL {_tags('link', 'rel', 'canonical', 'href')} UNION ALL {_tags('meta', 'property', 'og:url', 'content')})")}""",
     "frontier_anti_insert": f"""WITH {_LINKS}, u AS (SELECT {_PATH} AS url FROM (SELECT href AS url FROM links))
         SELECT DISTINCT url, {_REDUCED} AS hostname FROM u WHERE {_valid('url')} AND url NOT IN (SELECT {_PATH} FROM pages)""",
     "frontier_upsert": f"""WITH {_LINKS}, s AS (SELECT {_PATH} AS url, DATE '2024-01-01' + CAST(min(page_id) % 30 AS INT) AS last_access FROM pages GROUP BY 1),
