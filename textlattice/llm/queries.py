@@ -198,6 +198,29 @@ ORACLE: dict[str, str] = {
           sha256(regexp_replace(coalesce(best.lines, ''), '\n\z', '')) AS repaired_sha256
         FROM (SELECT DISTINCT conv_id FROM conversations) i
           LEFT JOIN n ON n.conv_id IS NOT DISTINCT FROM i.conv_id LEFT JOIN f ON f.conv_id IS NOT DISTINCT FROM i.conv_id""",
+    "op12_minhash": r"""
+        WITH RECURSIVE d AS (
+          SELECT row_number() OVER () AS r, doc_id,
+            regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+          FROM documents),
+        s AS MATERIALIZED (
+          SELECT r, doc_id, list_sort(CASE WHEN len(w) < 2 THEN w ELSE list_distinct(list_transform(range(1, len(w)), lambda k: w[k] || ' ' || w[k + 1])) END) AS sh
+          FROM d),
+        u AS MATERIALIZED (SELECT sh, len(sh) AS n, row_number() OVER () AS id FROM (SELECT DISTINCT sh FROM s WHERE len(sh) > 0)),
+        x AS MATERIALIZED (SELECT id, n, unnest(sh) AS g FROM u),
+        f AS (SELECT g, count(*) AS c FROM x GROUP BY g),
+        p AS MATERIALIZED (
+          SELECT id, n, g FROM (SELECT id, n, x.g, row_number() OVER (PARTITION BY id ORDER BY c, x.g) AS k FROM x JOIN f ON f.g = x.g)
+          WHERE k <= n - (80 * n + 99) // 100 + 1),
+        c AS (SELECT DISTINCT a.id AS a, b.id AS b FROM p a JOIN p b ON a.g = b.g AND a.id < b.id WHERE 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)),
+        i AS (SELECT a, b, ua.n + ub.n AS n, len(list_intersect(ua.sh, ub.sh)) AS same FROM c JOIN u ua ON ua.id = a JOIN u ub ON ub.id = b),
+        e AS MATERIALIZED (SELECT a, b FROM i WHERE 100 * same >= 80 * (n - same) UNION ALL SELECT b, a FROM i WHERE 100 * same >= 80 * (n - same)),
+        reach(id, root) AS (SELECT id, id FROM u UNION SELECT e.b, reach.root FROM reach JOIN e ON e.a = reach.id),
+        root AS (SELECT id, min(root) AS root FROM reach GROUP BY id),
+        m AS (SELECT r, doc_id, len(s.sh) AS n, root FROM s LEFT JOIN u ON u.sh = s.sh LEFT JOIN root ON root.id = u.id)
+        SELECT doc_id, n AS n_shingles, CASE WHEN n = 0 THEN doc_id ELSE min(doc_id) OVER (PARTITION BY root) END AS component_id,
+          doc_id IS NOT DISTINCT FROM CASE WHEN n = 0 THEN doc_id ELSE min(doc_id) OVER (PARTITION BY root) END AS kept
+        FROM m""",
     "op13_filter_audit": r"""
         WITH d AS (
           SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text,
