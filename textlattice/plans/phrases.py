@@ -32,7 +32,7 @@ def phrase_discount_rev(spark, d):
 
 
 def phrase_reconciled(spark, d):
-    return P.reconciled(_discounted(spark, d), _discounted(spark, d, backward=True, every=False))
+    return P.reconciled(_discounted(spark, d), _discounted(spark, d, backward=True))
 
 
 def phrase_ranked(spark, d):
