@@ -137,57 +137,6 @@ def spaced_words(c: str | Column) -> Column:
     return F.transform(words, lambda w, k: F.struct(w.alias("word"), (F.get(heads, k) == " ").alias("space_before"), F.get(after, k).alias("space_after")))
 
 
-# Fixed values of the dictionary's characters: marks with a byte of their own, from 0x57 on.
-MARKS = "、。・ー〜「」{|}"
-
-
-def _byte(n: Column) -> Column:
-    return F.lpad(F.hex(n.cast("long")), 2, "0")
-
-
-def dict_encode(c: str | Column) -> Column:
-    """A text in the dictionary's characters of one to three bytes for each UTF-16 unit, up to a NUL."""
-    marks = F.create_map(*[F.lit(x) for k, m in enumerate(MARKS) for x in (f"{ord(m):04X}", f"{0x57 + k:02X}")])
-
-    def unit(h: Column) -> Column:
-        v, high, low = F.conv(h, 16, 10).cast("int"), F.left(h, F.lit(2)), F.right(h, F.lit(2))
-        return (
-            F.when(v.between(0x3041, 0x3096), _byte(v - 0x3040))
-            .when(F.map_contains_key(marks, h), F.try_element_at(marks, h))
-            .when(v.between(0x21, 0x60), _byte(v + 0x40))
-            .when(v.between(0x3001, 0x30FF), F.concat(F.lit("AA"), low))
-            .when(v < 0x100, F.concat(F.lit("AB"), low))
-            .when(low == "00", F.concat(F.lit("AC"), high))
-            .when(v.between(0x4E00, 0x9FFF), F.concat(_byte(F.floor(v / 256) + 0x60), low))
-            .otherwise(F.concat(F.lit("AD"), h))
-        )
-
-    units = F.regexp_extract_all(F.hex(F.encode(F.substring_index(_col(c), "\0", 1), "UTF-16BE")), F.lit("(.{4})"), F.lit(1))
-    return F.unhex(F.array_join(F.transform(units, unit), ""))
-
-
-def dict_decode(c: str | Column) -> Column:
-    """The text of dict_encode's bytes."""
-    marks = F.create_map(*[F.lit(x) for k, m in enumerate(MARKS) for x in (f"{0x57 + k:02X}", f"{ord(m):04X}")])
-
-    def unit(h: Column) -> Column:
-        kind, rest = F.left(h, F.lit(2)), F.substring(h, 3, 4)
-        v = F.conv(kind, 16, 10).cast("int")
-        return (
-            F.when(v <= 0x56, F.concat(F.lit("30"), _byte(v + 0x40)))
-            .when(v <= 0x60, F.try_element_at(marks, kind))
-            .when(v <= 0xA0, F.concat(F.lit("00"), _byte(v - 0x40)))
-            .when(kind == "AA", F.concat(F.lit("30"), rest))
-            .when(kind == "AB", F.concat(F.lit("00"), rest))
-            .when(kind == "AC", F.concat(rest, F.lit("00")))
-            .when(kind == "AD", rest)
-            .otherwise(F.concat(_byte(v - 0x60), rest))
-        )
-
-    codes = F.regexp_extract_all(F.hex(_col(c)), F.lit("(AD.{4}|A[ABC].{2}|A[EF].{2}|[B-F].{3}|.{2})"), F.lit(1))
-    return F.decode(F.unhex(F.array_join(F.transform(codes, unit), "")), "UTF-16BE")
-
-
 def time_bucket(ts: str | Column) -> Column:
     """The time in units of 64 seconds."""
     return F.floor(F.unix_timestamp(_col(ts)) / 64).cast("long")

@@ -124,11 +124,6 @@ def spaced_words(spark, d):
     return rows.select("conv_id", "turn", "pos", "w.word", "w.space_before", "w.space_after")
 
 
-def dict_codec(spark, d):
-    code = C.unigrams(spark, d).select(F.col("w1").alias("word"), T.dict_encode("w1").alias("b"))
-    return code.select("word", F.hex("b").alias("code"), T.dict_decode("b").alias("decoded"))
-
-
 def map_access(spark, d):
     m = F.create_map(F.col("event_type"), F.col("user_id").cast("string"))
     e = read_table(spark, d, "events").select("event_id", T.map_put(m, "error", F.lit("0")).alias("m"))
@@ -141,7 +136,7 @@ def file_time(spark, d):
 
 QUERIES = {
     f.__name__: f
-    for f in (pair_lookup, pair_cost, candidate_rank, predict_ranked, phrase_heads, history_lattice, character_weights, learned_show, record_format, class_remap, pos_names, character_flags, spaced_words, dict_codec, map_access, file_time)
+    for f in (pair_lookup, pair_cost, candidate_rank, predict_ranked, phrase_heads, history_lattice, character_weights, learned_show, record_format, class_remap, pos_names, character_flags, spaced_words, map_access, file_time)
 }
 
 _TURNS = U._TURNS
@@ -197,7 +192,6 @@ ORACLE = {
         e AS (SELECT conv_id, turn, rest, regexp_extract_all(rest, '( ?)([A-Za-z]+|[0-9]+|[.,!?])', 1) AS h, regexp_extract_all(rest, '( ?)([A-Za-z]+|[0-9]+|[.,!?])', 2) AS w FROM r),
         p AS (SELECT conv_id, turn, rest, unnest(range(0, len(w))) AS i, unnest(w) AS word, unnest(h) = ' ' AS before FROM e)
         SELECT conv_id, turn, CAST(i AS INT) AS pos, word, before AS space_before, coalesce(lead(before) OVER (PARTITION BY conv_id, turn ORDER BY i), ends_with(rest, ' ')) AS space_after FROM p""",
-    "dict_codec": f"""WITH {C.UNI} SELECT w1 AS word, array_to_string(list_transform(string_split(w1, ''), lambda c: CASE WHEN unicode(c) BETWEEN 33 AND 96 THEN printf('%02X', unicode(c) + 64) ELSE printf('AB%02X', unicode(c)) END), '') AS code, w1 AS decoded FROM uni""",
     "map_access": "SELECT event_id, '0' AS error, CASE WHEN event_type = 'purchase' THEN CAST(user_id AS VARCHAR) END AS purchase FROM events",
     "file_time": "SELECT event_id, strftime(ts, '%Y%m%d-%H%M%S') AS name FROM events",
 }
