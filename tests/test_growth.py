@@ -1,9 +1,13 @@
 """What a step shuffles or hands on, and that cheaper forms have the results of the plain ones."""
 
+import random
 import re
 
+import pyarrow as pa
+import pytest
+
 from textlattice.functions import text as T
-from textlattice.operators import mining, ngrams
+from textlattice.operators import mining, ngrams, phrases, sorted_runs
 from textlattice.plans import counts
 
 
@@ -53,3 +57,48 @@ def test_unseen_words_come_from_counts(spark, smoke):
     df = counts.lexicon(spark, smoke)
     seen = {x["w1"] for x in counts.unigrams(spark, smoke).collect()}
     assert {x["display"] for x in df.collect()} == seen | {"zz" + w for w in seen if not w.startswith("[")}
+
+
+def both_walks(rows, every, below):
+    stack = mining.Walk(5, every, below=below)
+    for x in rows:
+        stack.add(x)
+    stack.close(0)
+    texts, found = pa.array(rows), []
+    for b in mining._at_once(texts, sorted_runs.shared_words(sorted_runs.of(texts)), 5, every, below, mining.TOP):
+        found += [(x["n"], x["gram"], x["cnt"], x["disc"], x["entries"] and sorted(map(tuple, map(dict.values, x["entries"]))), x["least"]) for x in b.to_pylist()]
+    return found, [(*x[:4], x[4] and sorted(x[4]), x[5]) for x in stack.rows]
+
+
+@pytest.mark.parametrize(("every", "below"), [(True, 5), (False, 5), (False, 6)])
+def test_runs_at_once_are_walked_as_one_by_one(every, below):
+    for seed in range(60):
+        r = random.Random(seed)
+        words = ["a", "ab", "b", "é", "zürich", "longerword", "abc", "[EOS]"][: r.randrange(2, 9)]
+        rows = sorted((" ".join(r.choice(words) for _ in range(r.choice((r.randrange(1, 6), 5)))) for _ in range(r.randrange(1, 150))), key=str.encode)
+        found, want = both_walks(rows, every, below)
+        assert sorted(map(repr, found)) == sorted(map(repr, want))
+
+
+def test_runs_in_pieces_and_through_the_stack(spark, monkeypatch):
+    r = random.Random(5)
+    rows = [" ".join(r.choice("aab c d ef".split()) for _ in range(r.randrange(1, 6))) for _ in range(3000)]
+    df = spark.createDataFrame([(x,) for x in rows], "gram string")
+    want = sorted(map(repr, mining.discounted(df, 5).collect()))
+    monkeypatch.setattr(mining, "AT_ONCE", 50)
+    assert sorted(map(repr, mining.discounted(df, 5).collect())) == want
+    monkeypatch.setattr(mining, "TOO_MANY", 60)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "40")
+    try:
+        assert sorted(map(repr, mining.discounted(df, 5).collect())) == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_only_grams_with_a_count_meet_in_the_other_direction(spark):
+    ahead = spark.createDataFrame([(2, "a b", 3, 3), (2, "a c", 2, None), (2, "c d", 2, 0), (2, "x y", 1, 1)], "n int, gram string, cnt long, disc long")
+    back = spark.createDataFrame([(2, "b a", 3, 2), (2, "c a", 2, 2), (2, "d c", 2, 1), (2, "y x", 1, None)], "n int, gram string, cnt long, disc long")
+    out = phrases.reconciled(ahead, back)
+    assert sorted(map(tuple, out.collect())) == [(2, "a b", 3, 2), (2, "a c", 2, 0), (2, "c d", 2, 0), (2, "x y", 1, 0)]
+    joined = plan(out).split("Join", 1)[1]
+    assert joined.count("disc") and "> 0" in joined
