@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 
 from textlattice.functions import text as T
-from textlattice.operators import mining, ngrams, phrases, sorted_runs
+from textlattice.operators import history, mining, ngrams, phrases, sorted_runs
 from textlattice.plans import counts
 
 
@@ -102,3 +102,31 @@ def test_only_grams_with_a_count_meet_in_the_other_direction(spark):
     assert sorted(map(tuple, out.collect())) == [(2, "a b", 3, 2), (2, "a c", 2, 0), (2, "c d", 2, 0), (2, "x y", 1, 0)]
     joined = plan(out).split("Join", 1)[1]
     assert joined.count("disc") and "> 0" in joined
+
+
+def turns_of(spark, r, n):
+    rows = [([r.choice(["a", "ab", "b", "é", "c", "d"][: 1 + k % 6]) for _ in range(r.randrange(0, 12))], k) for k in range(n)]
+    return spark.createDataFrame([*rows, (None, 0), ([], 1)], "words array<string>, at long")
+
+
+def test_shares_without_a_row_for_each_gram(spark, monkeypatch):
+    turns = turns_of(spark, random.Random(3), 60)
+    want = sorted(map(repr, history.conditional(history.register_all(turns)).select("gram", "prefix", "word", "used", "p").collect()))
+    assert sorted(map(repr, history.conditional_of(turns).collect())) == want
+    monkeypatch.setattr(history, "AT_ONCE", 20)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "9")
+    try:
+        assert sorted(map(repr, history.conditional_of(turns).collect())) == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    asked = spark.createDataFrame([("a b",), ("a ab b",), ("[BOS] a",), ("zz top",), ("a b a b a b",)], "prefix string")
+    short = [x for x in want if "prefix=''" in x or " " not in x.split("prefix='")[1].split("'")[0]]
+    some = [x for x in want if x.split("prefix='")[1].split("'")[0] in {"a b", "a ab b", "[BOS] a", "a b a b a b"}]
+    assert sorted(map(repr, history.conditional_of(turns, 7, asked).collect())) == sorted(short + some)
+
+
+def test_predictions_from_what_is_asked_for(spark):
+    turns = turns_of(spark, random.Random(4), 50).filter("words is not null")
+    asked = turns.select(turns["at"].alias("id"), "words").dropDuplicates(["id"])
+    want = history.predict(asked, history.conditional(history.register_all(turns)))
+    assert sorted(map(repr, history.predict_of(asked, turns).collect())) == sorted(map(repr, want.collect()))
