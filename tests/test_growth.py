@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 
 from textlattice.functions import text as T
-from textlattice.operators import history, mining, ngrams, phrases, sorted_runs
+from textlattice.operators import history, mining, ngrams, phrases, predict, sorted_runs
 from textlattice.plans import counts
 
 
@@ -130,3 +130,17 @@ def test_predictions_from_what_is_asked_for(spark):
     asked = turns.select(turns["at"].alias("id"), "words").dropDuplicates(["id"])
     want = history.predict(asked, history.conditional(history.register_all(turns)))
     assert sorted(map(repr, history.predict_of(asked, turns).collect())) == sorted(map(repr, want.collect()))
+
+
+def test_only_children_of_grams_that_states_are_at(spark):
+    kids = spark.createDataFrame([("", "a", 2, 3), ("a", "b", 1, 1), ("a b", "c", 1, 1), ("x", "y", 1, 1)], "parent string, word string, used long, total long")
+    states = spark.createDataFrame([("a",), ("a b",), ("",)], "node string")
+    assert sorted(x["parent"] for x in predict._near(kids, states, 0).collect()) == ["", "a", "a b"]
+    assert sorted(x["parent"] for x in predict._near(kids, states, 1).collect()) == ["a", "a b"]
+
+
+def test_a_tree_counted_in_passing(spark):
+    turns = turns_of(spark, random.Random(6), 40)
+    want = predict.children(history.register_all(turns).filter("not contains(gram, '[EOS]')"))
+    found = history.counted_of(turns, end=False).selectExpr("prefix AS parent", "word", "used", "total")
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect()))
