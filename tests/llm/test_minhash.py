@@ -135,3 +135,17 @@ def test_rows_in_another_order(spark):
     rows = families(9, 6)
     one, two = (found(spark, spark.createDataFrame(rows, "doc_id long, text string").orderBy(o)) for o in (F.col("doc_id"), F.col("text")))
     assert one == two
+
+
+def test_failed_entries_are_dealt_without_a_union_of_joins(spark):
+    rows = [(1, k, 1 if k < 8 else k, k >= 8) for k in range(1, 12)] + [(20, 20, 20, False), (20, 21, 21, True)] + [(30, k, 30, False) for k in (30, 31, 32)]
+    payload = spark.createDataFrame([(r[1], bytes(minhash.HASHES)) for r in rows], "id long, bytes binary")
+    out = minhash.dealt(spark.createDataFrame(rows, "group long, id long, base long, failed boolean"), payload, 2)
+    assert "Union" not in out._jdf.queryExecution().toString()
+    met = defaultdict(lambda: ([], []))
+    for r in out.collect():
+        assert r["base"] == (1 if r["side"] and r["id"] < 8 else r["id"])
+        met[r["group"], r["tile"], r["chunk"]][r["side"]].append(r["id"])
+    pairs = sorted((g, a, b) for (g, _, _), (own, others) in met.items() for a in own for b in others)
+    assert pairs == [(1, a, b) for a in range(8, 12) for b in range(1, 12)]
+    assert all(len(own) <= 4 for own, _ in met.values())

@@ -177,20 +177,23 @@ class Trees:
         return a != b
 
 
-def dealt(members: DataFrame, failed: DataFrame, payload: DataFrame, tile: int) -> DataFrame:
-    """members: group, id, base (the entry that it is linked to, or itself); failed: group, id.
+def dealt(members: DataFrame, payload: DataFrame, tile: int) -> DataFrame:
+    """members: group, id, base (the entry that it is linked to, or itself), failed. Groups of two have nothing left to compare.
 
     A group's failed entries are dealt into tiles of `tile`, all its members into chunks of four times as many. Each pair of
-    a tile and a chunk has the tile's entries first (side 0), then the chunk's (side 1), so that no task holds a group.
+    a tile and a chunk has the tile's entries first (side 0), then the chunk's (side 1), so that no task holds a group. Both
+    sides come from one row: where two joins met in a union, Spark could fail on their partitions when it had dealt a join anew.
     """
-    count = lambda n: F.ceil(F.count(F.lit(1)) / F.lit(n)).cast("int")
-    tiles = failed.groupBy("group").agg(count(tile).alias("tiles"))
-    grid = members.groupBy("group").agg(count(4 * tile).alias("chunks")).join(tiles, "group")
+    count = lambda rows, n: F.ceil(rows / F.lit(n)).cast("int")
+    grid = members.groupBy("group").agg(F.count(F.lit(1)).alias("n"), count(F.count(F.lit(1)), 4 * tile).alias("chunks"), count(F.count_if("failed"), tile).alias("tiles"))
+    rows = members.join(grid.filter("n > 2 and tiles > 0").drop("n"), "group")
     mine = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    own = failed.join(grid, "group").select("group", mine("tiles").alias("tile"), each("chunks").alias("chunk"), F.lit(0).alias("side"), "id", F.col("id").alias("base"))
-    others = members.join(grid, "group").select("group", each("tiles").alias("tile"), mine("chunks").alias("chunk"), F.lit(1).alias("side"), "id", "base")
-    both = own.unionByName(others).join(payload, "id")
+    each = lambda n, place: F.transform(F.sequence(F.lit(0), F.col(n) - 1), place)
+    place = lambda tile, chunk, side, base: F.struct(tile.alias("tile"), chunk.alias("chunk"), F.lit(side).alias("side"), F.col(base).alias("base"))
+    own = each("chunks", lambda k: place(mine("tiles"), k, 0, "id"))
+    others = each("tiles", lambda k: place(k, mine("chunks"), 1, "base"))
+    places = rows.select("group", "id", F.explode(F.when(F.col("failed"), F.concat(own, others)).otherwise(others)).alias("at"))
+    both = places.select("group", "at.tile", "at.chunk", "at.side", "id", "at.base").join(payload, "id")
     names = ["group", "tile", "chunk", "side", "id", "base", *[c for c in payload.columns if c != "id"]]
     return both.select(*names).repartition("group", "tile", "chunk").sortWithinPartitions("group", "tile", "chunk", "side", "id")
 
@@ -252,7 +255,7 @@ def candidate_links(entries: DataFrame, least: list[int], tile: int = TILE) -> D
     linked = near.select(F.col("fp").alias("id"), F.col("to").alias("rep"), F.lit(True).alias("linked"))
     large = members.filter("n > 2").join(linked, ["id", "rep"], "left")
     large = materialise(large.select("group", "id", F.when(F.col("linked") | (F.col("id") == F.col("rep")), F.col("rep")).otherwise(F.col("id")).alias("base"), (F.col("linked").isNull() & (F.col("id") != F.col("rep"))).alias("failed")), "bases")
-    more = links_of_failed(dealt(large, large.filter("failed").select("group", "id"), bits, tile), least)
+    more = links_of_failed(dealt(large, bits, tile), least)
     return near.unionByName(more).distinct()
 
 
@@ -268,20 +271,23 @@ def confirmed_links(clusters: DataFrame, entries: DataFrame, texts: DataFrame, l
     sets = sets_of(passing, shingle).groupBy("fp").agg(F.first("set").alias("set"))  # a row may be repeated, a copy pass
     sets = materialise(sets.join(wanted, "fp").select("id", "group", "bytes", "set"), "sets")
     first = sets.filter("id = group").select("group", F.col("set").alias("first_set"))
-    both = F.size(F.array_intersect("set", "first_set")).cast("long")
-    tried = sets.filter("id <> group").join(first, "group").select("group", "id", F.size("set").alias("n"), F.size("first_set").alias("m"), both.alias("both"))
-    tried = materialise(tried.select("group", "id", similar_sets("n", "m", F.col("both"), similar).alias("linked")), "tried")
-    near = tried.filter("linked").select(F.col("id").alias("fp"), F.col("group").alias("to"))
-    several = tried.groupBy("group").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("group")
-    rest = tried.join(several, "group")
-    base = F.when(F.col("linked"), F.col("group")).otherwise(F.col("id")).alias("base")
-    members = rest.select("group", "id", base).unionByName(several.select("group", F.col("group").alias("id"), F.col("group").alias("base")))
-    more = links_of_failed(dealt(members, rest.filter("not linked").select("group", "id"), sets.select("id", "bytes", "set"), tile), least, similar)
-    out = materialise(near.unionByName(more), "confirmed")
+    other = F.col("id") != F.col("group")
+    both = F.when(other, F.size(F.array_intersect("set", "first_set")).cast("long"))
+    tried = sets.join(first, "group").select("group", "id", F.size("set").alias("n"), F.size("first_set").alias("m"), both.alias("both"))
+    tried = materialise(tried.select("group", "id", (~other | similar_sets("n", "m", F.col("both"), similar)).alias("linked")), "tried")
+    out = links_inside(tried, sets, least, similar, tile)
     drop_path(spark, sets)
     return out
 
 
+def links_inside(tried: DataFrame, sets: DataFrame, least: list[int], similar: int, tile: int) -> DataFrame:
+    """tried: group, id (all of the cluster), linked (with the smallest, or that itself). Its links, and those of the others with all."""
+    near = tried.filter("linked and id <> group").select(F.col("id").alias("fp"), F.col("group").alias("to"))
+    members = tried.select("group", "id", F.when(F.col("linked"), F.col("group")).otherwise(F.col("id")).alias("base"), (~F.col("linked")).alias("failed"))
+    more = links_of_failed(dealt(members, sets.select("id", "bytes", "set"), tile), least, similar)
+    return materialise(near.unionByName(more), "confirmed")
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: int = SIMILAR, shingle: int = SHINGLE, tile: int = TILE) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id, kept."""
     least = least_matches(similar / 100)
