@@ -71,3 +71,13 @@ def test_survivors_keep_all_columns(spark):
     want = [r for r in plain([r[:2] for r in cases.ODD]) if r[3]]
     assert kept.columns == docs.columns
     assert sorted((r["doc_id"] for r in kept.collect()), key=repr) == sorted((r[0] for r in want), key=repr)
+
+
+def test_a_bucket_is_one_file_of_a_batch(spark, monkeypatch):
+    kind = type(spark.range(0))
+    for name in ("repartition", "repartitionByRange"):  # more tasks than buckets
+        monkeypatch.setattr(kind, name, lambda self, n, *by, f=getattr(kind, name): f(self, max(n, 24), *by))
+    docs = spark.createDataFrame([(k, f"t{k % 300}") for k in range(600)], "doc_id long, text string")
+    own = exact_dedup.DigestIndex(spark, f"t_{uuid.uuid4().hex}", buckets=8)
+    assert exact_dedup.survivors(docs, own, n_batches=2).count() == 300
+    assert own.table().count() == 300 and len(own.table().inputFiles()) <= 16

@@ -114,3 +114,10 @@ def test_thresholds_have_one_formula_at_every_size(spark):
         n = len(logs(lang))
         assert cuts[lang] == pytest.approx((n * top(logs(lang)) + 20 * top(logs(None))) / (n + 20), rel=1e-9)
     assert cuts["none"] == pytest.approx(top(logs(None)), rel=1e-9)
+
+
+def test_quantiles_read_held_out_rows_once_written(spark, smoke, monkeypatch):
+    plans, real = {}, K.materialise
+    monkeypatch.setattr(K, "materialise", lambda df, name: (plans.update({name: df._jdf.queryExecution().toString()}), real(df, name))[1])
+    K.judged(spark, spark.read.parquet(f"{smoke}/documents.parquet"), spark.read.parquet(f"{smoke}/labels.parquet"))
+    assert "Union" in plans["fair"] and "Union" not in plans["cuts"]

@@ -55,7 +55,9 @@ class DigestIndex:
         fresh = same.groupBy("text_sha256").agg(first.alias("first"))
         fresh = fresh.select("text_sha256", F.col("first.doc_id").alias("keep_id"), F.col("first.row").alias("keep_row"), F.col("first.n").alias("n_keep"))
         fresh = fresh.join(self.table().select("text_sha256").hint("merge"), "text_sha256", "left_anti")
-        self._append(fresh.repartition(self.buckets, "text_sha256").sortWithinPartitions("text_sha256"))
+        # A bucket's rows come to one task, which writes one file for it, into however many tasks they are dealt.
+        bucket = F.pmod(F.hash("text_sha256"), F.lit(self.buckets))
+        self._append(fresh.repartitionByRange(self.buckets, bucket))
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -580,7 +580,7 @@ def judged(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(id_col), text).alias("key"), F.col(lang_col).alias("lang"), text.alias("text"))
     found = perplexities(spark, rows, labels)
     fair = labels.filter((F.col("quality") == 1) & F.expr(HELD_OUT)).select("doc_id").distinct()
-    fair = found.filter("perplexity is not null").join(fair, "doc_id").select("lang", F.ln("perplexity").alias("x"))
+    fair = materialise(found.filter("perplexity is not null").join(fair, "doc_id").select("lang", F.ln("perplexity").alias("x")), "fair")  # read four times
     by_lang = quantiles(fair, F.col("lang"), quantile)
     every = quantiles(fair, F.lit(0), quantile).select(F.col("own").alias("every"))
     cuts = materialise(by_lang.crossJoin(F.broadcast(every)), "cuts")  # one row
