@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 import pyarrow as pa
 import pytest
@@ -9,6 +10,7 @@ import pytest
 from textlattice.functions import text as T
 from textlattice.operators import history, mining, ngrams, phrases, predict, sorted_runs
 from textlattice.plans import counts
+from textlattice.sources import files
 
 
 def plan(df):
@@ -144,3 +146,53 @@ def test_a_tree_counted_in_passing(spark):
     want = predict.children(history.register_all(turns).filter("not contains(gram, '[EOS]')"))
     found = history.counted_of(turns, end=False).selectExpr("prefix AS parent", "word", "used", "total")
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_the_longest_grams_need_no_other_direction(spark):
+    ahead = spark.createDataFrame([(3, "a b c", 3, 3), (2, "a b", 3, 2), (2, "b c", 3, 0), (1, "a", 4, 1)], "n int, gram string, cnt long, disc long")
+    back = spark.createDataFrame([(2, "b a", 3, 1), (1, "a", 4, 4)], "n int, gram string, cnt long, disc long")
+    for parts in (1, 3):
+        out = phrases.reconciled(ahead, back, 3, parts)
+        assert sorted(map(tuple, out.collect())) == [(1, "a", 4, 1), (2, "a b", 3, 1), (2, "b c", 3, 0), (3, "a b c", 3, 3)]
+        assert sorted(map(tuple, phrases.agreed(ahead, back, 3, parts).collect())) == [(1, "a", 4, 1), (2, "a b", 3, 1)]
+
+
+@pytest.mark.parametrize("backward", [False, True])
+def test_mining_in_parts(spark, monkeypatch, backward):
+    r = random.Random(9)
+    docs = [([r.choice("a b c d é ef [EOS]".split()) for _ in range(r.randrange(0, 15))],) for _ in range(120)]
+    sentences = spark.createDataFrame([*docs, (None,)], "words array<string>")
+    runs = mining.runs(sentences, 5, backward)
+    texts = mining.texts(sentences)
+    monkeypatch.setattr(mining, "LETTERS", 40)
+    monkeypatch.setattr(sorted_runs, "AT_ONCE", 4)
+    found = [[x["gram"] for x in mining.runs_of(texts, 5, backward, k, 3).collect()] for k in range(3)]
+    assert sorted(sum(found, [])) == sorted(x["gram"] for x in runs.collect())
+    pairs = [{tuple(g.split(" ")[:2]) for g in part} for part in found]
+    assert all(pairs) and not any(pairs[a] & pairs[b] for a in range(3) for b in range(a))
+    for every in (True, False):
+        want = sorted(map(repr, mining.discounted(runs, 5, every).collect()))
+        assert sorted(map(repr, mining.mined(texts, 5, backward, every, parts=3).collect())) == want
+
+
+def test_a_written_part_leaves_no_shuffle(spark):
+    def shuffles():
+        return spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks().toString().count("shuffle_")
+
+    spark.range(100).repartition(3, "id").write.format("noop").mode("overwrite").save()
+    before = shuffles()
+    assert before
+    parts = (spark.range(50 * k).repartition(5, "id") for k in (1, 2))
+    out = files.written_parts(parts, "parts")
+    until = time.time() + 20  # they go in the background
+    while shuffles() > before and time.time() < until:
+        time.sleep(0.2)
+    assert shuffles() <= before
+    assert out.count() == 150
+    assert spark.conf.get(files._RELEASE, None) in (None, "false")
+
+
+def test_grams_with_a_count_are_read_without_the_others(spark):
+    texts = mining.texts(spark.createDataFrame([("a b a c".split(),), ("a b x".split(),)], "words array<string>"))
+    some = mining.mined(texts, 3)
+    assert "sequence(" in plan(some) and "sequence(" not in plan(some.filter("coalesce(disc, 0) > 0"))
