@@ -196,3 +196,11 @@ def test_grams_with_a_count_are_read_without_the_others(spark):
     texts = mining.texts(spark.createDataFrame([("a b a c".split(),), ("a b x".split(),)], "words array<string>"))
     some = mining.mined(texts, 3)
     assert "sequence(" in plan(some) and "sequence(" not in plan(some.filter("coalesce(disc, 0) > 0"))
+
+
+def test_children_are_not_joined_to_be_found_near(spark):
+    kids = spark.createDataFrame([(f"a{k}", "b", 1, 1) for k in range(3000)] + [("", "a", 1, 1)], "parent string, word string, used long, total long")
+    states = spark.createDataFrame([("a7",), ("a7",), ("a19",)], "node string")
+    near = predict._near(kids, states, 1)
+    assert "LeftSemi" not in plan(near) and "broadcast" in plan(near)
+    assert {"a7", "a19"} <= {x["parent"] for x in near.collect()} and near.count() < 5
