@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -117,6 +118,14 @@ def test_spaced_words(spark, text, words):
     assert [tuple(w) for w in spark.range(1).select(T.spaced_words(F.lit(text)).alias("w")).first()["w"]] == words
 
 
+def test_many_spaced_words_of_one_text(spark):
+    rows = spark.createDataFrame([("x " + "ab 1, " * 4000,), (None,)], "t string").select(T.spaced_words("t").alias("w"))
+    began = time.time()
+    some, none = (r["w"] for r in rows.collect())
+    assert none is None and len(some) == 12000 and tuple(some[0]) == ("ab", True, True) and tuple(some[-1]) == (",", False, True)
+    assert time.time() - began < 25  # not a search of the text for each word
+
+
 def test_numbers(spark):
     r = spark.createDataFrame([(0.0, -2.0), (-1.0, -2.0), (-900.0, -1.0)], "a double, b double").select(T.log_add("a", "b").alias("s")).collect()
     assert [x["s"] for x in r] == pytest.approx([-2.0, math.log(math.exp(-1) + math.exp(-2)), -1.0])
