@@ -204,3 +204,14 @@ def test_children_are_not_joined_to_be_found_near(spark):
     near = predict._near(kids, states, 1)
     assert "LeftSemi" not in plan(near) and "broadcast" in plan(near)
     assert {"a7", "a19"} <= {x["parent"] for x in near.collect()} and near.count() < 5
+
+
+def test_known_grams_in_parts(spark):
+    r = random.Random(12)
+    sentences = spark.createDataFrame([([r.choice("abcdef") for _ in range(r.randrange(0, 9))],) for _ in range(80)], "words array<string>")
+    vocab = spark.createDataFrame([("a",), ("b",), ("c",), ("b",)], "word string")
+    want = sorted(map(tuple, ngrams.drop_oov(ngrams.count_ngrams(sentences, 3), vocab, 3).collect()))
+    for parts in (1, 3):
+        found = ngrams.count_known(sentences, vocab, 3, parts)
+        assert "Join" not in plan(found) and "Aggregate" not in plan(found)  # counted, joined and written
+        assert sorted(map(tuple, found.collect())) == want
